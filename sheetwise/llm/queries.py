@@ -1,14 +1,19 @@
 """The subpackage's registered queries and their DuckDB equivalents."""
 
-from sheetwise.llm import chat_format, mixing, quality_rules, sharding
+from sheetwise.llm import chat_format, decontaminate, mixing, quality_rules, sharding, simhash, toxicity, warc
 
 QUERIES = {
+    "op2_benchmark_leaks": decontaminate.op2_benchmark_leaks,
     "op3_jump_hash_shards": sharding.op3_jump_hash_shards,
+    "op4_warc_round_trip": warc.op4_warc_round_trip,
+    "op6_string_kernel_toxicity": toxicity.op6_string_kernel_toxicity,
     "op7_prefix_targets": chat_format.op7_prefix_targets,
     "op8_decision_lists": quality_rules.op8_decision_lists,
+    "op9_simhash_groups": simhash.op9_simhash_groups,
     "op10_pfair_mix": mixing.op10_pfair_mix,
 }
 
 ORACLES = {
+    "op4_warc_round_trip": warc.ORACLE_OP4,
     "op7_prefix_targets": chat_format.ORACLE_OP7,
 }

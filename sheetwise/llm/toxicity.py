@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ from sheetwise.llm.common import stored
 LENGTH, DECAY = 4, 0.8
 #: Labelled rows that are learned from, at most: the first by a hash of their ids.
 TRAIN_ROWS = 20_000
-#: Landmarks: half from toxic, half from clean texts.
-LANDMARKS = 32
+#: Landmarks, at most: half from toxic texts; of the others, half are widespread and half most like the toxic ones.
+LANDMARKS = 128
 #: Longest string; longer words are cut into windows that overlap by half.
 LONGEST = 20
 #: Strings of a labelled row that training sees: those most like a landmark.
@@ -39,6 +40,8 @@ SINGLES = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
 MARKS = re.compile(r"[\W_]+")
 PAD = 0
+#: Marks of a word's first and last place: subsequences through them tell a beginning or end from a middle.
+FIRST, LAST = "\x02", "\x03"
 
 
 def strings(text: str | None) -> set[str]:
@@ -51,13 +54,20 @@ def strings(text: str | None) -> set[str]:
         found |= {"".join(m[0].split()) for m in SINGLES.finditer(low)}
     out = set()
     for w in found:
-        if len(w) > LONGEST:
+        if len(w) > LONGEST - 2:
+            w = FIRST + w + LAST
             out.update(w[a : a + LONGEST] for a in range(0, len(w) - LONGEST // 2, LONGEST // 2))
-        elif len(w) >= LENGTH:
-            out.add(w)
+        elif len(w) >= LENGTH - 1:
+            out.add(FIRST + w + LAST)
     return out
 
 
+def contexts(text: str | None) -> set[tuple[str, int]]:
+    """Distinct pairs of a word and a checksum of the word before it."""
+    found = [w.strip(EDGES) for w in (text or "").lower().split()]
+    return {(FIRST + w + LAST, crc32(before.encode("utf-8", "replace")) >> 1) for before, w in zip(["", *found], found) if LENGTH - 1 <= len(w) <= LONGEST - 2}
+
+
 def codes(words: Sequence[str]) -> np.ndarray:
     """Characters as numbers, one row a word, padded with PAD."""
     raw = np.array(list(words), dtype=f"<U{LONGEST}") if len(words) else np.zeros(0, f"<U{LONGEST}")
@@ -152,27 +162,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(top, self.bias) + self.offset, -30, 30)))
 
 
-def fit_svm(features: np.ndarray, sign: np.ndarray, groups: np.ndarray, witness: np.ndarray, rounds: int = 4, steps: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Linear machine (hinge loss, averaged subgradients) on all strings of clean rows and the witnesses of toxic ones.
+def fit_svm(features: np.ndarray, sign: np.ndarray, groups: np.ndarray, witness: np.ndarray, rounds: int = 4, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Linear machine (squared hinge loss, Newton steps) on all strings of clean rows and the witnesses of toxic ones.
 
     The first witnesses are given; later ones are the strings that the machine calls toxic, and each toxic row's best.
     """
-    weight, bias = np.zeros(features.shape[1]), 0.0
+    x = np.hstack([features, np.ones((len(features), 1))])
+    ridge = penalty * np.diag([1.0] * features.shape[1] + [1e-3])
+    weight = np.zeros(x.shape[1])
     for _ in range(rounds):
-        x, y = features[witness], sign[witness]
-        share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-        total, total_bias, w, b = np.zeros_like(weight), 0.0, weight.copy(), bias
-        for t in range(1, steps + 1):
-            off = (y * (x @ w + b) < 1) * share * y
-            rate = 2.0 / np.sqrt(t)
-            w = w - rate * (penalty * w - off @ x)
-            b = b + rate * off.sum()
-            total, total_bias = total + w, total_bias + b
-        weight, bias = total / steps, total_bias / steps
-        value = features @ weight + bias
+        own, y = x[witness], sign[witness]
+        share = np.full(len(y), 1 / max(1, (y > 0).sum()))
+        last = None
+        for _ in range(30):
+            active = y * (own @ weight) < 1
+            if last is not None and (active == last).all():
+                break
+            last, part = active, own[active]
+            weight = np.linalg.solve(part.T @ (part * share[active, None]) + ridge, part.T @ (y[active] * share[active]))
+        value = x @ weight
         best = pd.Series(value).groupby(groups).transform("max").to_numpy()
         witness = (sign < 0) | (value > 0) | (value >= best)
-    return weight, bias
+    return weight[:-1], float(weight[-1])
 
 
 def calibrate(value: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -188,8 +199,8 @@ def calibrate(value: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model:
     """Model of the labelled rows (doc_id, text) x (doc_id, toxic). Only a bounded sample of labelled rows is read.
 
-    Landmarks are the strings whose presence in a row tells its label best (likelihood ratio) on the toxic side, and
-    the most widespread ones of clean rows. Counts are made in Spark; the driver gets a few strings a row.
+    Landmarks are the words whose contexts are toxic most significantly (likelihood ratio), and the most widespread
+    other ones. Counts are made in Spark; the driver gets a few strings a row.
     """
     taught = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
     # At most train_rows rows of two numbers.
@@ -197,26 +208,37 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, land
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [sorted(strings(t)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"].clip(upper=1).astype("int64"), "words": sets})
+            for k in range(0, len(batch), 100):
+                own = batch.iloc[k : k + 100]
+                around = [sorted(contexts(t)) for t in own["text"]]
+                yield pd.DataFrame({"doc_id": own["doc_id"], "toxic": own["toxic"].clip(upper=1).astype("int64"), "words": [sorted(strings(t)) for t in own["text"]],
+                                    "word": [[w for w, _ in c] for c in around], "before": [[b for _, b in c] for c in around]})
 
     id_type = dict(docs.dtypes)["doc_id"]
-    cuts = sample.mapInPandas(cut, f"doc_id {id_type}, toxic long, words array<string>")
-    # Copies of a text are one example (toxic if any is labelled so): else a row copied often would name landmarks.
-    once = cuts.groupBy(F.xxhash64("words").alias("_copy")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("words").alias("words"))
+    cuts = sample.mapInPandas(cut, f"doc_id {id_type}, toxic long, words array<string>, word array<string>, before array<int>")
+    # Copies of a text are one example (toxic if any is labelled so).
+    once = cuts.groupBy(F.xxhash64("words").alias("_copy")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), *[F.first(c).alias(c) for c in ("words", "word", "before")])
     cuts = stored(once.drop("_copy"))
     n, n_toxic = cuts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic or n_toxic == n:
         rate = (n_toxic + 1) / (n + 2)
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(rate / (1 - rate))))
-    seen = cuts.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).filter("p + q >= 3")
+    # A word and the word before it belong to the first row that has them, and a word counts the rows that own one of
+    # its pairs: so neither near copies nor repetitions within a row make words toxic.
+    pairs = cuts.select("doc_id", "toxic", F.explode(F.arrays_zip("word", "before")).alias("c"))
+    owners = pairs.groupBy("c.word", "c.before", "toxic").agg(F.min("doc_id").alias("owner")).select("word", "toxic", "owner").distinct()
+    seen = stored(owners.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).filter("p + q >= 3"))
+    n_words, all_p, all_q = seen.agg(F.count("*"), F.sum("p"), F.sum("q")).first()
     part = lambda k, m: F.when(k > 0, k * F.log(k / m)).otherwise(0.0)
-    p, q, expected = F.col("p"), F.col("q"), (F.col("p") + F.col("q")) / n
-    gain = part(p, expected * n_toxic) + part(q, expected * (n - n_toxic))
-    # Significant although so many strings were tried (twice the gain is a chi-squared value).
-    toxic_marks = [r[0] for r in seen.filter((p * n > (p + q) * n_toxic) & (gain > F.log(F.lit(seen.count() + 1)) + 2)).orderBy(gain.desc(), "word").limit(landmarks // 2).collect()]
-    clean_marks = [r[0] for r in seen.filter(p * n <= (p + q) * n_toxic).orderBy(q.desc(), "word").limit(landmarks // 2).collect()]
-    marks = sorted({*toxic_marks, *clean_marks})
+    p, q, share = F.col("p"), F.col("q"), (all_p or 1) / ((all_p or 1) + (all_q or 0))
+    gain = part(p, (p + q) * share) + part(q, (p + q) * max(1e-9, 1 - share))
+    # Significant although so many words were tried (twice the gain is a chi-squared value).
+    toxic_marks = [r[0] for r in seen.filter((p > 2 * share * (p + q)) & (gain > np.log(n_words + 1) + 2)).orderBy(gain.desc(), "word").limit(landmarks // 2).collect()]
+    others = [r[0] for r in seen.filter(p <= 2 * share * (p + q)).orderBy(q.desc(), "word").limit(100 * landmarks).collect()]
+    rows = codes(toxic_marks)
+    like = similar(others, rows, kernel(rows, rows), np.array([fewest_kinds(m) for m in toxic_marks], np.int64)).max(axis=1, initial=0)
+    close = [others[k] for k in np.argsort(-like, kind="stable")[: landmarks // 4]]
+    marks = sorted({*toxic_marks, *others[: landmarks // 4], *close})
     rows, kinds = codes(marks), np.array([fewest_kinds(m) for m in marks], np.int64)
     norm, toxic_at = kernel(rows, rows), [marks.index(w) for w in toxic_marks]
 
@@ -230,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, land
     kept = cuts.mapInPandas(nearest, f"doc_id {id_type}, toxic long, words array<string>").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     gram = np.array([similar([w], rows, norm, kinds)[0] for w in marks])
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
+    whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4 * value.max()))) @ vector.T
     # The toxic landmarks with one character put in anywhere teach how far a toxic string may be bent.
     bent = [w[:k] + c + w[k:] for w in toxic_marks for k in range(1, len(w)) for c in "x*" if len(w) < LONGEST]
     known = sorted({w for r in kept for w in r["words"]} | set(bent))
@@ -241,8 +263,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, land
     pairs += [(feature[w], 1.0, len(kept) + k, True) for k, w in enumerate(bent)]
     if not pairs:
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(n_toxic / (n - n_toxic))))
-    sign = np.array([y for _, y, _ in pairs])
-    weight, bias = fit_svm(np.array([x for x, _, _ in pairs]), sign, np.array([k for _, _, k in pairs]), (sign < 0) | np.array([c for *_, c in pairs]))
+    sign = np.array([y for _, y, *_ in pairs])
+    weight, bias = fit_svm(np.array([x for x, *_ in pairs]), sign, np.array([k for _, _, k, _ in pairs]), (sign < 0) | np.array([c for *_, c in pairs]))
     model = Model(marks, whiten @ weight, float(bias), 1.0, 0.0)
     top = np.array([max([float(feature[w] @ weight) + bias for w in r["words"]] + [bias]) for r in kept])
     model.slope, model.offset = calibrate(top, np.array([float(r["toxic"]) for r in kept]))

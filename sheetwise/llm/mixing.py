@@ -103,7 +103,13 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, laid out in the mixed order (range-partitioned and sorted by slot)."""
-    mixed = mix(docs)
+    """Pipeline stage: all documents, laid out in the mixed order (range-partitioned and sorted by slot).
+
+    The schedule is made from narrow rows; texts move once to their schedule rows and once into order. Rows are told
+    apart by their place in the stage's input files.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    plan = mix(numbered.select("_row", "doc_id", "source")).select(F.col("_row").alias("_planned"), "slot", "source_row")
+    mixed = numbered.join(plan, F.col("_row") == F.col("_planned"))
     # A slot holds one block, so the range partitions are even however large a source is.
     return mixed.repartitionByRange("slot", "source_row").sortWithinPartitions("slot", "source_row").select(*docs.columns)

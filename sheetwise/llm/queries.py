@@ -1,11 +1,13 @@
 """The subpackage's registered queries and their DuckDB equivalents."""
 
-from sheetwise.llm import chat_format, decontaminate, mixing, quality_rules, sharding, simhash, toxicity, warc
+from sheetwise.llm import chat_format, decontaminate, mixing, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_private_terms": pii.op1_private_terms,
     "op2_benchmark_leaks": decontaminate.op2_benchmark_leaks,
     "op3_jump_hash_shards": sharding.op3_jump_hash_shards,
     "op4_warc_round_trip": warc.op4_warc_round_trip,
+    "op5_induced_sort_dedup": suffix_dedup.op5_induced_sort_dedup,
     "op6_string_kernel_toxicity": toxicity.op6_string_kernel_toxicity,
     "op7_prefix_targets": chat_format.op7_prefix_targets,
     "op8_decision_lists": quality_rules.op8_decision_lists,

@@ -3,8 +3,8 @@
 The kernel of two strings sums over their common character subsequences of a fixed length, each weighted down by the
 length it spans in both, so "i.d*i o t" still shares most of the subsequences of the word it hides. The kernel values
 with a few landmark strings, whitened by the landmarks' own kernel matrix, are the features of a linear support vector
-machine, trained on labelled sentences: a sentence has its document's label, and of a toxic document the sentence that
-is most toxic by the model so far is its witness. A text's score is that of its most toxic sentence; a sentence's is
+machine, trained on labelled sentences: a sentence has its document's label, and of a toxic document the sentences that
+hold a string like a toxic landmark, or one that is toxic by the model so far, are its witnesses. A text's score is that of its most toxic sentence; a sentence's is
 that of its most toxic string (a word, a run of single characters, or a window of an overlong word).
 """
 
@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import combinations
 from zlib import crc32
 
 import numpy as np
@@ -25,6 +24,8 @@ from sheetwise.llm.common import stored
 
 #: Length of the common subsequences; weight of each character that a subsequence spans.
 LENGTH, DECAY = 4, 0.8
+#: Share of a landmark's neighbouring characters below which a word counts as unlike it.
+SHARED = 0.4
 #: Labelled rows that are learned from, at most: the first by a hash of their ids.
 TRAIN_ROWS = 20_000
 #: Landmarks, at most: half from toxic texts; of the others, half are widespread and half most like the toxic ones.
@@ -74,10 +75,17 @@ def codes(words: Sequence[str]) -> np.ndarray:
     return raw.view(np.uint32).reshape(len(raw), LONGEST)
 
 
-def letters(rows: np.ndarray) -> np.ndarray:
-    """A 64-bit set of the characters of each row (characters share a bit if equal modulo 63)."""
-    bit = np.where(rows == PAD, np.uint64(0), np.uint64(1) << (rows % 63).astype(np.uint64))
-    return np.bitwise_or.reduce(bit, axis=1)
+def neighbours(rows: np.ndarray) -> np.ndarray:
+    """A 256-bit set, as 4 numbers, of each row's pairs of characters that are next to each other or one apart."""
+    out = np.zeros((len(rows), 4), np.uint64)
+    own = rows.astype(np.uint64)
+    for gap in (1, 2):
+        left, right = own[:, :-gap], own[:, gap:]
+        bit = ((left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)) % np.uint64(256)
+        single = np.where((left == PAD) | (right == PAD), np.uint64(0), np.uint64(1) << (bit % np.uint64(64)))
+        for k in range(4):
+            out[:, k] |= np.bitwise_or.reduce(np.where(bit // np.uint64(64) == k, single, np.uint64(0)), axis=1)
+    return out
 
 
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,21 +109,18 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ends.sum(axis=(1, 2), dtype=np.float64)
 
 
-def fewest_kinds(mark: str) -> int:
-    """The fewest different characters that a subsequence of LENGTH characters of `mark` has."""
-    return min((len({ord(c) % 63 for c in x}) for x in combinations(mark, LENGTH)), default=64)
-
-
-def similar(words: Sequence[str], marks: np.ndarray, norm: np.ndarray, kinds: np.ndarray, chunk: int = 4096) -> np.ndarray:
+def similar(words: Sequence[str], marks: np.ndarray, norm: np.ndarray, chunk: int = 4096) -> np.ndarray:
     """Normalised kernel (0 to 1) of each word with each landmark.
 
-    Pairs that share fewer characters than `kinds`, the fewest of any subsequence of the landmark, have a kernel of 0.
+    A word that shares less than SHARED of a landmark's neighbouring characters has a kernel near 0: taken as 0, and
+    not computed. One character put between any two keeps the pairs one apart, so bent words pass.
     """
     out = np.zeros((len(words), len(marks)))
     rows = codes(words)
-    own, theirs = letters(rows), letters(marks)
-    near = np.bitwise_count(own[:, None] & theirs[None, :]) >= kinds[None, :]
-    i, j = np.nonzero(near)
+    with np.errstate(over="ignore"):
+        own, theirs = neighbours(rows), neighbours(marks)
+    common = sum(np.bitwise_count(own[:, None, k] & theirs[None, :, k]) for k in range(4)) if len(marks) else np.zeros((len(words), 0))
+    i, j = np.nonzero(common >= SHARED * np.bitwise_count(theirs).sum(axis=1)[None, :])
     if not len(i):
         return out
     used, back = np.unique(i, return_inverse=True)
@@ -141,13 +146,12 @@ class Model:
     def __post_init__(self) -> None:
         self.rows = codes(self.marks)
         self.norm = kernel(self.rows, self.rows) if self.marks else np.zeros(0)
-        self.kinds = np.array([fewest_kinds(m) for m in self.marks], np.int64)
         self.memory: dict[str, float] = {}
 
     def values(self, words: Sequence[str]) -> np.ndarray:
         if not self.marks or not len(words):
             return np.full(len(words), self.bias)
-        return similar(words, self.rows, self.norm, self.kinds) @ self.weights + self.bias
+        return similar(words, self.rows, self.norm) @ self.weights + self.bias
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
         """Score of each text: its most toxic string decides. Strings seen before are looked up."""
@@ -162,14 +166,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(top, self.bias) + self.offset, -30, 30)))
 
 
-def fit_svm(features: np.ndarray, sign: np.ndarray, groups: np.ndarray, witness: np.ndarray, rounds: int = 4, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_svm(features: np.ndarray, sign: np.ndarray, close: np.ndarray, rounds: int = 4, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear machine (squared hinge loss, Newton steps) on all strings of clean rows and the witnesses of toxic ones.
 
-    The first witnesses are given; later ones are the strings that the machine calls toxic, and each toxic row's best.
+    Witnesses are the strings close to a toxic landmark, and those that the machine so far calls toxic. A toxic row
+    may have none: labels err, and rare insults have no landmark.
     """
     x = np.hstack([features, np.ones((len(features), 1))])
     ridge = penalty * np.diag([1.0] * features.shape[1] + [1e-3])
-    weight = np.zeros(x.shape[1])
+    weight, witness = np.zeros(x.shape[1]), (sign < 0) | close
     for _ in range(rounds):
         own, y = x[witness], sign[witness]
         share = np.full(len(y), 1 / max(1, (y > 0).sum()))
@@ -180,20 +185,24 @@ def fit_svm(features: np.ndarray, sign: np.ndarray, groups: np.ndarray, witness:
                 break
             last, part = active, own[active]
             weight = np.linalg.solve(part.T @ (part * share[active, None]) + ridge, part.T @ (y[active] * share[active]))
-        value = x @ weight
-        best = pd.Series(value).groupby(groups).transform("max").to_numpy()
-        witness = (sign < 0) | (value > 0) | (value >= best)
+        witness = (sign < 0) | close | (x @ weight > 0)
     return weight[:-1], float(weight[-1])
 
 
 def calibrate(value: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope (at least 0) and offset that turn a value into a probability: logistic regression by Newton steps."""
     x, beta = np.stack([value, np.ones(len(value))], axis=1), np.zeros(2)
+    loss = lambda b: float(np.logaddexp(0, x @ b).sum() - toxic @ (x @ b) + 5e-3 * b @ b)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (toxic - p) - 1e-2 * beta
-        beta = beta + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), gradient)
-    return max(0.0, float(beta[0])), float(beta[1])
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), x.T @ (toxic - p) - 1e-2 * beta)
+        while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        beta = beta + step
+    if beta[0] <= 0:  # the values tell nothing
+        rate = (toxic.sum() + 1) / (len(toxic) + 2)
+        return 0.0, float(np.log(rate / (1 - rate)))
+    return float(beta[0]), float(beta[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model:
@@ -236,35 +245,37 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, land
     toxic_marks = [r[0] for r in seen.filter((p > 2 * share * (p + q)) & (gain > np.log(n_words + 1) + 2)).orderBy(gain.desc(), "word").limit(landmarks // 2).collect()]
     others = [r[0] for r in seen.filter(p <= 2 * share * (p + q)).orderBy(q.desc(), "word").limit(100 * landmarks).collect()]
     rows = codes(toxic_marks)
-    like = similar(others, rows, kernel(rows, rows), np.array([fewest_kinds(m) for m in toxic_marks], np.int64)).max(axis=1, initial=0)
+    like = similar(others, rows, kernel(rows, rows)).max(axis=1, initial=0)
     close = [others[k] for k in np.argsort(-like, kind="stable")[: landmarks // 4]]
     marks = sorted({*toxic_marks, *others[: landmarks // 4], *close})
-    rows, kinds = codes(marks), np.array([fewest_kinds(m) for m in marks], np.int64)
+    rows = codes(marks)
     norm, toxic_at = kernel(rows, rows), [marks.index(w) for w in toxic_marks]
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            known = sorted(set().union(*batch["words"]))
-            like = dict(zip(known, similar(known, rows, norm, kinds)[:, toxic_at].max(axis=1).tolist())) if known and toxic_at else dict.fromkeys(known, 0.0)
-            best = [sorted(ws, key=lambda w: (-like[w], w))[:WITNESSES] for ws in batch["words"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": best})
+            for k in range(0, len(batch), 50):
+                own = batch.iloc[k : k + 50]
+                known = sorted(set().union(*own["words"]))
+                like = dict(zip(known, similar(known, rows, norm)[:, toxic_at].max(axis=1).tolist())) if known and toxic_at else dict.fromkeys(known, 0.0)
+                best = [sorted(ws, key=lambda w: (-like[w], w))[:WITNESSES] for ws in own["words"]]
+                yield pd.DataFrame({"doc_id": own["doc_id"], "toxic": own["toxic"], "words": best})
 
     kept = cuts.mapInPandas(nearest, f"doc_id {id_type}, toxic long, words array<string>").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    gram = np.array([similar([w], rows, norm, kinds)[0] for w in marks])
+    gram = np.array([similar([w], rows, norm)[0] for w in marks])
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4 * value.max()))) @ vector.T
     # The toxic landmarks with one character put in anywhere teach how far a toxic string may be bent.
     bent = [w[:k] + c + w[k:] for w in toxic_marks for k in range(1, len(w)) for c in "x*" if len(w) < LONGEST]
     known = sorted({w for r in kept for w in r["words"]} | set(bent))
-    like = similar(known, rows, norm, kinds)
+    like = similar(known, rows, norm)
     feature = dict(zip(known, like @ whiten))
     close = dict(zip(known, (like[:, toxic_at].max(axis=1) > 0.6).tolist())) if toxic_at else dict.fromkeys(known, False)
-    pairs = [(feature[w], 1.0 if r["toxic"] else -1.0, k, close[w]) for k, r in enumerate(kept) for w in r["words"]]
-    pairs += [(feature[w], 1.0, len(kept) + k, True) for k, w in enumerate(bent)]
+    pairs = [(feature[w], 1.0 if r["toxic"] else -1.0, close[w]) for r in kept for w in r["words"]]
+    pairs += [(feature[w], 1.0, True) for w in bent]
     if not pairs:
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(n_toxic / (n - n_toxic))))
     sign = np.array([y for _, y, *_ in pairs])
-    weight, bias = fit_svm(np.array([x for x, *_ in pairs]), sign, np.array([k for _, _, k, _ in pairs]), (sign < 0) | np.array([c for *_, c in pairs]))
+    weight, bias = fit_svm(np.array([x for x, *_ in pairs]), sign, np.array([c for *_, c in pairs]))
     model = Model(marks, whiten @ weight, float(bias), 1.0, 0.0)
     top = np.array([max([float(feature[w] @ weight) + bias for w in r["words"]] + [bias]) for r in kept])
     model.slope, model.offset = calibrate(top, np.array([float(r["toxic"]) for r in kept]))

@@ -1,4 +1,6 @@
-"""Registered queries of the reference-style operators and their DuckDB equivalents."""
+"""All registered queries outside the corpus subpackage, and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sheetwise.plans import relational_queries, text_queries
+
+QUERIES = text_queries.QUERIES | relational_queries.QUERIES
+ORACLES = text_queries.ORACLES | relational_queries.ORACLES

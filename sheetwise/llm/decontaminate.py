@@ -1,9 +1,10 @@
 """Operator 2: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-The n-grams of the test items are counted over all documents. Of each item, the rarer half of its n-grams (by the
-number of documents that hold them; ties included) are its seeds: a rule without absolute limits, so an item keeps
-seeds however often it leaked. A document and an item that share a seed are aligned word by word around it; copies,
-edited copies and paraphrases that keep most of an item's words in order score above the threshold.
+The words of the test items are counted over all documents. An n-gram is rare, and a seed, if words that fell
+independently would form it in fewer than one of CHANCE documents; so are the rarer half of each item's n-grams.
+(Counts of whole n-grams would not do: a leak makes the very n-grams common that lead to it.) A document and an item
+that share a seed are aligned word by word around it; copies, edited copies and paraphrases that keep most of an item's
+words in order score above the threshold.
 
 The items are a stated query set: they go to the tasks in blocks of bounded size, one pass over the documents each, so
 no text is shuffled. Items of fewer than SEED words can't be told from chance and match nothing.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Words of a seed.
 SEED = 3
+#: A seed forms by chance in at most one of so many documents.
+CHANCE = 10_000
 #: Least alignment score, as a share of the score that the whole item would have; chance alignments stay below 0.2.
 THRESHOLD = 0.4
 #: And at least the score of so many words in a row, or of the whole item if it is shorter.
@@ -42,7 +45,7 @@ def tokens(text: str | None) -> list[str]:
 
 @dataclass
 class Items:
-    """One block of test items, prepared for lookup. `seeds` starts as all n-grams and is narrowed by `keep_rare`."""
+    """One block of test items, prepared for lookup. `chosen` marks the seeds: all n-grams until `keep_rare` narrows them."""
 
     ids: list
     vocabulary: dict[str, int]
@@ -62,17 +65,16 @@ class Items:
         grams = np.array(sorted(places), np.int64)
         return cls([r[0] for r in rows], vocabulary, words, grams, [places[g] for g in grams.tolist()], np.ones(len(grams), bool))
 
-    def keep_rare(self, frequency: dict[int, int]) -> None:
-        """Mark as seeds, for each item, its n-grams that are in no more documents than its median one."""
+    def keep_rare(self, counts: dict[int, int], words: int, documents: int) -> None:
+        """Mark the seeds, given how often each word occurs among all `words` of the documents."""
+        share = np.array([counts.get(k, 0) for k in range(len(self.vocabulary))], np.float64) / max(1, words)
         self.chosen = np.zeros(len(self.grams), bool)
-        count = np.array([frequency.get(k, 0) for k in range(len(self.grams))], np.int64)
-        of_item: dict[int, set[int]] = {}
-        for g, places in enumerate(self.owners):
-            for k, _ in places:
-                of_item.setdefault(k, set()).add(g)
-        for mine in of_item.values():
-            own = np.array(sorted(mine))
-            self.chosen[own[count[own] <= np.sort(count[own])[(len(own) - 1) // 2]]] = True
+        place = {g: k for k, g in enumerate(self.grams.tolist())}
+        for own in self.words:
+            if len(own) >= SEED:
+                at = np.array([place[g] for g in keys(own, len(self.vocabulary)).tolist()])
+                expected = np.prod([share[own[k : len(own) - SEED + 1 + k]] for k in range(SEED)], axis=0) * words / max(1, documents)
+                self.chosen[at[(expected < 1 / CHANCE) | (expected <= np.median(expected))]] = True
 
     def found(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word numbers of the text, -1 for words of no item; places with a known n-gram; numbers of those n-grams)."""
@@ -182,15 +184,19 @@ def prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(sent.value.grams), np.int64)
+            get, size = sent.value.vocabulary.get, len(sent.value.vocabulary)
+            total = np.zeros(size + 2, np.int64)  # then all words, and all documents
             for batch in batches:
                 for text in batch["text"]:
-                    total[np.unique(sent.value.found(text)[2])] += 1
+                    found = tokens(text)
+                    total[:size] += np.bincount([k for w in found if (k := get(w)) is not None], minlength=size)[:size]
+                    total[size:] += len(found), 1
             seen = np.flatnonzero(total)
-            yield pd.DataFrame({"gram": seen, "n": total[seen]})
+            yield pd.DataFrame({"word": np.where(seen < size, seen, seen - size - 2), "n": total[seen]})
 
-        counted = docs.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        items.keep_rare({r["gram"]: r["n"] for r in counted.collect()})  # at most as many as the block has n-grams
+        counted = docs.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        number = {r["word"]: r["n"] for r in counted.collect()}  # at most as many as the block has words
+        items.keep_rare(number, number.get(-2, 0), number.get(-1, 0))
         sent.unpersist()
         yield items
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: monotonically_increasing_id() keeps the partition above this bit and the row's place in it below.
 ROW_BITS = 33
+#: Name of the row number that stages add next to a table's own columns, and drop again.
+ROW = "__sheetwise_row__"
 #: A key is hot when it holds more than one in this many of all rows, so that there are at most so many hot keys.
 HOT_SHARE = 2000
 

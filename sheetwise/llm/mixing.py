@@ -17,8 +17,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import globally_ranked
+from sheetwise.llm.common import ROW, globally_ranked
 
+SLOT, PLACE = "__sheetwise_slot__", "__sheetwise_place__"
 #: Slots of a period: target weights are rounded to this many parts.
 PERIOD = 1000
 #: Rows of a block.
@@ -74,7 +75,10 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     row counts are the targets. Rows of a source are taken in the order of `order` (nulls first; ties in any, fixed,
     order). An empty table gives an empty result with the same columns. Existing columns of the five names are replaced.
     """
-    df = df.drop("source_row", "block", "release", "deadline", "slot")
+    kept = [c for c in df.columns if c not in ("source_row", "block", "release", "deadline", "slot")]
+    # The rows' own columns get plain numbers for names meanwhile, so that none can clash.
+    df = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)])
+    source, order = f"c{kept.index(source)}", f"c{kept.index(order)}"
     n_sources = df.select(source).distinct().count()
     if n_sources > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -94,7 +98,7 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     blocks = known.withColumn("block", F.floor(F.col("source_row") / block_rows)).withColumn("_in", F.col("block") % F.col("_part")).withColumn("_turn", F.floor(F.col("block") / F.col("_part")))
     placed = blocks.drop("_part").join(F.broadcast(table.drop("_part")), F.col(source).eqNullSafe(F.col("_source")) & (F.col("_in") == F.col("_j")))
     shift = F.col("_turn") * total
-    return placed.select(*df.columns, "source_row", "block", (shift + F.col("_release")).alias("release"), (shift + F.col("_deadline")).alias("deadline"), (shift + F.col("_slot")).alias("slot"))
+    return placed.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], "source_row", "block", (shift + F.col("_release")).alias("release"), (shift + F.col("_deadline")).alias("deadline"), (shift + F.col("_slot")).alias("slot"))
 
 
 def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +112,8 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The schedule is made from narrow rows; texts move once to their schedule rows and once into order. Rows are told
     apart by their place in the stage's input files.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    plan = mix(numbered.select("_row", "doc_id", "source")).select(F.col("_row").alias("_planned"), "slot", "source_row")
-    mixed = numbered.join(plan, F.col("_row") == F.col("_planned"))
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    plan = mix(numbered.select(ROW, "doc_id", "source")).select(F.col(ROW).alias("_planned"), F.col("slot").alias(SLOT), F.col("source_row").alias(PLACE))
+    mixed = numbered.join(plan, F.col(ROW) == F.col("_planned"))
     # A slot holds one block, so the range partitions are even however large a source is.
-    return mixed.repartitionByRange("slot", "source_row").sortWithinPartitions("slot", "source_row").select(*docs.columns)
+    return mixed.repartitionByRange(SLOT, PLACE).sortWithinPartitions(SLOT, PLACE).select(*docs.columns)

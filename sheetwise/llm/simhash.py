@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import join_counted, stored
+from sheetwise.llm.common import ROW, join_counted, stored
 
 #: Fingerprints that the shard tree is fitted on, at most: 0.8 MB in the driver at any corpus size.
 SAMPLE = 100_000
@@ -205,7 +205,8 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies, the row with the smallest doc_id stays (one row of repeated ones)."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    keyed = numbered.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
-    kept = near_groups(keyed.select("_key", "text"), key="_key").filter(F.col("_key") == F.col("component_id")).select(F.col("_key.row").alias("_kept"))
-    return numbered.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    groups = near_groups(numbered.select(key.alias("key"), "text"), key="key")
+    kept = groups.filter(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("_kept"))
+    return numbered.join(kept, F.col(ROW) == F.col("_kept"), "left_semi").select(*docs.columns)

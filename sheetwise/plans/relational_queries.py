@@ -130,10 +130,10 @@ def q_last_of_first(spark, sf_dir):
     return con.last_of_first(s.select("s_nationkey", "s_suppkey", "s_name"), ("s_nationkey",), "s_suppkey").join(n, "s_nationkey").select("s_nationkey", "n", F.col("s_name").alias("last_name"), F.col("s_suppkey").alias("first_key"))
 
 
-@query("""WITH s AS (SELECT o_custkey AS scope, count(*) AS n, min(o_orderkey) AS target, min(o_totalprice::BIGINT % 2) AS lo FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+@query("""WITH s AS (SELECT o_custkey AS scope, count(*) AS n, min(o_orderkey) AS target, min(floor(o_totalprice)::BIGINT % 2) AS lo FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT c_custkey, coalesce(n, 0)::BIGINT AS n_targets, CASE WHEN n IS NULL THEN 'kept' WHEN n = 1 AND lo = c_custkey % 2 THEN 'absorbed' ELSE 'conflict' END AS outcome, CASE WHEN n = 1 THEN target END AS target FROM customer LEFT JOIN s ON scope = c_custkey""")
 def q_absorb_conflicts(spark, sf_dir):
-    targets = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("scope"), "o_orderkey", (F.round("o_totalprice").cast("long") % 2).alias("limit"))
+    targets = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("scope"), "o_orderkey", (F.floor("o_totalprice").cast("long") % 2).alias("limit"))
     sources = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("scope"), (F.col("c_custkey") % 2).alias("limit"))
     return con.absorb(targets, sources, ("scope",), "limit", "c_custkey", "o_orderkey").select("c_custkey", "n_targets", "outcome", "target")
 

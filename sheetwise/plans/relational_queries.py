@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sheetwise.functions import text as t
 from sheetwise.operators import compare as cmp
 from sheetwise.operators import consolidate as con
+from sheetwise.operators import geometry
 from sheetwise.operators import narrative as nar
 from sheetwise.operators import ordered as seq
 from sheetwise.plans.text_queries import table
@@ -286,3 +287,31 @@ def q_section_pair(spark, sf_dir):
 def q_markdown_export(spark, sf_dir):
     title, paragraphs = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))
     return table(spark, sf_dir, "pages").select("page_id", F.concat(workbook.heading(F.lit(1), title), F.lit("\n\n"), F.array_join(F.transform(paragraphs, lambda p: F.concat(F.lit("- "), p)), "\n\n")).alias("md"))
+
+
+@query("""SELECT n_nationkey AS page, (c.r * (n_nationkey % 4 + 2) + c.k)::BIGINT AS cell_no, 0::BIGINT AS table_no, c.k * 50.0 AS x0, c.r * 20.0 AS y0, (c.k + 1) * 50.0 AS x1, (c.r + 1) * 20.0 AS y1
+FROM nation, (SELECT a.range AS r, b.range AS k FROM range(3) a, range(5) b) c WHERE c.k < n_nationkey % 4 + 2""")
+def q_grid_cells(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page"), (F.col("n_nationkey") % 4 + 2).alias("w"))
+    line = lambda axis, pos, end: F.struct(F.lit(axis).alias("axis"), pos.cast("double").alias("pos"), F.lit(0.0).alias("start"), end.cast("double").alias("end"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: line("h", i * 20, F.col("w") * 50))
+    columns = F.transform(F.sequence(F.lit(0), F.col("w")), lambda i: line("v", i * 50, F.lit(60)))
+    return geometry.page_tables(n.select("page", F.explode(F.concat(rows, columns)).alias("e")).select("page", "e.*"), ["page"])
+
+
+@query("""SELECT n_nationkey AS page, 'h' AS axis, 10.5 AS pos, 0.0 AS start, 100.0 + n_nationkey AS end FROM nation
+UNION ALL SELECT n_nationkey, 'v', 40.5, 5.0, 60.0 FROM nation""")
+def q_drawn_edges(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    path = lambda *xs: F.array(*[(x if not isinstance(x, (int, float)) else F.lit(float(x))).cast("double") for x in xs])
+    end = F.col("n_nationkey") + 100
+    steps = F.array(
+        F.struct(F.lit("save").alias("op"), path().cast("array<double>").alias("args")),
+        F.struct(F.lit("transform").alias("op"), path(1, 0, 0, 1, 0, 10).alias("args")),
+        F.struct(F.lit("stroke").alias("op"), path(0, 0, 0, 1, 50, 0).alias("args")),
+        F.struct(F.lit("stroke").alias("op"), F.concat(path(0, 52, 1, 1), F.array(end.cast("double")), path(1)).alias("args")),
+        F.struct(F.lit("restore").alias("op"), path().cast("array<double>").alias("args")),
+        F.struct(F.lit("fill").alias("op"), path(0, 40, 5, 1, 41, 5, 1, 41, 60, 1, 40, 60, 4).alias("args")),
+        F.struct(F.lit("fill").alias("op"), path(0, 0, 0, 2, 1, 1, 2, 2, 3, 3, 4).alias("args")))
+    ops = n.select(F.col("n_nationkey").alias("page"), F.posexplode(steps).alias("op_no", "s")).select("page", "op_no", "s.*")
+    return geometry.page_edges(ops, ["page"])

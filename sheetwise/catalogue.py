@@ -1,6 +1,6 @@
 """All registered queries outside the corpus subpackage, and their DuckDB equivalents."""
 
-from sheetwise.plans import relational_queries, text_queries
+from sheetwise.plans import document_queries, relational_queries, text_queries
 
-QUERIES = text_queries.QUERIES | relational_queries.QUERIES
-ORACLES = text_queries.ORACLES | relational_queries.ORACLES
+QUERIES = text_queries.QUERIES | relational_queries.QUERIES | document_queries.QUERIES
+ORACLES = text_queries.ORACLES | relational_queries.ORACLES | document_queries.ORACLES

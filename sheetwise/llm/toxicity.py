@@ -11,6 +11,7 @@ that of its most toxic string (a word, a run of single characters, or a window o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
@@ -25,10 +26,10 @@ from sheetwise.llm.common import stored
 #: Length of the common subsequences; weight of each character that a subsequence spans.
 LENGTH, DECAY = 4, 0.8
 #: Share of a landmark's neighbouring characters below which a word counts as unlike it.
-SHARED = 0.4
+SHARED = 0.5
 #: Labelled rows that are learned from, at most: the first by a hash of their ids.
 TRAIN_ROWS = 20_000
-#: Landmarks, at most: half from toxic texts; of the others, half are widespread and half most like the toxic ones.
+#: Landmarks: at most half as many toxic words, and a quarter as many words of clean texts that are most like those.
 LANDMARKS = 128
 #: Longest string; longer words are cut into windows that overlap by half.
 LONGEST = 20
@@ -37,36 +38,46 @@ WITNESSES = 8
 #: Strings that a task remembers the value of.
 MEMORY = 500_000
 
-SINGLES = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
-EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
-MARKS = re.compile(r"[\W_]+")
+SINGLES = re.compile(rb"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+#: Marks that may hide inside a word are dropped; all others separate words.
+INSIDE = b".-_*'~+`^#$%&@"
+SEPARATE = bytes.maketrans(b'/,;:|"()[]{}<>?!=\\', b" " * 18)
 PAD = 0
 #: Marks of a word's first and last place: subsequences through them tell a beginning or end from a middle.
 FIRST, LAST = "\x02", "\x03"
 
 
-def strings(text: str | None) -> set[str]:
-    """The distinct strings of a text, lower-cased: words without marks at their ends, the same without marks inside,
-    and runs of single characters joined."""
-    low = (text or "").lower()
-    found = {w.strip(EDGES) for w in set(low.split())}
-    found |= {MARKS.sub("", w) for w in found if MARKS.search(w)}
-    if " " in low:
-        found |= {"".join(m[0].split()) for m in SINGLES.finditer(low)}
-    out = set()
-    for w in found:
-        if len(w) > LONGEST - 2:
-            w = FIRST + w + LAST
-            out.update(w[a : a + LONGEST] for a in range(0, len(w) - LONGEST // 2, LONGEST // 2))
-        elif len(w) >= LENGTH - 1:
-            out.add(FIRST + w + LAST)
+def words(text: str | None) -> list[bytes]:
+    """Words in order: lower case, without the marks that are put inside words; other marks separate."""
+    return (text or "").lower().encode("utf-8", "replace").translate(SEPARATE, INSIDE).split()
+
+
+def pieces(text: str | None) -> set[bytes]:
+    """The distinct words of a text and its runs of single characters, joined."""
+    found = words(text)
+    out = set(found)
+    if sum(map((1).__eq__, map(len, out))) > 1:
+        out |= {b"".join(m[0].split()) for m in SINGLES.finditer(b" ".join(found))}
     return out
 
 
+def strings_of(piece: bytes) -> list[str]:
+    """What a word is compared as: itself between marks of its ends, or overlapping windows if it is overlong."""
+    w = FIRST + piece.decode("utf-8", "replace") + LAST
+    if len(w) > LONGEST:
+        return [w[a : a + LONGEST] for a in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
+    return [w] if len(w) > LENGTH else []
+
+
+def strings(text: str | None) -> set[str]:
+    """The distinct strings of a text."""
+    return {x for w in pieces(text) for x in strings_of(w)}
+
+
 def contexts(text: str | None) -> set[tuple[str, int]]:
     """Distinct pairs of a word and a checksum of the word before it."""
-    found = [w.strip(EDGES) for w in (text or "").lower().split()]
-    return {(FIRST + w + LAST, crc32(before.encode("utf-8", "replace")) >> 1) for before, w in zip(["", *found], found) if LENGTH - 1 <= len(w) <= LONGEST - 2}
+    found = words(text)
+    return {(x[0], crc32(before) >> 1) for before, w in zip([b"", *found], found) if len(x := strings_of(w)) == 1}
 
 
 def codes(words: Sequence[str]) -> np.ndarray:
@@ -123,8 +134,12 @@ def similar(words: Sequence[str], marks: np.ndarray, norm: np.ndarray, chunk: in
     i, j = np.nonzero(common >= SHARED * np.bitwise_count(theirs).sum(axis=1)[None, :])
     if not len(i):
         return out
+    size = (rows != PAD).sum(axis=1)  # pairs of like length go together, so that the tables are no wider than needed
+    turn = np.lexsort((j, size[i]))
+    i, j = i[turn], j[turn]
     used, back = np.unique(i, return_inverse=True)
-    self_value = np.concatenate([kernel(rows[used[k : k + chunk]], rows[used[k : k + chunk]]) for k in range(0, len(used), chunk)])
+    self_value, used = np.empty(len(used)), used[(long := np.argsort(size[used], kind="stable"))]
+    self_value[long] = np.concatenate([kernel(rows[used[k : k + chunk]], rows[used[k : k + chunk]]) for k in range(0, len(used), chunk)])
     for k in range(0, len(i), chunk):
         s = slice(k, k + chunk)
         value = kernel(rows[i[s]], marks[j[s]])
@@ -154,38 +169,43 @@ class Model:
         return similar(words, self.rows, self.norm) @ self.weights + self.bias
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
-        """Score of each text: its most toxic string decides. Strings seen before are looked up."""
+        """Score of each text: its most toxic string decides. Words and strings seen before are looked up."""
         if len(self.memory) > MEMORY:
             self.memory.clear()
-        sets = [strings(t) for t in texts]
-        new = [w for w in set().union(*sets) if w not in self.memory]
+        known = self.memory
+        sets = [pieces(t) for t in texts]
+        new = [(w, strings_of(w)) for w in set().union(*sets) if w not in known]
+        known.update((w, self.bias) for w, own in new)
+        new = [(w, x) for w, own in new for x in own]
         for k in range(0, len(new), 20_000):
-            self.memory.update(zip(new[k : k + 20_000], self.values(new[k : k + 20_000]).tolist()))
-        get = self.memory.__getitem__
-        top = np.array([max(map(get, s), default=self.bias) for s in sets])
+            part = new[k : k + 20_000]
+            value = self.values([x for _, x in part])
+            for at in np.flatnonzero(value > self.bias).tolist():  # most words are unlike all landmarks
+                w = part[at][0]
+                known[w] = max(known[w], float(value[at]))
+        top = np.array([max(map(known.__getitem__, own), default=self.bias) for own in sets])
         return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(top, self.bias) + self.offset, -30, 30)))
 
 
-def fit_svm(features: np.ndarray, sign: np.ndarray, close: np.ndarray, rounds: int = 4, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_svm(features: np.ndarray, at: np.ndarray, sign: np.ndarray, count: np.ndarray, close: np.ndarray, rounds: int = 4, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear machine (squared hinge loss, Newton steps) on all strings of clean rows and the witnesses of toxic ones.
 
-    Witnesses are the strings close to a toxic landmark, and those that the machine so far calls toxic. A toxic row
-    may have none: labels err, and rare insults have no landmark.
+    Example k is the string `at[k]`, `count[k]` times. Witnesses are the strings close to a toxic landmark, and those
+    that the machine so far calls toxic. A toxic row may have none: labels err, and rare insults have no landmark.
     """
-    x = np.hstack([features, np.ones((len(features), 1))])
+    x = np.hstack([features, np.ones((len(features), 1), features.dtype)])
     ridge = penalty * np.diag([1.0] * features.shape[1] + [1e-3])
     weight, witness = np.zeros(x.shape[1]), (sign < 0) | close
     for _ in range(rounds):
-        own, y = x[witness], sign[witness]
-        share = np.full(len(y), 1 / max(1, (y > 0).sum()))
+        share = count / max(1.0, float(count[witness & (sign > 0)].sum()))
         last = None
         for _ in range(30):
-            active = y * (own @ weight) < 1
+            active = witness & (sign * (x @ weight)[at] < 1)
             if last is not None and (active == last).all():
                 break
-            last, part = active, own[active]
-            weight = np.linalg.solve(part.T @ (part * share[active, None]) + ridge, part.T @ (y[active] * share[active]))
-        witness = (sign < 0) | close | (x @ weight > 0)
+            last, part, own = active, x[at[active]], share[active]
+            weight = np.linalg.solve((part.T @ (part * own[:, None])).astype(np.float64) + ridge, (part.T @ (sign[active] * own)).astype(np.float64))
+        witness = (sign < 0) | close | ((x @ weight)[at] > 0)
     return weight[:-1], float(weight[-1])
 
 
@@ -208,8 +228,8 @@ def calibrate(value: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model:
     """Model of the labelled rows (doc_id, text) x (doc_id, toxic). Only a bounded sample of labelled rows is read.
 
-    Landmarks are the words whose contexts are toxic most significantly (likelihood ratio), and the most widespread
-    other ones. Counts are made in Spark; the driver gets a few strings a row.
+    Landmarks are the words whose contexts are toxic most significantly (likelihood ratio), and of the widespread other
+    words those most like them. Counts are made in Spark; the driver gets a few strings a row.
     """
     taught = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
     # At most train_rows rows of two numbers.
@@ -245,39 +265,53 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, land
     toxic_marks = [r[0] for r in seen.filter((p > 2 * share * (p + q)) & (gain > np.log(n_words + 1) + 2)).orderBy(gain.desc(), "word").limit(landmarks // 2).collect()]
     others = [r[0] for r in seen.filter(p <= 2 * share * (p + q)).orderBy(q.desc(), "word").limit(100 * landmarks).collect()]
     rows = codes(toxic_marks)
-    like = similar(others, rows, kernel(rows, rows)).max(axis=1, initial=0)
+    like = similar(others, rows, kernel(rows, rows)).max(axis=1, initial=0) if toxic_marks else np.zeros(len(others))
     close = [others[k] for k in np.argsort(-like, kind="stable")[: landmarks // 4]]
-    marks = sorted({*toxic_marks, *others[: landmarks // 4], *close})
+    marks = sorted({*toxic_marks, *close})
+    if not toxic_marks:  # nothing tells toxic texts apart: the base rate is the score
+        return Model([], np.zeros(0), 0.0, 0.0, float(np.log(n_toxic / (n - n_toxic))))
     rows = codes(marks)
     norm, toxic_at = kernel(rows, rows), [marks.index(w) for w in toxic_marks]
 
+    toxic_rows, toxic_norm = rows[toxic_at], norm[toxic_at]
+
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        like: dict[str, float] = {}
         for batch in batches:
-            for k in range(0, len(batch), 50):
-                own = batch.iloc[k : k + 50]
-                known = sorted(set().union(*own["words"]))
-                like = dict(zip(known, similar(known, rows, norm)[:, toxic_at].max(axis=1).tolist())) if known and toxic_at else dict.fromkeys(known, 0.0)
+            for k in range(0, len(batch), 200):
+                own = batch.iloc[k : k + 200]
+                if len(like) > MEMORY:
+                    like.clear()
+                new = [w for w in set().union(*own["words"]) if w not in like]
+                for at in range(0, len(new), 20_000):
+                    like.update(zip(new[at : at + 20_000], similar(new[at : at + 20_000], toxic_rows, toxic_norm).max(axis=1).tolist()))
                 best = [sorted(ws, key=lambda w: (-like[w], w))[:WITNESSES] for ws in own["words"]]
                 yield pd.DataFrame({"doc_id": own["doc_id"], "toxic": own["toxic"], "words": best})
 
-    kept = cuts.mapInPandas(nearest, f"doc_id {id_type}, toxic long, words array<string>").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    kept = cuts.mapInPandas(nearest, f"doc_id {id_type}, toxic long, words array<string>").collect()
     gram = np.array([similar([w], rows, norm)[0] for w in marks])
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4 * value.max()))) @ vector.T
     # The toxic landmarks with one character put in anywhere teach how far a toxic string may be bent.
     bent = [w[:k] + c + w[k:] for w in toxic_marks for k in range(1, len(w)) for c in "x*" if len(w) < LONGEST]
-    known = sorted({w for r in kept for w in r["words"]} | set(bent))
-    like = similar(known, rows, norm)
-    feature = dict(zip(known, like @ whiten))
-    close = dict(zip(known, (like[:, toxic_at].max(axis=1) > 0.6).tolist())) if toxic_at else dict.fromkeys(known, False)
-    pairs = [(feature[w], 1.0 if r["toxic"] else -1.0, close[w]) for r in kept for w in r["words"]]
-    pairs += [(feature[w], 1.0, True) for w in bent]
-    if not pairs:
+    # Each different string is held once, with its count on either side: the machine's input is a bounded small array.
+    counts = Counter((w, bool(r["toxic"])) for r in kept for w in r["words"]) + Counter((w, True) for w in bent)
+    if not counts:
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(n_toxic / (n - n_toxic))))
-    sign = np.array([y for _, y, *_ in pairs])
-    weight, bias = fit_svm(np.array([x for x, *_ in pairs]), sign, np.array([c for *_, c in pairs]))
+    known = sorted({w for w, _ in counts})
+    place = {w: k for k, w in enumerate(known)}
+    features, close = np.zeros((len(known), len(marks)), np.float32), np.zeros(len(known), bool)
+    for k in range(0, len(known), 5000):
+        like = similar(known[k : k + 5000], rows, norm)
+        features[k : k + 5000] = like @ whiten
+        close[k : k + 5000] = like[:, toxic_at].max(axis=1, initial=0) > 0.6
+    pairs = sorted(counts)
+    at = np.array([place[w] for w, _ in pairs])
+    sign = np.array([1.0 if toxic else -1.0 for _, toxic in pairs], np.float32)
+    weight, bias = fit_svm(features, at, sign, np.array([counts[p] for p in pairs], np.float32), close[at])
+    value = features @ weight + bias
     model = Model(marks, whiten @ weight, float(bias), 1.0, 0.0)
-    top = np.array([max([float(feature[w] @ weight) + bias for w in r["words"]] + [bias]) for r in kept])
+    top = np.array([max([float(value[place[w]]) for w in r["words"]] + [bias]) for r in kept])
     model.slope, model.offset = calibrate(top, np.array([float(r["toxic"]) for r in kept]))
     return model
 
@@ -313,4 +347,4 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pipeline stage: documents that the model calls toxic go. The model learns as in the query."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = train(docs.select("doc_id", "text"), labels.filter(~held_out()))
-    return docs.withColumn("_score", score_column(F.col("text"), model, spark)).filter("_score < 0.5").drop("_score")
+    return docs.filter(score_column(F.col("text"), model, spark) < 0.5)

@@ -1,10 +1,11 @@
 """Operator 10: mixing sources to target weights by Pfair scheduling (built-in functions only).
 
-Each source's rows are cut into blocks. With integer weights w out of a total W, block j of a source may start at
-its release time floor(j * W / w) and must end by its deadline ceil((j + 1) * W / w). Earliest deadline first over
-these windows fills one slot per unit of time, so at every time each source has received its share to within less
-than one block. The windows repeat after W slots: the schedule of one period is a table of W slots, whatever the
-size of the corpus, and every block finds its slot by an equality join.
+Each source's rows are cut into blocks. With target share p, block j of a source may start at its release time
+floor(j / p) and must end by its deadline ceil((j + 1) / p). Earliest deadline first over these windows fills at most
+one slot per unit of time, so at every time each source that still has rows has received its share to within less than
+one block. The shares are the exact quotients of the given weights, never rounded, so this holds for any number of
+sources and at any length. Scheduling is sequential: the driver makes it from the row counts alone, one entry per
+block, and writes it out in pieces of bounded size; every block then finds its slot by an equality join.
 
 When a source runs out, its slots stay empty and the others keep their windows: no row is dropped or repeated.
 """
@@ -12,28 +13,30 @@ When a source runs out, its slots stay empty and the others keep their windows:
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import itertools
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import ROW, globally_ranked
+from sheetwise.llm.common import ROW, globally_ranked, scratch_dir
 
 SLOT, PLACE = "__sheetwise_slot__", "__sheetwise_place__"
-#: Slots of a period: target weights are rounded to this many parts.
+#: Slots of a schedule of rounded weights that repeats.
 PERIOD = 1000
 #: Rows of a block.
 BLOCK_ROWS = 16
-#: Sources a schedule may have: the period table then has a proven bound.
-MOST_SOURCES = 20_000
+#: Entries of the schedule that the driver holds at once.
+PIECE = 200_000
 
 
 def rounded(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Integer weights: largest remainders, every source at least 1. They add up to the period, or to one part each."""
+    """Integer weights for a schedule that repeats: largest remainders, every source at least 1. mix() doesn't round."""
     if not weights or min(weights.values()) <= 0:
         raise ValueError("every source needs a weight above 0")
-    if len(weights) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
     order = sorted(weights, key=lambda s: (s is not None, s or ""))
     total, spare = sum(weights.values()), max(period, len(weights)) - len(weights)
     exact = {s: weights[s] / total * spare for s in order}
@@ -44,23 +47,53 @@ def rounded(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[s
 
 
 def one_period(parts: Mapping[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, block in period, release, deadline, slot) of one period, by earliest deadline first.
+    """(source, block in period, release, deadline, slot) of one period of integer weights: one entry per part."""
+    return list(schedule(parts, parts))
 
-    Ties go to the later release's rival, then to the source that comes first in `parts`. The list has one entry
-    per part, so at most max(PERIOD, MOST_SOURCES) entries.
+
+def schedule(weights: Mapping[str | None, float], blocks: Mapping[str | None, int]) -> Iterator[tuple[str | None, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of all blocks of each source, by earliest deadline first.
+
+    Ties go to the source that comes first in `weights`. All sources of `weights` share the time, whether they have
+    blocks or not. Times are exact: weights are taken as the fractions that they are. Memory grows with the number of
+    sources only.
     """
-    total, names = sum(parts.values()), list(parts)
-    windows = sorted((j * total // w, -(-(j + 1) * total // w), k, j) for k, w in enumerate(parts.values()) for j in range(w))
+    if weights and min(weights.values()) <= 0:
+        raise ValueError("every source needs a weight above 0")
+    exact = [Fraction(w) for w in weights.values()]
+    scale = lcm(*[w.denominator for w in exact]) if exact else 1
+    whole, names = [int(w * scale) for w in exact], list(weights)
+    total, last = sum(whole), [blocks.get(s, 0) for s in names]
+    # A source's next block waits until its release, then until no rival has an earlier deadline.
+    waiting = [(0, k, 0) for k in range(len(names)) if last[k]]
     ready: list[tuple[int, int, int, int]] = []
-    slots, at = [], 0
-    for slot in range(total):
-        while at < total and windows[at][0] <= slot:
-            release, deadline, k, j = windows[at]
-            heapq.heappush(ready, (deadline, k, j, release))
-            at += 1
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // whole[k]), k, j, release))
         deadline, k, j, release = heapq.heappop(ready)
-        slots.append((names[k], j, release, deadline, slot))
-    return slots
+        yield names[k], j, release, deadline, slot
+        slot += 1
+        if j + 1 < last[k]:
+            heapq.heappush(waiting, ((j + 1) * total // whole[k], k, j + 1))
+
+
+def schedule_table(spark: SparkSession, weights: Mapping[str | None, float], blocks: Mapping[str | None, int]) -> DataFrame:
+    """The schedule as a stored table; the driver holds PIECE entries at once."""
+    path, entries = scratch_dir(spark), schedule(weights, blocks)
+    schema = pa.schema([("_source", pa.string()), *[(c, pa.int64()) for c in ("_j", "_release", "_deadline", "_slot")]])
+    columns: list = [()] * len(schema)
+    while True:
+        piece = list(itertools.islice(entries, PIECE))
+        if piece:
+            columns = list(zip(*piece))
+        table = pa.table([pa.array(c if piece else [], f.type) for c, f in zip(columns, schema)], schema)
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+        if len(piece) < PIECE:
+            return spark.read.schema("_source string, _j long, _release long, _deadline long, _slot long").parquet(path)
 
 
 def tempered(counts: Mapping[str | None, int], power: float = 0.5) -> dict[str | None, float]:
@@ -68,7 +101,7 @@ def tempered(counts: Mapping[str | None, int], power: float = 0.5) -> dict[str |
     return {s: float(n) ** power for s, n in counts.items() if n}
 
 
-def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", order: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", order: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add source_row, block, release, deadline and slot to all rows; ordering by slot, then source_row, mixes them.
 
     `weights` maps every source that occurs (None: null sources) to its target; without it, the square roots of the
@@ -79,26 +112,16 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     # The rows' own columns get plain numbers for names meanwhile, so that none can clash.
     df = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)])
     source, order = f"c{kept.index(source)}", f"c{kept.index(order)}"
-    n_sources = df.select(source).distinct().count()
-    if n_sources > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
     counts = {r[0]: r[1] for r in df.groupBy(source).count().collect()}
     targets = dict(weights) if weights else tempered(counts)
     if missing := [s for s in counts if s not in targets]:
         raise ValueError(f"no weight for {missing[:3]}")
-    parts = rounded(targets, period) if targets else {}
-    table = df.sparkSession.createDataFrame(
-        [(s, parts[s], *rest) for s, *rest in one_period(parts)] if parts else [],
-        "_source string, _part long, _j long, _release long, _deadline long, _slot long")
-    ranked = globally_ranked(df, source, [F.col(order).asc_nulls_first()], "source_row")
-    total = sum(parts.values()) or 1
-    # The schedule has at most max(PERIOD, MOST_SOURCES) rows of six small fields: broadcasting it is bounded.
-    parts_of = table.select("_source", "_part").distinct()
-    known = ranked.join(F.broadcast(parts_of), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    blocks = known.withColumn("block", F.floor(F.col("source_row") / block_rows)).withColumn("_in", F.col("block") % F.col("_part")).withColumn("_turn", F.floor(F.col("block") / F.col("_part")))
-    placed = blocks.drop("_part").join(F.broadcast(table.drop("_part")), F.col(source).eqNullSafe(F.col("_source")) & (F.col("_in") == F.col("_j")))
-    shift = F.col("_turn") * total
-    return placed.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], "source_row", "block", (shift + F.col("_release")).alias("release"), (shift + F.col("_deadline")).alias("deadline"), (shift + F.col("_slot")).alias("slot"))
+    targets = {s: targets[s] for s in sorted(targets, key=lambda s: (s is not None, s or ""))}
+    table = schedule_table(df.sparkSession, targets, {s: -(-n // block_rows) for s, n in counts.items()})
+    ranked = globally_ranked(df, source, [F.col(order).asc_nulls_first()], "source_row").withColumn("block", F.floor(F.col("source_row") / block_rows))
+    # No key is large: a block has at most block_rows rows, and one entry in the schedule.
+    placed = ranked.join(table, F.col(source).eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_j")))
+    return placed.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], "source_row", "block", F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"))
 
 
 def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,30 @@ def test_pfair_lag():
         assert given == parts
 
 
+@pytest.mark.parametrize("n", [20, 5000])
+def test_lag_against_exact_targets(n):
+    weights = {f"s{k}": (n * 50.0 if k == 0 else 1.0 + k % 7) ** 0.5 for k in range(n)}
+    total = sum(weights.values())
+    horizon = 4 * n + 20_000
+    blocks = {s: int(horizon * w / total) + 1 for s, w in weights.items()}
+    given, checked = dict.fromkeys(weights, 0), 0
+    for source, j, release, deadline, slot in mixing.schedule(weights, blocks):
+        p = weights[source] / total
+        assert release <= slot < deadline and j == given[source]
+        # Just before and after it is served, a source is within a block of its unrounded target: so it is in between.
+        assert j - p * slot > -1 and j - p * slot < 1 and abs(j + 1 - p * (slot + 1)) < 1 + 1e-6
+        given[source] += 1
+        checked += 1
+    assert given == blocks and checked >= horizon
+
+
+def test_many_sources_keep_their_weights(spark):
+    rows = [(k, f"s{k}") for k in range(1200)] + [(2000 + k, "hot") for k in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"hot": 600.0} | {f"s{k}": 1.0 for k in range(1200)}, block_rows=1).collect()
+    assert len(got) == len(rows) == len({r["slot"] for r in got})
+    assert abs(sum(r["source"] == "hot" and r["slot"] < 900 for r in got) - 300) <= 1  # a third of the time
+
+
 def test_mix_order(spark):
     rows = [(k, "a" if k % 3 else "b") for k in range(3000)]
     got = sorted((r["slot"], r["source_row"], r["source"]) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 3, "b": 1}, block_rows=10).collect())

@@ -36,6 +36,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_places(df: DataFrame, into: Sequence[str]) -> DataFrame:
+    """Add three numbers that sort the rows as they were written: task and file (from the file's name), row in the file.
+
+    Reading a table deals its files out by size, so the order of a stored table is in its files only. Rows of a table
+    that isn't read from files as it stands are numbered in the order of their partitions.
+    """
+    # Hidden file columns also resolve through joins and sorts, where they tell nothing about the order of the result.
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        number = lambda pattern: F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(_metadata.file_name, '{pattern}', 1), '') as long)"), F.lit(0))
+        places = [number("^part-([0-9]+)"), number("-c([0-9]+)[.]"), F.col("_metadata.row_index")]
+    else:
+        places = [F.lit(0), F.lit(0), F.monotonically_increasing_id()]
+    return df.select("*", *[p.cast("long").alias(c) for p, c in zip(places, into)])
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")

@@ -6,17 +6,19 @@ a row only into the new shard, and about 1/(n + 1) of all rows move.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import globally_ranked
+from sheetwise.llm.common import globally_ranked, with_places
 
 #: Multiplier of the walk's linear congruential generator (fixed by the published algorithm).
 STEP = np.uint64(2862933555777941757)
+#: Names of a row's place in a stored table: file, file of the same task, row.
+PLACES = ("__sheetwise_file__", "__sheetwise_chunk__", "__sheetwise_place__")
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -55,11 +57,12 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = 16, into: st
     return df.withColumn(into, shard_of(F.col(key), shards))
 
 
-def shard_plan(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """One row per document: its shard, its gapless slot there (by doc_id), its shard once one more is added.
+def shard_plan(docs: DataFrame, shards: int = 16, order: Sequence[str] = ()) -> DataFrame:
+    """One row per document: its shard, its gapless slot there, its shard once one more is added.
 
-    Only numbers move: texts stay in the scan. Null texts have size 1 and the checksum of no bytes (0). Null ids
-    come first in their shard; repeated ids take neighbouring slots.
+    Slots follow the columns `order`, if given, then doc_id. Only numbers move: texts stay in the scan. Null texts have
+    size 1 and the checksum of no bytes (0). Without `order`, null ids come first in their shard and repeated ids take
+    neighbouring slots.
     """
     payload = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     narrow = docs.select(
@@ -67,9 +70,11 @@ def shard_plan(docs: DataFrame, shards: int = 16) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(payload).alias("text_crc32"),
         F.lit("key").alias("law"),
+        *[F.col(c).alias(f"_order{k}") for k, c in enumerate(order)],
     )
     narrow = assign_shards(assign_shards(narrow, shards=shards), shards=shards + 1, into="grown_shard")
-    ranked = globally_ranked(narrow, "shard", [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc()], "slot")
+    first = [F.col(f"_order{k}").asc() for k in range(len(order))]
+    ranked = globally_ranked(narrow, "shard", [*first, F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc()], "slot")
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -78,5 +83,5 @@ def op3_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each remaining document's place among 16 shards."""
-    return shard_plan(docs)
+    """Pipeline stage: each remaining document's place among 16 shards, whose slots keep the order that the stage is given."""
+    return shard_plan(with_places(docs, PLACES), order=PLACES)

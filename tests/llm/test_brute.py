@@ -227,6 +227,22 @@ def test_mix_order(spark):
     assert len(got) == 3000 and abs(head.count("a") - 900) <= 10
 
 
+def test_slots_follow_the_mix(spark, tmp_path, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(k, f"text {k}", "ab"[k % 3 == 0]) for k in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(pipeline, "STAGES", [s for s in pipeline.STAGES if s[0] in ("mixing", "sharding")])
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for weights in ({"a": 1.0, "b": 5.0}, {"a": 5.0, "b": 1.0}):
+        monkeypatch.setattr(mixing, "tempered", lambda counts, w=weights: w)
+        place = {r["doc_id"]: (r["slot"], r["source_row"]) for r in mixing.mix(docs).collect()}
+        got = {r["doc_id"]: (r["shard"], r["slot"]) for r in pipeline.run(spark, str(tmp_path)).collect()}
+        ids = sorted(got, key=got.get)
+        assert ids == sorted(got, key=lambda k: (got[k][0], place[k]))
+        seen.append(ids)
+    assert seen[0] != seen[1]
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.01"

@@ -2,13 +2,14 @@
 
 Addresses, card and phone numbers are found by their form. They are the protected entities; corpus co-occurrence then
 tells which other terms give them away. With n_e distinct contexts of an entity, n_te of them holding a term, n_t
-documents holding the term and N documents in all, the term's pointwise mutual information with the entity is
+distinct texts holding the term and N distinct texts in all, the term's pointwise mutual information with the entity is
 log2(n_te * N / (n_t * n_e)), and the entity's information content log2(N / n_e). Their ratio is the share of the entity
 that the term discloses: 1 for a term that occurs next to the entity only. Terms above the disclosure threshold are
 personal data as well, wherever they occur: generalised to a class label, or removed above a second threshold.
 
-Contexts are windows of words around an entity; equal windows count once, so copies of a text disclose nothing by
-their number. Term tables go to the tasks in blocks of bounded size; texts are never shuffled.
+Contexts are windows of words around an entity; equal windows count once and so do equal texts, so copies of a text
+neither disclose nor hide anything by their number. Term tables go to the tasks in blocks of bounded size; texts are
+never shuffled, only their digests with the numbers of the terms they hold.
 """
 
 from __future__ import annotations
@@ -120,12 +121,12 @@ def disclosures(docs: DataFrame, support: int = SUPPORT, generalise: float = GEN
     of_entity = seen.groupBy("entity").agg(F.count("*").alias("n_e"))
     shared = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
     candidates = stored(shared.join(of_entity, "entity"))
-    total = docs.count()
+    total = docs.select(digest(F.col("text"))).distinct().count()
     counts = [term_counts(docs, sent) for sent in term_blocks(candidates.select("term").distinct(), spark)]
     if not counts:
         return candidates.select("term", F.lit(0.0).alias("disclosed"), "entity").filter("false")
     measured = candidates.join(reduce(DataFrame.union, counts), "term")
-    # A term can't share more documents with an entity than it has: repeats within a document are set aside.
+    # A term can't share more texts with an entity than it has: repeats within a text are set aside.
     information = F.log2(F.lit(float(total)) / F.least("n_e", F.lit(total)))
     mutual = F.log2(F.least("n_te", "n_t") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     scored = measured.withColumn("disclosed", F.when(information > 0, mutual / information).otherwise(0.0))
@@ -144,19 +145,31 @@ def term_blocks(terms: DataFrame, spark: SparkSession, size: int = BLOCK_TERMS)
         yield spark.sparkContext.broadcast(block)
 
 
+def digest(text: Column) -> Column:
+    """Digest by which equal texts count once; null and empty texts are equal."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("digest")
+
+
 def term_counts(docs: DataFrame, sent) -> DataFrame:
-    """(term, n_t): documents that hold each term of a block."""
+    """(term, n_t): distinct texts that hold each term of a block."""
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = {w: k for k, w in enumerate(sent.value)}
+        for batch in batches:
+            rows = [np.fromiter((number[w] for w in number.keys() & set(WORD.findall((t or "").lower()))), np.int32) for t in batch["text"]]
+            yield pd.DataFrame({"digest": batch["digest"], "terms": rows})[[len(r) > 0 for r in rows]]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, int] = {}
-        known = sent.value.keys()
+        terms = list(sent.value)
+        total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                for w in known & set(WORD.findall((text or "").lower())):
-                    total[w] = total.get(w, 0) + 1
-        yield pd.DataFrame(list(total.items()), columns=["term", "n_t"])
+            for own in batch["terms"]:
+                total[own] += 1  # the terms of a text are distinct
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"term": [terms[k] for k in seen.tolist()], "n_t": total[seen]})
 
-    return docs.select("text").mapInPandas(count, "term string, n_t long").groupBy("term").agg(F.sum("n_t").alias("n_t"))
+    distinct = docs.select("text", digest(F.col("text"))).mapInPandas(held, "digest binary, terms array<int>").dropDuplicates(["digest"])
+    return distinct.select("terms").mapInPandas(count, "term string, n_t long").groupBy("term").agg(F.sum("n_t").alias("n_t"))
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"

@@ -45,6 +45,12 @@ def test_disclosing_terms(spark):
     assert pii.disclosures(copies).count() == 0  # copies are one context
 
 
+def test_copies_hide_no_terms(spark):
+    rows = [(i, f"word{i} notes by zorblax via mail to boss@corp.example about item{i}") for i in range(4)] + [(100 + i, f"ordinary mail about item{i} to notes by word{i} via post") for i in range(60)]
+    found = [sorted((r["term"], r["disclosed"]) for r in pii.disclosures(spark.createDataFrame(own, "doc_id long, text string")).collect()) for own in (rows, rows * 5, rows[:4] * 30 + rows[4:])]
+    assert [t for t, _ in found[0]] == ["zorblax"] and found[0] == found[1] == found[2]
+
+
 def test_leaks_found(spark):
     rng = random.Random(2)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5))) for _ in range(400)]

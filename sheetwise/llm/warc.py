@@ -24,12 +24,13 @@ from sheetwise.llm.common import join_counted, scratch_dir, stored
 
 CRLF = "\r\n"
 ENDING = b"\r\n\r\n"
-#: Records of an archive file, at most: about 8 MB of ordinary pages, so a reader task holds little at once.
-ARCHIVE_RECORDS = 2000
+#: Records and bytes of an archive file, at most: a reader task holds about 8 MB of ordinary pages at once.
+#: Only a record that is longer by itself makes a longer archive, which it has to itself.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 2000, 64 << 20
+#: Bytes of a record besides payload and url, at most.
+FIXED_BYTES = 1024
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 100
-#: Longest header block that the reader accepts.
-HEADER_BYTES = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:page:"
 STARTS = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
@@ -43,15 +44,20 @@ def header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), safe, F.lit(CRLF)), F.lit(""))
 
 
+def record_bytes() -> Column:
+    """Bytes that the record of a page takes, at most: each line break of a url becomes three."""
+    return (F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 3 * F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0)).cast("long") + FIXED_BYTES)
+
+
 def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """`value`: the WARC record of each page (page_id, url, html), without its closing blank lines.
+    """`value`: the WARC record of each page (page_id, url, html), without its closing blank lines; `bytes`: its size, at most.
 
     Of pages with equal payloads of at least LEAST_REVISIT bytes, the smallest page_id is the response (every row that
     has it, if rows repeat; null ids last) and the others are revisits without payload. Null html is an empty payload.
     """
     payload = F.coalesce("html", F.lit(""))
     plain = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"),
-                         F.sha2(F.encode(payload, "UTF-8"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
+                         F.sha2(F.encode(payload, "UTF-8"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"), record_bytes().alias("bytes"))
     long = plain.filter(F.col("size") >= LEAST_REVISIT)
     groups = stored(long.groupBy("digest").agg(F.count("*").alias("copies"), F.min("page_id").alias("first")).filter("copies > 1"))
     total = groups.agg(F.sum("copies")).first()[0] or 0
@@ -71,17 +77,26 @@ def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
         header("WARC-Profile", F.when(revisit, PROFILE)),
         header("Content-Type", F.lit("application/http; msgtype=response")),
         header("Content-Length", F.octet_length(block).cast("string")),
-        F.lit(CRLF), block).alias("value"))
+        F.lit(CRLF), block).alias("value"), "bytes")
 
 
-def write_archives(pages: DataFrame, path: str, archive_records: int = ARCHIVE_RECORDS) -> None:
-    """Write the pages to WARC files below `path`; an empty table leaves a folder without records."""
-    records(pages).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", archive_records).text(path)
+def write_archives(pages: DataFrame, path: str, archive_records: int = ARCHIVE_RECORDS, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the pages to WARC files below `path`; an empty table leaves a folder without records.
+
+    Long records go to archives of fewer records, one write for each class of lengths that occurs.
+    """
+    longest = pages.agg(F.max(record_bytes())).first()[0] or 0
+    made, least, most, count = records(pages), 0, 0, archive_records
+    while not least or most < longest:
+        most = longest if count == 1 else archive_bytes // count
+        own = made.filter((F.col("bytes") > least) & (F.col("bytes") <= most)) if least or most < longest else made
+        own.select("value").write.mode("append" if least else "error").option("lineSep", CRLF * 2).option("maxRecordsPerFile", count).text(path)
+        least, count = max(most, 1), max(1, count // 32)
 
 
 def parse_record(data: bytes, at: int) -> dict | str:
     """The record that starts at `at`, or why it isn't valid."""
-    end = data.find(ENDING, at, at + HEADER_BYTES)
+    end = data.find(ENDING, at)
     if end < 0:
         return "no end of the header block"
     fields = {}

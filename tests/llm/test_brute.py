@@ -70,6 +70,26 @@ def test_leaks_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == truth
 
 
+def test_parts_of_long_items_are_found(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [say(400), say(9000)]  # the second has more than 20,000 characters
+    docs = [say(80) + items[0][200:320] + say(80), say(80) + items[1][3960:4040] + say(80), items[1], say(300)]
+    docs = [(k, " ".join(d)) for k, d in enumerate(docs)]
+    got = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 0), (1, 1), (2, 1)]
+    assert {r["doc_id"]: r["word_end"] - r["word_start"] for r in got}[0] in range(120, 126)
+
+
+def test_archives_of_long_records(spark, tmp_path):
+    pages = [(k, "u" * (70_000 if k == 3 else 10), "x%d" % k * (1 if k % 2 else 20_000)) for k in range(40)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), archive_bytes=1 << 20, archive_records=500)
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert {(r["record_id"], r["uri"]) for r in got} == {(f"urn:page:{k}", u) for k, u, _ in pages} and len(got) == 40
+    assert max(f.stat().st_size for f in (tmp_path / "w").glob("part-*")) <= 1 << 20
+
+
 def test_jump_hash_moves_little():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64)
     for n in (1, 2, 16, 100):

@@ -287,3 +287,38 @@ def test_pipeline_stages(spark):
         if name != "sharding":
             assert out.columns == docs.columns
             docs = out
+
+
+def test_damaged_archives_in_spark(spark, tmp_path):
+    """Every page that no damage touches comes back, and the gaps are exactly the records that were damaged."""
+    pages = [(k, f"http://a/{k}" + "u" * (100_000 if k == 5 else 0), f"<p>{k}</p>" * (1 + k % 7)) for k in range(60)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), archive_records=100)
+    whole = b"".join(f.read_bytes() for f in sorted((tmp_path / "w").glob("part-*")))
+    found = list(warc.salvage(whole))
+    assert len(found) == 60 and sum(r["length"] for r in found) == len(whole)
+    rng, folder = random.Random(8), tmp_path / "damaged"
+    folder.mkdir()
+    hurt = set(rng.sample(range(60), 9))
+    cuts = [whole[r["start"] : r["start"] + r["length"]] for r in found]
+    bent = [c.replace(b"WARC-Type", b"WARC+Type") if k in hurt else c for k, c in enumerate(cuts)]
+    (folder / "a.warc").write_bytes(b"".join(bent))
+    (folder / "b.warc.gz").write_bytes(b"".join(gzip.compress(c)[: -4 if k in hurt else None] for k, c in enumerate(cuts)))
+    (folder / "junk.warc").write_bytes(b"nothing to see here" * 50)
+    (folder / "empty.warc").write_bytes(b"")
+    (folder / "cut.warc").write_bytes(b"".join(cuts[:3])[:-5])
+    rows = warc.read_archives(spark, str(folder), payloads=True).collect()
+    by_file = collections.defaultdict(list)
+    for r in rows:
+        by_file[r["archive"].rsplit("/", 1)[1]].append(r)
+    sound = {found[k]["record_id"] for k in range(60) if k not in hurt}
+    for name in ("a.warc", "b.warc.gz"):
+        assert {r["record_id"] for r in by_file[name] if r["kind"] == "record"} == sound
+    at, gaps = 0, []
+    for k, c in enumerate(bent):
+        if k in hurt:
+            gaps.append([at, len(c)]) if not gaps or sum(gaps[-1]) != at else gaps.__setitem__(-1, [gaps[-1][0], gaps[-1][1] + len(c)])
+        at += len(c)
+    logged = {(r["archive"].rsplit("/", 1)[1], r["start"], r["length"]) for r in warc.quarantine(warc.read_archives(spark, str(folder))).collect()}
+    assert {(s, n) for f, s, n in logged if f == "a.warc"} == {tuple(g) for g in gaps}
+    assert ("junk.warc", 0, 19 * 50) in logged and [r["kind"] for r in by_file["cut.warc"]] == ["record", "record", "gap"]
+    assert bytes(by_file["cut.warc"][0]["payload"]).startswith(b"<p>")

@@ -86,15 +86,18 @@ def globally_ranked(df: DataFrame, group: str, order: Sequence[Column], rank: st
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
     """Join `rows` with one row per key of `groups`, whose column `size` counts that key's rows out of `total`.
 
-    Keys with more than 1/HOT_SHARE of all rows are at most HOT_SHARE many: those are broadcast, and their rows
-    need no shuffle. All other keys meet in an ordinary shuffle join, where no key is large.
+    Keys with more than 1/HOT_SHARE of all rows are at most HOT_SHARE many: those are broadcast, and their rows are
+    spread over all partitions. All other keys meet in an ordinary shuffle join, where no key is large. Each join makes
+    one row for each of `rows`, however many of them belong to a group; with `how` inner, the rest go after both.
     """
     limit = max(1, total // HOT_SHARE)
     fields = [c for c in groups.columns if c not in (key, size)]
-    hot = groups.filter(F.col(size) > limit).select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in fields])
+    side = lambda name, test: groups.filter(test).select(F.col(key).alias(f"_{name}_key"), F.lit(True).alias(f"_{name}"), *[F.col(c).alias(f"_{name}_{c}") for c in fields])
+    hot, cold = side("hot", F.col(size) > limit), side("cold", F.col(size) <= limit)
     tagged = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    cold = groups.filter(F.col(size) <= limit).select(F.col(key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in fields])
-    done = tagged.filter(F.col("_hot_key").isNotNull()).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in fields])
-    rest = tagged.filter(F.col("_hot_key").isNull()).select(*rows.columns)
-    rest = rest.join(cold, F.col(key) == F.col("_cold_key"), how).select(*rows.columns, *[F.col(f"_cold_{c}").alias(c) for c in fields])
-    return rest.unionByName(done)
+    spread = tagged.withColumn("_meet", F.when(F.col("_hot").isNull(), F.col(key))).withColumn("_spread", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.monotonically_increasing_id() % 9973))
+    # A zero that isn't a constant, so that the spread stays part of what rows are dealt by.
+    joined = spread.join(cold.withColumn("_zero", (F.hash("_cold_key") * 0).cast("long")), (F.col("_meet") == F.col("_cold_key")) & (F.col("_spread") == F.col("_zero")), "left")
+    if how == "inner":
+        joined = joined.filter(F.coalesce("_hot", "_cold"))
+    return joined.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in fields])

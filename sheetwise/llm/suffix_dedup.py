@@ -3,27 +3,31 @@
 A byte goes if it lies in a string of SPAN bytes that also starts anywhere else. Suffix sorting finds those strings:
 neighbours in suffix order with a common prefix of SPAN bytes or more. It runs in three parts.
 
-1. Sample (as the recursion of induced sorting reduces a text to sampled substrings and names them): of the GRAM-byte
-   strings inside each SPAN-byte window, the one with the smallest hash is the window's anchor. Equal windows have
-   equal anchors at equal offsets, so only windows of equally named anchors need comparing. Anchors are named by hash;
-   names that occur once end here, without their texts ever moving.
-2. Names with a single context (the bytes that all windows of an anchor cover) are copies, and so are contexts that
-   occur twice: all their windows repeat. Contexts are collapsed to one representative each.
-3. Remaining contexts are the shards of the suffix sort. Starting from empty suffixes at the contexts' ends, the order
-   of the suffixes one byte longer is induced from the order so far: tuples (preceding byte, place, common prefix)
-   pass a priority queue and leave it in their new order, with the common prefix of neighbours carried along as a
-   running minimum. Names are sorted many at a time in memory; a name with more contexts than fit goes through the
-   same induction with its queue, its bytes and its order on disk (`External`), whatever its size.
+1. Sample, as induced sorting reduces a text to sampled substrings and names them: of the GRAM-byte strings inside each
+   SPAN-byte window, the one with the smallest hash is the window's anchor. Equal windows have equal anchors at equal
+   offsets, so only windows of equally named anchors need comparing. Names that occur once end here, without their texts
+   ever moving. A name stands with its context, the bytes that all windows of its anchor cover; names with a single
+   context are copies, and so are contexts that occur twice: all their windows repeat.
+2. Recurse where a name has many different contexts: each half of its windows is named by the longer string that those
+   share, and the same rules apply to the new names. A name as long as a window has one context only, so this ends, and
+   no name is left with more than SPLIT contexts however often a passage occurs.
+3. The contexts that are left are the shards of the suffix sort. Starting from empty suffixes at the contexts' ends, the
+   order of the suffixes one byte longer is induced from the order so far: tuples (group, context, common prefix) pass a
+   priority queue on disk and leave it in their new order, with the common prefix of neighbours carried along (`Shard`).
+
+Names and contexts are told apart by 64-bit hashes; windows inside differing contexts by their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +37,12 @@ from sheetwise.llm.common import join_counted, stored
 SPAN, GRAM = 400, 200
 #: Anchors lie at most so far behind a window's start.
 REACH = SPAN - GRAM
-#: Contexts sorted together in memory; blocks of the external sort; bytes its queue holds before it spills.
-TOGETHER, BLOCK, QUEUE_BYTES = 16_384, 65_536, 64 << 20
+#: Columns of aligned contexts.
+WIDTH = REACH + SPAN
+#: Contexts of a name above which it is split by longer names.
+SPLIT = 512
+#: Tuples of a block of the external sort; bytes its queue holds before it goes to disk.
+BLOCK, QUEUE_BYTES = 4096, 64 << 20
 #: Longest stretch of a document that is hashed at once (positions share a number with hashes).
 STRETCH = 1 << 19
 
@@ -94,208 +102,244 @@ def anchors(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
 
 def aligned(contexts: list[bytes], before: np.ndarray) -> np.ndarray:
     """Contexts as rows of numbers (byte + 1; 0 outside), their anchors below each other in column REACH."""
-    out = np.zeros((len(contexts), REACH + SPAN), np.uint16)
+    out = np.zeros((len(contexts), WIDTH), np.uint16)
     for k, c in enumerate(contexts):
         at = REACH - int(before[k])
         out[k, at : at + len(c)] = np.frombuffer(c, np.uint8).astype(np.uint16) + 1
     return out
 
 
-def induced(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each context and distance 0..REACH before the anchor: does the SPAN-byte window there occur in another context of its group?
+class Shard:
+    """External induced sorting of the contexts of one task: bytes, order, queue and places lie in files of a folder.
 
-    `group` is sorted. `order` lists contexts by group and suffix from the current column on, `common[i]` is the
-    common prefix of the suffixes at places i - 1 and i. One step takes in the preceding byte: entries leave the queue
-    by (group, byte, place so far), and neighbours with the same byte have one byte more in common than the least of
-    all common prefixes between their places.
+    The order is a file of suffix tuples (group, context, common prefix with the tuple before), sorted by group and by
+    the suffixes that start in the current column. Taking in the column before, each tuple passes a priority queue keyed
+    by (group, byte, place so far) and leaves it in its new order; two neighbours with the same byte have one byte more
+    in common than the least of all common prefixes between their places. Groups that end inside a block of the file
+    leave the queue at once; the tuples of a group that goes on wait in it, one run for each byte, and go to disk when
+    they take more than `queue_bytes`. In memory are a block, the queue's newest tuples and four bytes a context.
     """
-    n = len(rows)
-    order, common = np.arange(n), np.zeros(n, np.int64)
-    inside = np.concatenate([[False], group[1:] == group[:-1]])  # groups keep their places
-    found = np.zeros((n, REACH + 1), bool)
-    columns = np.ascontiguousarray(rows.T)
-    for c in range(REACH + SPAN - 1, -1, -1):
-        byte = columns[c][order]
-        if (byte[1:] == byte[:-1])[inside[1:]].all():
-            common = np.where(inside & (byte > 0), common + 1, 0)
-        else:
-            queue = np.argsort(group.astype(np.int64) * 512 + byte, kind="stable")
-            taken = byte[queue]
-            same = inside & np.concatenate([[False], taken[1:] == taken[:-1]]) & (taken > 0)
-            fresh = np.zeros(n, np.int64)
-            if same.any():
-                to = np.flatnonzero(same)
-                bounds = np.stack([queue[to - 1] + 1, queue[to] + 1], axis=1).ravel()
-                fresh[to] = 1 + np.minimum.reduceat(np.append(common, 0), bounds)[::2]
-            order, common = order[queue], fresh
-        if c <= REACH:
-            long = common >= SPAN
-            found[order, REACH - c] = long | np.concatenate([long[1:], [False]])
-    return found
-
-
-class External:
-    """The same induction for one group of any size: bytes, order and queue lie in a folder on disk."""
 
     def __init__(self, folder: str, queue_bytes: int = QUEUE_BYTES, block: int = BLOCK) -> None:
-        self.folder, self.queue_bytes, self.block, self.count = folder, queue_bytes, block, 0
-        self.bytes = open(f"{folder}/bytes", "w+b")  # noqa: SIM115
+        self.folder, self.queue_bytes, self.block = folder, queue_bytes, block
+        self.count, self.groups, self.name = 0, 0, None
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def append(self, name: str, values: np.ndarray) -> None:
+        with open(self.path(name), "ab") as f:
+            values.tofile(f)
+
+    def add(self, contexts: list[bytes], before: np.ndarray, names: np.ndarray, row: np.ndarray, at: np.ndarray) -> None:
+        """Further contexts, in the order of their names, with the bytes before their anchors and the anchors' places."""
+        fresh = names[1:] != names[:-1]
+        first = self.name is None or names[0] != self.name
+        group = self.groups + np.cumsum(np.concatenate([[first], fresh])) - 1
+        self.groups, self.name = int(group[-1]) + 1, names[-1]
+        self.append("rows", aligned(contexts, before))
+        self.append("places", np.stack([row, at], axis=1).astype(np.int64))
+        n = np.arange(self.count, self.count + len(names))
+        self.append("order", np.stack([group, n, np.zeros_like(n)], axis=1).astype(np.int64))
+        self.count += len(names)
+
+    def turn(self) -> None:
+        """Contexts as columns: a step reads one column from end to end."""
+        rows = np.memmap(self.path("rows"), np.uint16, "r", shape=(self.count, WIDTH))
+        columns = np.memmap(self.path("columns"), np.uint16, "w+", shape=(WIDTH, self.count))
+        for k in range(0, self.count, self.block):
+            columns[:, k : k + self.block] = rows[k : k + self.block].T
+        columns.flush()
 
-    def add(self, rows: np.ndarray) -> None:
-        rows.astype(np.uint16).tofile(self.bytes)
-        self.count += len(rows)
+    def blocks(self) -> Iterator[np.ndarray]:
+        with open(self.path("order"), "rb") as f:
+            while len(part := np.fromfile(f, np.int64, 3 * self.block)):
+                yield part.reshape(-1, 3)
+
+    def induce(self, column: np.ndarray) -> Iterator[np.ndarray]:
+        """Blocks of tuples in the order that the column before gives."""
+        queue = Queue(self.path("queue"), self.queue_bytes)
+        for tuples in self.blocks():
+            byte, group = column[tuples[:, 1]], tuples[:, 0]
+            begin, end = np.searchsorted(group, group[0], "right"), np.searchsorted(group, group[-1])
+            if queue.group == group[0]:
+                queue.push(byte[:begin], tuples[:begin])
+            else:
+                yield from queue.drain()
+                begin = 0
+            if begin < end:
+                yield from queue.drain()
+                yield whole_groups(tuples[begin:end], byte[begin:end])
+            if begin <= end and end < len(group):
+                yield from queue.drain()
+                queue.push(byte[end:], tuples[end:])
+        yield from queue.drain()
+
+    def steps(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(distance, contexts whose window at that distance before the anchor occurs in another context of their group)."""
+        self.turn()
+        for c in range(WIDTH - 1, -1, -1):
+            column = np.fromfile(self.path("columns"), np.uint16, self.count, offset=2 * c * self.count)
+            found, before = [], -1
+            with open(self.path("next"), "wb") as out:
+                for tuples in self.induce(column):
+                    tuples.tofile(out)
+                    if c <= REACH and (long := tuples[:, 2] >= SPAN).any():
+                        found.append(tuples[long | np.concatenate([long[1:], [False]]), 1])
+                        if long[0]:
+                            found.append(np.array([before]))
+                    before = int(tuples[-1, 1])
+            os.replace(self.path("next"), self.path("order"))
+            if c <= REACH:
+                yield REACH - c, np.concatenate(found) if found else np.zeros(0, np.int64)
 
-    def push(self, queue: dict[int, list], files: dict[int, object], byte: int, tuples: np.ndarray) -> None:
-        queue.setdefault(byte, []).append(tuples)
+    def spans(self) -> Iterator[pd.DataFrame]:
+        """(row, from, to): the bytes of each run of found windows."""
+        if not self.count:
+            return
+        places = np.memmap(self.path("places"), np.int64, "r", shape=(self.count, 2))
+        since = np.full(self.count, -1, np.int16)
+
+        def ended(which: np.ndarray, far: int) -> Iterator[pd.DataFrame]:
+            for k in range(0, len(which), self.block):
+                own = which[k : k + self.block]
+                at = places[own, 1]
+                yield pd.DataFrame({"row": places[own, 0], "from": at - far, "to": at - since[own] + SPAN})
+
+        for distance, found in self.steps():
+            now = np.zeros(self.count, bool)
+            now[found] = True
+            gone = np.flatnonzero(~now & (since >= 0))
+            yield from ended(gone, distance - 1)
+            since[gone] = -1
+            since[now & (since < 0)] = distance
+        yield from ended(np.flatnonzero(since >= 0), REACH)
+
+
+def whole_groups(tuples: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """One step of the induction for groups that lie wholly in these tuples."""
+    group, common = tuples[:, 0], tuples[:, 2]
+    inside = np.concatenate([[False], group[1:] == group[:-1]])  # groups keep their places
+    if (byte[1:] == byte[:-1])[inside[1:]].all():
+        fresh, order = np.where(inside & (byte > 0), common + 1, 0), tuples
+    else:
+        place = np.argsort(group * 512 + byte, kind="stable")
+        order, taken = tuples[place], byte[place]
+        same = inside & np.concatenate([[False], taken[1:] == taken[:-1]]) & (taken > 0)
+        fresh = np.zeros(len(order), np.int64)
+        if same.any():
+            to = np.flatnonzero(same)
+            fresh[to] = 1 + np.minimum.reduceat(np.append(common, 0), np.stack([place[to - 1] + 1, place[to] + 1], axis=1).ravel())[::2]
+    return np.stack([order[:, 0], order[:, 1], fresh], axis=1)
+
+
+class Queue:
+    """Priority queue of the tuples of one group, by byte and place; one file for each byte once memory is full."""
+
+    def __init__(self, path: str, most: int) -> None:
+        self.path, self.most, self.group = path, most, None
+        self.clear()
+
+    def clear(self) -> None:
+        self.group, self.held, self.waiting, self.files = None, 0, {}, {}
+        self.since: dict[int, int] = {}  # least common prefix since a byte's last tuple
+
+    def push(self, byte: np.ndarray, tuples: np.ndarray) -> None:
+        """The group's next tuples, in the order so far."""
+        self.group, common = tuples[0, 0], tuples[:, 2]
+        kinds = np.unique(byte).tolist()
+        for b in kinds:
+            at = np.flatnonzero(byte == b)
+            starts = np.concatenate([[0], at[:-1] + 1])
+            least = np.minimum.reduceat(np.append(common, 0), np.stack([starts, at + 1], axis=1).ravel())[::2]
+            fresh = least + 1 if b else np.zeros(len(at), np.int64)
+            fresh[0] = min(self.since[b], int(least[0])) + 1 if b and b in self.since else 0
+            self.waiting.setdefault(b, []).append(np.stack([tuples[at, 0], tuples[at, 1], fresh], axis=1))
+            self.since[b] = int(common[at[-1] + 1 :].min(initial=WIDTH))
+        low = int(common.min())
+        for b in self.since.keys() - set(kinds):
+            self.since[b] = min(self.since[b], low)
         self.held += tuples.nbytes
-        if self.held > self.queue_bytes:
-            for b, parts in queue.items():
-                if b not in files:
-                    files[b] = open(f"{self.folder}/queue-{b}", "w+b")  # noqa: SIM115
-                for p in parts:
-                    p.tofile(files[b])
-            queue.clear()
-            self.held = 0
-
-    def steps(self) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
-        """After each column from REACH down to 0: (column, blocks of (context, common prefix) in suffix order)."""
-        self.bytes.flush()
-        width = REACH + SPAN
-        rows = np.memmap(f"{self.folder}/bytes", np.uint16, "r", shape=(self.count, width))
-        start = np.zeros((self.count, 2), np.int64)
-        start[:, 0] = np.arange(self.count)
-        start.tofile(f"{self.folder}/order")
-        for c in range(width - 1, -1, -1):
-            queue: dict[int, list] = {}
-            files: dict[int, object] = {}
-            self.held = 0
-            since: dict[int, int] = {}  # least common prefix since a byte's last entry
-            for tuples in self.blocks():
-                byte, common = rows[tuples[:, 0], c], tuples[:, 1]
-                kinds = np.unique(byte).tolist()
-                for b in kinds:
-                    at = np.flatnonzero(byte == b)
-                    starts = np.concatenate([[0], at[:-1] + 1])
-                    gap = np.minimum.reduceat(np.append(common, 0), np.stack([starts, at + 1], axis=1).ravel())[::2]
-                    first = min(since[b], int(gap[0])) + 1 if b in since and b else 0
-                    fresh = np.where(b > 0, gap + 1, 0)
-                    fresh[0] = first
-                    self.push(queue, files, b, np.stack([tuples[at, 0], fresh], axis=1))
-                    since[b] = int(common[at[-1] + 1 :].min(initial=width))
-                low = int(common.min())
-                for b in set(since) - set(kinds):
-                    since[b] = min(since[b], low)
-            with open(f"{self.folder}/order", "wb") as out:
-                for b in sorted(set(queue) | set(files)):
-                    if b in files:
-                        files[b].flush()
-                        files[b].seek(0)
-                        while chunk := files[b].read(1 << 20):
-                            out.write(chunk)
-                        files[b].close()
-                    for p in queue.get(b, ()):
-                        p.tofile(out)
-            if c <= REACH:
-                yield c, self.blocks()
+        if self.held > self.most:
+            for b, parts in self.waiting.items():
+                with open(f"{self.path}-{b}", "ab") as f:
+                    for p in parts:
+                        p.tofile(f)
+                self.files[b] = f"{self.path}-{b}"
+            self.waiting, self.held = {}, 0
+
+    def drain(self) -> Iterator[np.ndarray]:
+        for b in sorted(self.since):
+            if b in self.files:
+                with open(self.files[b], "rb") as f:
+                    while len(part := np.fromfile(f, np.int64, 3 * 65536)):
+                        yield part.reshape(-1, 3)
+                os.remove(self.files[b])
+            yield from self.waiting.get(b, ())
+        self.clear()
+
+
+def sort_shard(batches: Iterator[pd.DataFrame], queue_bytes: int = QUEUE_BYTES, block: int = BLOCK) -> Iterator[pd.DataFrame]:
+    """Contexts that arrive by name -> (row, from, to): spans of bytes to remove.
+
+    The files live as long as the task and lie where Spark's own sorts of that executor spill; a lost task starts anew.
+    """
+    with tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as folder:
+        shard = Shard(folder, queue_bytes, block)
+        for part in batches:
+            for k in range(0, len(part), block):
+                own = part.iloc[k : k + block]
+                at = own["at"].to_numpy(np.int64)
+                shard.add(own["bytes"].tolist(), at - own["first"].to_numpy(np.int64), own["name"].to_numpy(), own["row"].to_numpy(), at)
+        yield from shard.spans()
 
-    def blocks(self) -> Iterator[np.ndarray]:
-        with open(f"{self.folder}/order", "rb") as f:
-            while len(part := np.fromfile(f, np.int64, 2 * self.block)):
-                yield part.reshape(-1, 2)
-
-    def result(self) -> np.ndarray:
-        """As `induced`: found windows by context and distance (on disk as well)."""
-        found = np.memmap(f"{self.folder}/found", bool, "w+", shape=(self.count, REACH + 1))
-        for c, blocks in self.steps():
-            before = -1
-            for tuples in blocks:
-                long = tuples[:, 1] >= SPAN
-                found[tuples[:, 0], REACH - c] = long | np.concatenate([long[1:], [False]])
-                if before >= 0 and long[0]:
-                    found[before, REACH - c] = True
-                before = int(tuples[-1, 0])
-        return found
-
-
-def runs(found: np.ndarray, near: int, far: int) -> list[tuple[int, int]]:
-    """Maximal runs (nearest, farthest distance) of found windows among the distances that the context decides."""
-    own = np.flatnonzero(found[near : far + 1]) + near
-    if not len(own):
-        return []
-    cut = np.flatnonzero(np.diff(own) > 1)
-    return list(zip(own[np.concatenate([[0], cut + 1])].tolist(), own[np.concatenate([cut, [len(own) - 1]])].tolist()))
-
-
-def sort_shard(batches: Iterator[pd.DataFrame], together: int = TOGETHER) -> Iterator[pd.DataFrame]:
-    """Contexts that arrive by name -> (row, from, to): spans of bytes to remove."""
-    wait: list[pd.DataFrame] = []
-
-    def spans(part: pd.DataFrame, found: np.ndarray) -> pd.DataFrame:
+
+def settled(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What names and context hashes decide, and what must be sorted: (spans, contexts).
+
+    Names that occur once go. Names with one context are copies of it: all their windows repeat; so do all windows of a
+    context that occurs twice. Of the different contexts of a name one row each is left, with their number.
+    """
+    own = [c for c in table.columns if c not in ("name", "context")]
+    classes = table.groupBy("name").agg(F.count("*").alias("copies"), F.min("context").alias("a"), F.max("context").alias("b")).filter("copies > 1")
+    classes = stored(classes.select("name", "copies", (F.col("a") != F.col("b")).alias("mixed")))
+    live = stored(join_counted(table, classes, "name", "copies", table.count(), "inner"))
+    whole = lambda df: df.select("row", F.col("first").alias("from"), (F.col("last") + SPAN).alias("to"))
+    mixed = live.filter("mixed").drop("mixed")
+    each = stored(mixed.groupBy("name", "context").agg(F.count("*").alias("copies"), F.min(F.struct(*own)).alias("one")))
+    n_mixed, n_each = each.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
+    pair = F.struct("name", "context")
+    twice = each.filter("copies > 1").select(pair.alias("pair"), "copies", F.lit(True).alias("again"))
+    copied = join_counted(mixed.withColumn("pair", pair), twice, "pair", "copies", n_mixed, "inner")
+    sizes = each.groupBy("name").agg(F.count("*").alias("contexts")).withColumn("n", F.col("contexts"))
+    left = join_counted(each.select("name", "one.*"), sizes, "name", "n", n_each, "inner")
+    return whole(live.filter(~F.col("mixed"))).union(whole(copied)), left
+
+
+def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The recursion: contexts of a name that has too many, under two longer names each.
+
+    A context's windows start `low` to `high` bytes before its anchor, and its name is the bytes that all of them cover.
+    Windows of half that range cover more bytes, and those are their name: contexts that differ there part.
+    """
+    for batch in batches:
         out = []
-        for k, (row, at, first, last) in enumerate(zip(part["row"].tolist(), part["at"].tolist(), part["first"].tolist(), part["last"].tolist())):
-            out += [(row, at - far, at - near + SPAN) for near, far in runs(found[k], at - last, at - first)]
-        return pd.DataFrame(out, columns=["row", "from", "to"])
-
-    def small(part: pd.DataFrame) -> pd.DataFrame:
-        group = np.unique(part["name"].to_numpy(), return_inverse=True)[1]
-        place = np.argsort(group, kind="stable")
-        part = part.iloc[place]
-        rows = aligned(part["bytes"].tolist(), (part["at"] - part["first"]).to_numpy())
-        return spans(part, induced(rows, group[place]))
-
-    def large(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with tempfile.TemporaryDirectory() as folder:
-            sort, kept = External(folder), []
-            for p in parts:
-                sort.add(aligned(p["bytes"].tolist(), (p["at"] - p["first"]).to_numpy()))
-                kept.append(p.drop(columns="bytes"))
-            found, at = sort.result(), 0
-            for p in kept:
-                yield spans(p, np.asarray(found[at : at + len(p)]))
-                at += len(p)
-
-    def finish(last: bool) -> Iterator[pd.DataFrame]:
-        nonlocal wait
-        if not wait:
-            return
-        held = pd.concat(wait, ignore_index=True)
-        open_name = held["name"].iloc[-1]
-        done = held if last else held[held["name"] != open_name]
-        wait = [] if last else [held[held["name"] == open_name]]
-        if len(done):
-            yield small(done)
-
-    pending: Iterator[pd.DataFrame] = iter(batches)
-    for batch in pending:
-        while len(batch):
-            wait.append(batch.iloc[:together])
-            batch = batch.iloc[together:]
-            if sum(map(len, wait)) >= together:
-                yield from finish(False)
-                if wait and sum(map(len, wait)) >= together:  # one name alone is more than fits
-                    name, over = wait[0]["name"].iloc[0], [batch]
-
-                    def rest(first: list = wait, name=name, over=over) -> Iterator[pd.DataFrame]:
-                        yield from first
-                        while True:
-                            cut = int((over[0]["name"] == name).sum())
-                            if cut:
-                                yield over[0].iloc[:cut]
-                            over[0] = over[0].iloc[cut:]
-                            if len(over[0]):
-                                return
-                            following = next(pending, None)
-                            if following is None:
-                                return
-                            over[0] = following
-
-                    wait = []
-                    yield from large(rest())
-                    batch = over[0]
-    yield from finish(True)
-
-
-def removed_spans(docs: DataFrame) -> DataFrame:
+        for row, at, first, last, low, high, data in batch[["row", "at", "first", "last", "low", "high", "bytes"]].itertuples(index=False, name=None):
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                near, far = max(a, at - last), min(b, at - first)
+                if near <= far:
+                    own = data[at - far - first : at - near - first + SPAN]
+                    name = xxhash.xxh64_intdigest(data[at - a - first : at - b - first + SPAN], 1000 * a + b)
+                    context = xxhash.xxh64_intdigest(own, 1000 * near + far)
+                    out.append((row, at, at - far, at - near, a, b, name - (1 << 63), context - (1 << 63), own))
+        yield pd.DataFrame(out, columns=["row", "at", "first", "last", "low", "high", "name", "context", "bytes"])
+
+
+CONTEXT = "row long, at int, first int, last int, low int, high int"
+
+
+def removed_spans(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """(row, spans): the byte spans to remove from each numbered document (row, text); spans may overlap."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,36 +359,29 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         if held:
             yield pd.concat(held, ignore_index=True)
 
-    table = stored(docs.mapInPandas(gathered, "row long, at int, first int, last int, name long, context long"))
-    classes = table.groupBy("name").agg(F.count("*").alias("copies"), F.min("context").alias("a"), F.max("context").alias("b")).filter("copies > 1")
-    classes = stored(classes.select("name", "copies", (F.col("a") != F.col("b")).alias("mixed")))
-    live = stored(join_counted(table, classes, "name", "copies", table.count(), "inner"))
-    whole = lambda df: df.select("row", F.col("first").alias("from"), (F.col("last") + SPAN).alias("to"))
-    alike = whole(live.filter(~F.col("mixed")))
-    mixed = live.filter("mixed").drop("mixed")
-    each = stored(mixed.groupBy("name", "context").agg(F.count("*").alias("copies"), F.min(F.struct("row", "at", "first", "last")).alias("one")))
-    n_mixed = each.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    pair = F.struct("name", "context")
-    twice = each.filter("copies > 1").select(pair.alias("pair"), "copies", F.lit(True).alias("again"))
-    copied = whole(join_counted(mixed.withColumn("pair", pair), twice, "pair", "copies", n_mixed, "inner"))
-
-    wanted = each.select(F.col("one.row").alias("r"), F.struct("name", "copies", F.col("one.at").alias("at"), F.col("one.first").alias("first"), F.col("one.last").alias("last")).alias("c"))
-    by_row = wanted.groupBy("r").agg(F.collect_list("c").alias("contexts"))  # as many as a document has anchors
+    spans, left = settled(stored(docs.mapInPandas(gathered, "row long, at int, first int, last int, name long, context long")))
+    by_row = left.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("name", "at", "first", "last", "contexts")).alias("wanted"))  # as many as a document has anchors
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row, text, contexts in zip(batch["row"].tolist(), batch["text"], batch["contexts"]):
+            for row, text, wanted in zip(batch["row"].tolist(), batch["text"], batch["wanted"]):
                 data = text.encode("utf-8", "surrogatepass")
-                part = pd.DataFrame([dict(c) if not isinstance(c, dict) else c for c in contexts])
-                part["row"] = row
+                part = pd.DataFrame([dict(c) if not isinstance(c, dict) else c for c in wanted])
+                part["row"], part["low"], part["high"] = row, 0, REACH
                 part["bytes"] = [data[a : b + SPAN] for a, b in zip(part["first"].tolist(), part["last"].tolist())]
-                yield part[["name", "row", "at", "first", "last", "copies", "bytes"]]
-
-    shards = docs.join(by_row, F.col("row") == F.col("r")).select("row", "text", "contexts").mapInPandas(cut, "name long, row long, at int, first int, last int, copies long, bytes binary")
-    sorted_shards = shards.repartition("name").sortWithinPartitions("name")
-    induced_spans = sorted_shards.mapInPandas(sort_shard, "row long, from int, to int")
-    spans = alike.union(copied).union(induced_spans)
-    return spans.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+                yield part[["row", "at", "first", "last", "low", "high", "name", "contexts", "bytes"]]
+
+    columns = ["row", "at", "first", "name", "bytes"]
+    open_shards = stored(docs.join(by_row, F.col("row") == F.col("r")).select("row", "text", "wanted").mapInPandas(cut, f"{CONTEXT}, name long, contexts long, bytes binary"))
+    shards = open_shards.filter(F.col("contexts") <= split).select(*columns)
+    while not (crowded := open_shards.filter(F.col("contexts") > split)).isEmpty():
+        more, open_shards = settled(stored(crowded.mapInPandas(halves, f"{CONTEXT}, name long, context long, bytes binary")))
+        open_shards = stored(open_shards)
+        spans = spans.union(more)
+        shards = shards.union(open_shards.filter(F.col("contexts") <= split).select(*columns))
+    # No name has more than `split` contexts any more, so no task's share is large.
+    induced = shards.repartition("name").sortWithinPartitions("name").mapInPandas(sort_shard, "row long, from int, to int")
+    return spans.union(induced).groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
 def merged(spans: list) -> list[list[int]]:

@@ -5,11 +5,11 @@ import gzip
 import hashlib
 import random
 import re
-import tempfile
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheetwise.llm import decontaminate, mixing, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
 
@@ -113,37 +113,61 @@ def test_salvage():
     assert [r["kind"] for r in warc.salvage(cut)] == ["record"] * 4 + ["gap"] and list(warc.salvage(b"")) == []
 
 
-def test_suffixes(spark, texts):
+@pytest.mark.parametrize("queue_bytes,block", [(2000, 31), (1 << 20, 4096), (2000, 7)])
+def test_external_induction(tmp_path, queue_bytes, block):
+    rng = np.random.default_rng(3)
+    rows = np.tile(rng.integers(97, 100, 600).astype(np.uint8), (200, 1))
+    group = np.sort(rng.choice([0, 1, 2, 5, 9], 200, p=[0.5, 0.3, 0.1, 0.05, 0.05]))
+    contexts, first = [], []
+    for row in rows:
+        row[rng.integers(0, 600, rng.integers(0, 3))] = rng.integers(97, 123)
+        a, b = rng.integers(0, 200), 600 - rng.integers(0, 200)
+        contexts.append(row[a:b].tobytes())
+        first.append(a)
+    brute = set()
+    for d in range(201):
+        windows = [(g, c[200 - d - a : 600 - d - a]) if 200 - d >= a and 600 - d <= a + len(c) else None for g, a, c in zip(group, first, contexts)]
+        counts = collections.Counter(windows)
+        brute |= {(k, d) for k, w in enumerate(windows) if w is not None and counts[w] > 1}
+    sort = suffix_dedup.Shard(str(tmp_path), queue_bytes, block)
+    for k in range(0, 200, 60):
+        s = slice(k, k + 60)
+        sort.add(contexts[s], 200 - np.array(first[s]), group[s], np.arange(200)[s], np.full(200, 1000)[s])
+    got = {(r, 1000 - a) for part in sort.spans() for r, x, y in part.itertuples(index=False) for a in range(x, y - 399)}
+    assert brute and got == brute
+
+
+def brute_removal(texts):
     data = {k: t.encode() for k, t in texts.items()}
     seen = collections.Counter(b[i : i + 400] for b in data.values() for i in range(len(b) - 399))
-    got = {r["doc_id"]: r for r in suffix_dedup.deduplicated(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
     for k, b in data.items():
         gone = np.zeros(len(b) + 1, bool)
         for i in range(len(b) - 399):
             if seen[b[i : i + 400]] > 1:
                 gone[i : i + 400] = True
-        rest = bytes(np.frombuffer(b, np.uint8)[~gone[:-1]])
-        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
-        assert (got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]) == (len(b) - len(rest), spans, hashlib.sha256(rest).hexdigest())
-
-
-def test_external_induction():
-    rng = np.random.default_rng(3)
-    rows = np.tile(rng.integers(97, 100, 600).astype(np.uint16), (200, 1))
-    for row in rows:
-        row[rng.integers(0, 600, rng.integers(0, 3))] = rng.integers(97, 123)
-        row[: rng.integers(0, 200)] = 0
-        row[600 - rng.integers(1, 200) :] = 0
-    brute = np.zeros((200, 201), bool)
-    for d in range(201):
-        windows = [bytes(r[200 - d : 600 - d].astype(np.uint8)) if r[200 - d : 600 - d].all() else None for r in rows]
-        counts = collections.Counter(windows)
-        brute[:, d] = [w is not None and counts[w] > 1 for w in windows]
-    assert brute.any() and (suffix_dedup.induced(rows, np.zeros(200, int)) == brute).all()
-    with tempfile.TemporaryDirectory() as folder:
-        sort = suffix_dedup.External(folder, queue_bytes=2000, block=31)
-        sort.add(rows)
-        assert (np.array(sort.result()) == brute).all()
+        yield k, int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+
+
+def test_crowded_names_recurse(spark, tmp_path):
+    """A passage in many different surroundings, cut and edited in many ways: names are split down to a few contexts."""
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(900)
+    texts = {}
+    for k in range(120):
+        a, b = rng.randint(0, 300), rng.randint(600, 900)
+        own = list(passage[a:b])
+        if k % 3 == 0:
+            own[rng.randrange(len(own))] = "#"
+        texts[k] = say(rng.randint(0, 200)) + "".join(own) + say(rng.randint(0, 200))
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path).withColumn("row", F.monotonically_increasing_id())
+    ids = {r["row"]: r["doc_id"] for r in docs.collect()}
+    wanted = {k: (n, s) for k, n, s in brute_removal(texts) if n}
+    for split in (2, 10, 1000):
+        got = {ids[r["row"]]: suffix_dedup.merged(r["spans"]) for r in suffix_dedup.removed_spans(docs.select("row", "text"), split).collect()}
+        assert {k: (sum(b - a for a, b in m), len(m)) for k, m in got.items()} == wanted and len(wanted) > 100
 
 
 def test_toxicity_held_out(spark):

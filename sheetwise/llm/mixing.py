@@ -22,35 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import ROW, globally_ranked, scratch_dir
+from sheetwise.llm.common import ROW, globally_ranked, scratch_dir, stored
 
 SLOT, PLACE = "__sheetwise_slot__", "__sheetwise_place__"
-#: Slots of a schedule of rounded weights that repeats.
-PERIOD = 1000
 #: Rows of a block.
 BLOCK_ROWS = 16
 #: Entries of the schedule that the driver holds at once.
 PIECE = 200_000
 
 
-def rounded(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Integer weights for a schedule that repeats: largest remainders, every source at least 1. mix() doesn't round."""
-    if not weights or min(weights.values()) <= 0:
-        raise ValueError("every source needs a weight above 0")
-    order = sorted(weights, key=lambda s: (s is not None, s or ""))
-    total, spare = sum(weights.values()), max(period, len(weights)) - len(weights)
-    exact = {s: weights[s] / total * spare for s in order}
-    parts = {s: int(exact[s]) for s in order}
-    for s in sorted(order, key=lambda s: parts[s] - exact[s])[: spare - sum(parts.values())]:
-        parts[s] += 1
-    return {s: parts[s] + 1 for s in order}
-
-
-def one_period(parts: Mapping[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, block in period, release, deadline, slot) of one period of integer weights: one entry per part."""
-    return list(schedule(parts, parts))
-
-
 def schedule(weights: Mapping[str | None, float], blocks: Mapping[str | None, int]) -> Iterator[tuple[str | None, int, int, int, int]]:
     """(source, block, release, deadline, slot) of all blocks of each source, by earliest deadline first.
 
@@ -130,13 +110,38 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, laid out in the mixed order (range-partitioned and sorted by slot).
+    """Pipeline stage: all documents, laid out in the mixed order (partition after partition, sorted by slot).
 
-    The schedule is made from narrow rows; texts move once to their schedule rows and once into order. Rows are told
-    apart by their place in the stage's input files.
+    The schedule is made from narrow rows; texts move once to their schedule rows and once into order, to the partition
+    that their slot names. Rows are told apart by their place in the stage's input files. Null sources are a source of
+    their own; an empty table stays empty; the columns are those of `docs`, whatever their names.
     """
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    plan = mix(numbered.select(ROW, "doc_id", "source")).select(F.col(ROW).alias("_planned"), F.col("slot").alias(SLOT), F.col("source_row").alias(PLACE))
+    plan = stored(mix(numbered.select(ROW, "doc_id", "source")).select(F.col(ROW).alias("_planned"), F.col("slot").alias(SLOT), F.col("source_row").alias(PLACE)))
+    slots, parts = (plan.agg(F.max(SLOT)).first()[0] or 0) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))
     mixed = numbered.join(plan, F.col(ROW) == F.col("_planned"))
-    # A slot holds one block, so the range partitions are even however large a source is.
-    return mixed.repartitionByRange(SLOT, PLACE).sortWithinPartitions(SLOT, PLACE).select(*docs.columns)
+    # A slot holds one block, so equal stretches of slots are even partitions however large a source is.
+    return mixed.repartitionById(parts, F.floor(F.col(SLOT) * parts / slots).cast("int")).sortWithinPartitions(SLOT, PLACE).select(*docs.columns)
+
+
+#: The same in SQL: the earliest deadline among released blocks, step by step.
+ORACLE_OP10 = f"""
+WITH RECURSIVE n AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), src AS (
+  SELECT list(sqrt(n::DOUBLE) ORDER BY source NULLS FIRST) AS w, list((n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} ORDER BY source NULLS FIRST) AS b,
+    list(source ORDER BY source NULLS FIRST) AS names, sum(sqrt(n::DOUBLE)) AS total FROM n
+), run AS (
+  SELECT 0::BIGINT AS next, list_transform(b, lambda x: 0::BIGINT) AS c, NULL::BIGINT AS k, NULL::BIGINT AS j, NULL::BIGINT AS release, NULL::BIGINT AS deadline, NULL::BIGINT AS slot FROM src
+  UNION ALL
+  SELECT t + 1, list_transform(c, lambda x, i: CASE WHEN i = best.k THEN x + 1 ELSE x END), best.k, c[best.k], floor(c[best.k] * total / w[best.k])::BIGINT, best.d, t FROM (
+    SELECT c, total, w, t, list_sort(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i] < b[i] AND floor(c[i] * total / w[i]) <= t),
+      lambda i: {{'d': ceil((c[i] + 1) * total / w[i])::BIGINT, 'k': i}}))[1] AS best
+    FROM (SELECT c, total, w, b, greatest(next, list_min(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i] < b[i]), lambda i: floor(c[i] * total / w[i])::BIGINT))) AS t FROM run, src)
+  ) WHERE best IS NOT NULL
+), r AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS source_row FROM documents
+)
+SELECT doc_id, r.source, source_row, source_row // {BLOCK_ROWS} AS block, release, deadline, slot
+FROM r JOIN (SELECT names[k] AS source, j, release, deadline, slot FROM run, src WHERE k IS NOT NULL) s ON r.source IS NOT DISTINCT FROM s.source AND source_row // {BLOCK_ROWS} = s.j
+"""

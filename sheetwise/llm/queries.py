@@ -16,6 +16,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_jump_hash_shards": sharding.ORACLE_OP3,
     "op4_warc_round_trip": warc.ORACLE_OP4,
+    "op5_induced_sort_dedup": suffix_dedup.ORACLE_OP5,
     "op7_prefix_targets": chat_format.ORACLE_OP7,
+    "op10_pfair_mix": mixing.ORACLE_OP10,
 }

@@ -426,3 +426,22 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
 
 def op5_induced_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same in SQL: every window of every text, counted; runs of repeated windows are the spans.
+ORACLE_OP5 = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(n - {SPAN - 1})) AS i, h FROM d WHERE n >= {SPAN}),
+k AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, {2 * SPAN})) AS m FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS c FROM k) WHERE c > 1),
+f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {SPAN} THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + {SPAN} AS b FROM g GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prior FROM s),
+p AS (
+  SELECT e.doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, string_agg(substr(h, 2 * prior + 1, 2 * (a - prior)), '' ORDER BY a) AS kept, max(b) AS last
+  FROM e JOIN d ON e.doc_id = d.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id
+"""

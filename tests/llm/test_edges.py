@@ -85,7 +85,7 @@ def test_suffixes(docs, empty):
 def test_toxicity(spark, docs, empty):
     model = toxicity.train(docs, labels(spark))
     assert all(0 <= s <= 1 for s in model.scores([r[1] for r in ROWS]))
-    assert toxicity.train(empty, labels(spark)).scores([None, "x"]).tolist() == [0.5, 0.5]
+    assert toxicity.train(empty, labels(spark)).scores([None, "x"]).tolist() == pytest.approx([0.25, 0.25])
 
 
 def test_chats(spark):
@@ -124,3 +124,26 @@ def test_mixing(spark, docs, empty):
         mixing.mix(docs, {"a": 1.0})
 
 
+def test_pipeline_stages(spark, docs, empty, tmp_path):
+    """Each stage on odd rows and on none: columns stay, rows go only where the stage says so."""
+    sharded = sharding.stage_shards(spark, docs, "")
+    assert sharded.count() == len(ROWS) and set(sharded.columns) == {*docs.columns, *sharding.PLAN}
+    assert {r["component_id"] for r in sharded.collect()} == {"own"} and sharding.stage_shards(spark, empty, "").count() == 0
+    folder = str(tmp_path)
+    labels(spark).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(7, "quick brown fox jumps over the lazy dog and runs"), (8, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    clean = decontaminate.stage_decontaminate(spark, docs, folder)
+    assert clean.columns == docs.columns and clean.count() == len(ROWS) - 3 and decontaminate.stage_decontaminate(spark, empty, folder).count() == 0
+    kept = toxicity.stage_toxicity(spark, docs, folder)
+    assert kept.columns == docs.columns and toxicity.stage_toxicity(spark, empty, folder).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, docs, empty, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for name, table in (("odd", docs), ("none", empty)):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels(spark).write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(7, "quick brown fox jumps over the lazy dog and runs")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out = pipeline.run(spark, folder)
+        assert {"text", "shard", "slot"} <= set(out.columns) and (out.count() > 0) == (name == "odd")

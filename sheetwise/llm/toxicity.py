@@ -1,17 +1,17 @@
 """Operator 6: toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 The kernel of two strings sums over their common character subsequences of a fixed length, each weighted down by the
-length it spans in both, so "i.d*i o t" still shares most of the subsequences of the word it hides. The kernel values
-with a few landmark strings, whitened by the landmarks' own kernel matrix, are the features of a linear support vector
-machine, trained on labelled sentences: a sentence has its document's label, and of a toxic document the sentences that
-hold a string like a toxic landmark, or one that is toxic by the model so far, are its witnesses. A text's score is that of its most toxic sentence; a sentence's is
-that of its most toxic string (a word, a run of single characters, or a window of an overlong word).
+length it spans in both, so "i.d*i o t" still shares most of the subsequences of the word it hides. Normalised values
+below CUT are chance and count as 0. The kernel of a sentence with a landmark is the sum over the sentence's different
+words; these sums over all landmarks, whitened by the landmarks' own kernel matrix, are the features of a linear support
+vector machine, trained on labelled sentences: a sentence has its document's label, and of a toxic document the sentences
+that hold a string like a toxic landmark, or that are toxic by the model so far, are its witnesses. A text's score comes
+from its three most toxic different sentences, so that one plain insult and several doubtful ones both count.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
@@ -23,47 +23,66 @@ from pyspark.sql import functions as F
 
 from sheetwise.llm.common import stored
 
-#: Length of the common subsequences; weight of each character that a subsequence spans.
-LENGTH, DECAY = 4, 0.8
-#: Share of a landmark's neighbouring characters below which a word counts as unlike it.
-SHARED = 0.5
+#: Length of the common subsequences; weight of each character that a subsequence spans; least value that counts.
+LENGTH, DECAY, CUT = 4, 0.95, 0.36
 #: Labelled rows that are learned from, at most: the first by a hash of their ids.
-TRAIN_ROWS = 20_000
-#: Landmarks: at most half as many toxic words, and a quarter as many words of clean texts that are most like those.
-LANDMARKS = 128
+TRAIN_ROWS = 8_000
+#: Landmarks: at most so many toxic strings, and half as many of clean texts that are most like those.
+LANDMARKS = 48
+#: A toxic landmark occurs in toxic texts so many times as often as all strings do.
+LIFT = 3
+#: Different words up to which a text counts as short.
+SHORT = 32
+#: Kernel from which a landmark says nothing that another doesn't.
+REDUNDANT = 0.6
 #: Longest string; longer words are cut into windows that overlap by half.
 LONGEST = 20
-#: Strings of a labelled row that training sees: those most like a landmark.
+#: Lengths of the beginnings of words that may be landmarks: stems stand for all their forms.
+STEMS = (5, 7)
+#: Sentences of a labelled row that training sees: those most like a landmark.
 WITNESSES = 8
-#: Strings that a task remembers the value of.
+#: Labelled sentences that a made one, a bent insult, counts as.
+BENT = 5
+#: Weight of all made examples in the score's scale, as a share of the toxic rows.
+MADE = 0.1
+#: Sentences that a text's score rests on.
+TOP = 3
+#: Words that a task remembers the features of.
 MEMORY = 500_000
 
-SINGLES = re.compile(rb"(?<!\S)\S(?:\s\S){2,}(?!\S)")
-#: Marks that may hide inside a word are dropped; all others separate words.
+SENTENCE = re.compile(r"(?<=[.!?;:|])\s+|\n+")
+SINGLES = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+#: Marks that may hide inside a word are dropped; all others separate words, or hide inside them as well.
 INSIDE = b".-_*'~+`^#$%&@"
-SEPARATE = bytes.maketrans(b'/,;:|"()[]{}<>?!=\\', b" " * 18)
+APART = b'/,;:|"()[]{}<>?!=\\'
+SEPARATE = bytes.maketrans(APART, b" " * len(APART))
 PAD = 0
 #: Marks of a word's first and last place: subsequences through them tell a beginning or end from a middle.
 FIRST, LAST = "\x02", "\x03"
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words in order: lower case, without the marks that are put inside words; other marks separate."""
-    return (text or "").lower().encode("utf-8", "replace").translate(SEPARATE, INSIDE).split()
+def tokens(text: str | None) -> list[bytes]:
+    """What blanks separate, in lower case."""
+    return (text or "").lower().encode("utf-8", "replace").split()
 
 
-def pieces(text: str | None) -> set[bytes]:
-    """The distinct words of a text and its runs of single characters, joined."""
-    found = words(text)
-    out = set(found)
-    if sum(map((1).__eq__, map(len, out))) > 1:
-        out |= {b"".join(m[0].split()) for m in SINGLES.finditer(b" ".join(found))}
-    return out
+def joined_singles(text: str | None, found: set[bytes]) -> set[bytes]:
+    """Runs of three or more single characters, as the words that they spell."""
+    single = [t for t in found if len(t) == 1 or (len(t) < 5 and t[0] > 0xC1 and len(t.decode("utf-8", "replace")) == 1)]
+    if len(single) < 2:  # no word is one character over and over
+        return set()
+    return {"".join(m[0].split()).encode("utf-8", "replace") for m in SINGLES.finditer((text or "").lower())}
+
 
+def words_of(token: bytes) -> set[bytes]:
+    """The words that a token may stand for: its parts between separating marks, and itself without any marks."""
+    parts = token.translate(SEPARATE, INSIDE).split()
+    return {*parts, b"".join(parts)} if len(parts) != 1 else {parts[0]}
 
-def strings_of(piece: bytes) -> list[str]:
+
+def strings_of(word: bytes) -> list[str]:
     """What a word is compared as: itself between marks of its ends, or overlapping windows if it is overlong."""
-    w = FIRST + piece.decode("utf-8", "replace") + LAST
+    w = FIRST + word.decode("utf-8", "replace") + LAST
     if len(w) > LONGEST:
         return [w[a : a + LONGEST] for a in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
     return [w] if len(w) > LENGTH else []
@@ -71,13 +90,19 @@ def strings_of(piece: bytes) -> list[str]:
 
 def strings(text: str | None) -> set[str]:
     """The distinct strings of a text."""
-    return {x for w in pieces(text) for x in strings_of(w)}
+    found = set(tokens(text))
+    return {x for t in found | joined_singles(text, found) for w in words_of(t) for x in strings_of(w)}
 
 
 def contexts(text: str | None) -> set[tuple[str, int]]:
-    """Distinct pairs of a word and a checksum of the word before it."""
-    found = words(text)
-    return {(x[0], crc32(before) >> 1) for before, w in zip([b"", *found], found) if len(x := strings_of(w)) == 1}
+    """Distinct pairs of a string, a word or the beginning of one, and a checksum of what it stands in."""
+    found = [w for t in tokens(text) for w in t.translate(SEPARATE, INSIDE).split()]
+    out = set()
+    for before, w in zip([b"", *found], found):
+        if len(x := strings_of(w)) == 1:
+            out.add((x[0], crc32(before) >> 1))
+            out.update((x[0][: n + 1], crc32(before + w) >> 1) for n in STEMS if len(x[0]) > n + 2)
+    return out
 
 
 def codes(words: Sequence[str]) -> np.ndarray:
@@ -86,233 +111,267 @@ def codes(words: Sequence[str]) -> np.ndarray:
     return raw.view(np.uint32).reshape(len(raw), LONGEST)
 
 
-def neighbours(rows: np.ndarray) -> np.ndarray:
-    """A 256-bit set, as 4 numbers, of each row's pairs of characters that are next to each other or one apart."""
-    out = np.zeros((len(rows), 4), np.uint64)
-    own = rows.astype(np.uint64)
-    for gap in (1, 2):
-        left, right = own[:, :-gap], own[:, gap:]
-        bit = ((left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)) % np.uint64(256)
-        single = np.where((left == PAD) | (right == PAD), np.uint64(0), np.uint64(1) << (bit % np.uint64(64)))
-        for k in range(4):
-            out[:, k] |= np.bitwise_or.reduce(np.where(bit // np.uint64(64) == k, single, np.uint64(0)), axis=1)
+def kernel(a: np.ndarray, b: np.ndarray, chunk: int = 1024) -> np.ndarray:
+    """Subsequence kernel of the rows of `a` with the rows of `b` (one for each, or one for all), pair by pair.
+
+    S[p][i, j] sums all common subsequences of length p that end at i or before and j or before, weighted by their
+    spans up to there; each step extends them by one matching character. Pairs lie along the last axis.
+    """
+    out = np.zeros(len(a))
+    for k in range(0, len(a), chunk):
+        x, y = a[k : k + chunk].T, (b if len(b) == 1 else b[k : k + chunk]).T
+        x, y = (z[: max(1, int((z != PAD).sum(axis=0).max(initial=1)))] for z in (x, y))
+        ends = same = ((x[:, None] == y[None]) & (x[:, None] != PAD)).astype(np.float32) * np.float32(DECAY**2)
+        for _ in range(LENGTH - 1):
+            reach = ends.copy()
+            for i in range(1, len(x)):
+                reach[i] += np.float32(DECAY) * reach[i - 1]
+            for j in range(1, len(y)):
+                reach[:, j] += np.float32(DECAY) * reach[:, j - 1]
+            ends = np.zeros_like(same)
+            ends[1:, 1:] = same[1:, 1:] * reach[:-1, :-1]
+        out[k : k + chunk] = ends.sum(axis=(0, 1), dtype=np.float64)
     return out
 
 
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Subsequence kernel of the rows of `a` with the rows of `b`, pair by pair.
+class Marks:
+    """Landmark strings and their kernel with other strings.
 
-    S[p][i, j] sums all common subsequences of length p that end at i or before and j or before, weighted by their
-    spans up to there; each step extends them by one matching character.
+    By the Cauchy-Schwarz inequality a normalised kernel is at most the root of the share that those subsequences of the
+    landmark have in its own kernel whose characters all occur in the other string. That share is tabulated for each set
+    of a landmark's characters; where it is below CUT squared the kernel is too, and isn't computed.
     """
-    width = (max(1, int((a != PAD).sum(axis=1).max(initial=1))), max(1, int((b != PAD).sum(axis=1).max(initial=1))))
-    a, b = a[:, : width[0]], b[:, : width[1]]
-    same = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] != PAD)).astype(np.float32) * np.float32(DECAY**2)
-    ends = same
-    for _ in range(LENGTH - 1):
-        reach = ends.copy()
-        for i in range(1, width[0]):
-            reach[:, i] += DECAY * reach[:, i - 1]
-        for j in range(1, width[1]):
-            reach[:, :, j] += DECAY * reach[:, :, j - 1]
-        ends = np.zeros_like(same)
-        ends[:, 1:, 1:] = same[:, 1:, 1:] * reach[:, :-1, :-1]
-    return ends.sum(axis=(1, 2), dtype=np.float64)
-
-
-def similar(words: Sequence[str], marks: np.ndarray, norm: np.ndarray, chunk: int = 4096) -> np.ndarray:
-    """Normalised kernel (0 to 1) of each word with each landmark.
-
-    A word that shares less than SHARED of a landmark's neighbouring characters has a kernel near 0: taken as 0, and
-    not computed. One character put between any two keeps the pairs one apart, so bent words pass.
-    """
-    out = np.zeros((len(words), len(marks)))
-    rows = codes(words)
-    with np.errstate(over="ignore"):
-        own, theirs = neighbours(rows), neighbours(marks)
-    common = sum(np.bitwise_count(own[:, None, k] & theirs[None, :, k]) for k in range(4)) if len(marks) else np.zeros((len(words), 0))
-    i, j = np.nonzero(common >= SHARED * np.bitwise_count(theirs).sum(axis=1)[None, :])
-    if not len(i):
+
+    def __init__(self, marks: Sequence[str]) -> None:
+        self.rows = codes(marks)
+        self.norm = kernel(self.rows, self.rows)
+        self.alphabet = np.unique(self.rows[self.rows != PAD])
+        self.places, self.possible = [], []
+        for row, norm in zip(self.rows, self.norm):
+            own = np.unique(row[row != PAD])
+            sets = np.arange(1 << len(own))
+            kept = np.zeros((len(sets), LONGEST), bool)
+            for bit, c in enumerate(own):
+                kept |= ((sets >> bit) & 1 == 1)[:, None] & (row == c)[None, :]
+            # Characters outside the set become two different ones on the two sides, so they match nothing.
+            share = kernel(np.where(kept | (row == PAD), row, 0x110000).astype(np.uint32), np.where(kept | (row == PAD), row, 0x110001).astype(np.uint32)) / norm
+            self.places.append(np.searchsorted(self.alphabet, own))
+            self.possible.append(share >= 0.999 * CUT**2)
+
+    def similar(self, words: Sequence[str]) -> np.ndarray:
+        """Normalised kernel (CUT to 1, or 0) of each word with each landmark."""
+        out, rows = np.zeros((len(words), len(self.rows))), codes(words)
+        turn = np.argsort((rows != PAD).sum(axis=1), kind="stable")  # like lengths together: tables no wider than needed
+        rows = rows[turn]
+        # Which characters of the landmarks' alphabet each word holds, one bit each; then, for each landmark, its own bits.
+        bits = np.zeros(0x110000 if len(rows) else 1, np.int64)
+        bits[self.alphabet] = 1 << np.arange(len(self.alphabet))
+        holds = np.bitwise_or.reduce(bits[rows], axis=1) if len(rows) else np.zeros(0, np.int64)
+        own = np.zeros(len(rows))
+        for j, (places, possible) in enumerate(zip(self.places, self.possible)):
+            held = np.zeros(len(rows), np.int64)
+            for k, place in enumerate(places.tolist()):
+                held |= ((holds >> place) & 1) << k
+            at = np.flatnonzero(possible[held])
+            fresh = at[own[at] == 0]
+            own[fresh] = kernel(rows[fresh], rows[fresh])
+            scale = np.sqrt(own[at] * self.norm[j])
+            value = np.divide(kernel(rows[at], self.rows[j : j + 1]), scale, out=np.zeros(len(at)), where=scale > 0)
+            out[turn[at], j] = np.where(value >= CUT, value, 0.0)
         return out
-    size = (rows != PAD).sum(axis=1)  # pairs of like length go together, so that the tables are no wider than needed
-    turn = np.lexsort((j, size[i]))
-    i, j = i[turn], j[turn]
-    used, back = np.unique(i, return_inverse=True)
-    self_value, used = np.empty(len(used)), used[(long := np.argsort(size[used], kind="stable"))]
-    self_value[long] = np.concatenate([kernel(rows[used[k : k + chunk]], rows[used[k : k + chunk]]) for k in range(0, len(used), chunk)])
-    for k in range(0, len(i), chunk):
-        s = slice(k, k + chunk)
-        value = kernel(rows[i[s]], marks[j[s]])
-        scale = np.sqrt(self_value[back[s]] * norm[j[s]])
-        out[i[s], j[s]] = np.divide(value, scale, out=np.zeros_like(value), where=scale > 0)
-    return out
 
 
 @dataclass
 class Model:
-    """Landmarks and what the machine weighs them with; `floor` is the value of a text without any known string."""
+    """Landmarks and what the machine weighs them with; `slopes` and `offset` turn the values of a text's sentences into its score."""
 
     marks: list[str]
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     offset: float
 
     def __post_init__(self) -> None:
-        self.rows = codes(self.marks)
-        self.norm = kernel(self.rows, self.rows) if self.marks else np.zeros(0)
-        self.memory: dict[str, float] = {}
-
-    def values(self, words: Sequence[str]) -> np.ndarray:
-        if not self.marks or not len(words):
-            return np.full(len(words), self.bias)
-        return similar(words, self.rows, self.norm) @ self.weights + self.bias
+        self.table = Marks(self.marks)
+        self.memory: dict[bytes, np.ndarray | None] = {}
 
-    def scores(self, texts: Sequence[str | None]) -> np.ndarray:
-        """Score of each text: its most toxic string decides. Words and strings seen before are looked up."""
+    def features(self, found: set[bytes]) -> dict[bytes, np.ndarray | None]:
+        """Kernel of each token with each landmark, by the likest of its strings; None where all are 0."""
         if len(self.memory) > MEMORY:
             self.memory.clear()
         known = self.memory
-        sets = [pieces(t) for t in texts]
-        new = [(w, strings_of(w)) for w in set().union(*sets) if w not in known]
-        known.update((w, self.bias) for w, own in new)
-        new = [(w, x) for w, own in new for x in own]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            value = self.values([x for _, x in part])
-            for at in np.flatnonzero(value > self.bias).tolist():  # most words are unlike all landmarks
-                w = part[at][0]
-                known[w] = max(known[w], float(value[at]))
-        top = np.array([max(map(known.__getitem__, own), default=self.bias) for own in sets])
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(top, self.bias) + self.offset, -30, 30)))
-
-
-def fit_svm(features: np.ndarray, at: np.ndarray, sign: np.ndarray, count: np.ndarray, close: np.ndarray, rounds: int = 4, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Linear machine (squared hinge loss, Newton steps) on all strings of clean rows and the witnesses of toxic ones.
-
-    Example k is the string `at[k]`, `count[k]` times. Witnesses are the strings close to a toxic landmark, and those
-    that the machine so far calls toxic. A toxic row may have none: labels err, and rare insults have no landmark.
+        new = [t for t in found if t not in known]
+        known.update(dict.fromkeys(new))
+        pairs = [(t, x) for t in new for w in words_of(t) for x in strings_of(w)]
+        for k in range(0, len(pairs), 20_000):
+            part = pairs[k : k + 20_000]
+            like = self.table.similar([x for _, x in part])
+            for at in np.flatnonzero(like.any(axis=1)).tolist():  # most words are unlike all landmarks
+                t = part[at][0]
+                known[t] = like[at] if known[t] is None else np.maximum(known[t], like[at])
+        return known
+
+    def sentences(self, texts: Sequence[str | None]) -> list[tuple[list[np.ndarray], int]]:
+        """For each text the kernel sums of its different sentences that hold anything like a landmark, and its number of different words."""
+        found = []
+        for t in texts:
+            own = set(tokens(t))
+            found.append(own | joined_singles(t, own))
+        known, out = self.features(set().union(*found)), []
+        for text, own in zip(texts, found):
+            hits = {t for t in own if known[t] is not None}
+            kinds = {}
+            for sentence in SENTENCE.split(text) if hits else ():
+                inside = set(tokens(sentence))
+                held = frozenset((inside | joined_singles(sentence, inside)) & hits)
+                if held and held not in kinds:
+                    kinds[held] = np.sum([known[t] for t in held], axis=0)
+            out.append((list(kinds.values()), len(own)))
+        return out
+
+    def values(self, sums: list[np.ndarray], size: int) -> np.ndarray:
+        """The TOP greatest values of a text's sentences, then its size: the more words, the more look alike by chance.
+
+        A text with fewer sentences has the values of sentences without any known string.
+        """
+        own = sorted(np.array(sums) @ self.weights + self.bias, reverse=True) if sums else []
+        return np.array([*np.maximum([*own, *[self.bias] * TOP][:TOP], self.bias), np.log(max(size, SHORT))])
+
+    def scores(self, texts: Sequence[str | None]) -> np.ndarray:
+        if not self.marks:
+            return np.full(len(texts), 1 / (1 + np.exp(-self.offset)))
+        logit = np.array([self.values(*s) @ self.slopes for s in self.sentences(texts)]) + self.offset
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def unlike(marks: Sequence[str], most: int) -> list[str]:
+    """The first of these strings that aren't much like one taken before."""
+    taken: list[str] = []
+    while marks and len(taken) < most:
+        taken.append(marks[0])
+        like = Marks(marks[:1]).similar(marks)[:, 0]
+        marks = [w for w, k in zip(marks[1:], like[1:]) if k < REDUNDANT]
+    return taken
+
+
+def base_rate(n_toxic: int, n: int) -> Model:
+    """Where nothing tells toxic texts apart, all have the base rate, but none is called toxic for that alone."""
+    rate = min(0.49, (n_toxic + 0.5) / (n + 2))
+    return Model([], np.zeros(0), 0.0, np.zeros(TOP + 1), float(np.log(rate / (1 - rate))))
+
+
+def fit_svm(features: np.ndarray, sign: np.ndarray, close: np.ndarray, rounds: int = 4, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Linear machine (squared hinge loss, Newton steps) on all sentences of clean rows and the witnesses of toxic ones.
+
+    Witnesses are the sentences close to a toxic landmark, and those that the machine so far calls toxic. A toxic row
+    may have none: labels err, and rare insults have no landmark.
     """
     x = np.hstack([features, np.ones((len(features), 1), features.dtype)])
     ridge = penalty * np.diag([1.0] * features.shape[1] + [1e-3])
     weight, witness = np.zeros(x.shape[1]), (sign < 0) | close
     for _ in range(rounds):
-        share = count / max(1.0, float(count[witness & (sign > 0)].sum()))
+        share = 1 / max(1, int((witness & (sign > 0)).sum()))
         last = None
         for _ in range(30):
-            active = witness & (sign * (x @ weight)[at] < 1)
+            active = witness & (sign * (x @ weight) < 1)
             if last is not None and (active == last).all():
                 break
-            last, part, own = active, x[at[active]], share[active]
-            weight = np.linalg.solve((part.T @ (part * own[:, None])).astype(np.float64) + ridge, (part.T @ (sign[active] * own)).astype(np.float64))
-        witness = (sign < 0) | close | ((x @ weight)[at] > 0)
+            last, part = active, x[active]
+            weight = np.linalg.solve((share * part.T @ part).astype(np.float64) + ridge, share * (part.T @ sign[active]).astype(np.float64))
+        witness = (sign < 0) | close | (x @ weight > 0)
     return weight[:-1], float(weight[-1])
 
 
-def calibrate(value: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope (at least 0) and offset that turn a value into a probability: logistic regression by Newton steps."""
-    x, beta = np.stack([value, np.ones(len(value))], axis=1), np.zeros(2)
-    loss = lambda b: float(np.logaddexp(0, x @ b).sum() - toxic @ (x @ b) + 5e-3 * b @ b)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), x.T @ (toxic - p) - 1e-2 * beta)
-        while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
-            step = step / 2
-        beta = beta + step
-    if beta[0] <= 0:  # the values tell nothing
-        rate = (toxic.sum() + 1) / (len(toxic) + 2)
-        return 0.0, float(np.log(rate / (1 - rate)))
-    return float(beta[0]), float(beta[1])
+def calibrate(values: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes (none below 0 but the last, the size's) and offset that turn values into a probability: logistic regression by Newton steps."""
+    used = np.ones(values.shape[1], bool)
+    while True:
+        x = np.hstack([values[:, used], np.ones((len(values), 1))])
+        beta, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
+        loss = lambda b, x=x: float(weight @ (np.logaddexp(0, x @ b) - toxic * (x @ b)) + 5e-3 * b @ b)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge, x.T @ (weight * (toxic - p)) - 1e-2 * beta)
+            while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
+                step = step / 2
+            beta = beta + step
+        low = np.concatenate([beta[:-2] < 0, [False]])
+        if not low.any():
+            slopes = np.zeros(values.shape[1])
+            slopes[used] = beta[:-1]
+            return slopes, float(beta[-1])
+        used[np.flatnonzero(used)[low]] = False
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model:
     """Model of the labelled rows (doc_id, text) x (doc_id, toxic). Only a bounded sample of labelled rows is read.
 
-    Landmarks are the words whose contexts are toxic most significantly (likelihood ratio), and of the widespread other
-    words those most like them. Counts are made in Spark; the driver gets a few strings a row.
+    Landmarks are the strings whose contexts are toxic most significantly (likelihood ratio), and of the widespread
+    other ones those most like them. Counts are made in Spark; the driver gets a few sentences a row, as numbers. Null
+    labels and ids teach nothing; copies of a text are one example, toxic if any is labelled so; without labels of both
+    kinds, or without a toxic string, the model is the base rate.
     """
     taught = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
     # At most train_rows rows of two numbers.
-    sample = docs.join(F.broadcast(taught), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
+    sample = docs.join(F.broadcast(taught), F.col("doc_id") == F.col("_id")).select("doc_id", F.least("toxic", F.lit(1)).cast("long").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
+    cuts = stored(sample.groupBy(F.xxhash64("text").alias("_copy")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text")).drop("_copy"))
+    n, n_toxic = cuts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n_toxic or n_toxic == n:
+        return base_rate(n_toxic, n)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 100):
                 own = batch.iloc[k : k + 100]
-                around = [sorted(contexts(t)) for t in own["text"]]
-                yield pd.DataFrame({"doc_id": own["doc_id"], "toxic": own["toxic"].clip(upper=1).astype("int64"), "words": [sorted(strings(t)) for t in own["text"]],
-                                    "word": [[w for w, _ in c] for c in around], "before": [[b for _, b in c] for c in around]})
-
-    id_type = dict(docs.dtypes)["doc_id"]
-    cuts = sample.mapInPandas(cut, f"doc_id {id_type}, toxic long, words array<string>, word array<string>, before array<int>")
-    # Copies of a text are one example (toxic if any is labelled so).
-    once = cuts.groupBy(F.xxhash64("words").alias("_copy")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), *[F.first(c).alias(c) for c in ("words", "word", "before")])
-    cuts = stored(once.drop("_copy"))
-    n, n_toxic = cuts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not n_toxic or n_toxic == n:
-        rate = (n_toxic + 0.5) / (n + 2)  # nothing is toxic as long as no label says so
-        return Model([], np.zeros(0), 0.0, 0.0, float(np.log(rate / (1 - rate))))
-    # A word and the word before it belong to the first row that has them, and a word counts the rows that own one of
-    # its pairs: so neither near copies nor repetitions within a row make words toxic.
-    pairs = cuts.select("doc_id", "toxic", F.explode(F.arrays_zip("word", "before")).alias("c"))
-    owners = pairs.groupBy("c.word", "c.before", "toxic").agg(F.min("doc_id").alias("owner")).select("word", "toxic", "owner").distinct()
+                rows = [(i, y, w, b) for i, y, t in zip(own["doc_id"], own["toxic"], own["text"]) for w, b in contexts(t)]
+                yield pd.DataFrame(rows, columns=["doc_id", "toxic", "word", "before"])
+
+    # A string and what it stands in belong to the first row that has them, and a string counts the rows that own one of
+    # its pairs: so neither near copies nor repetitions within a row make strings toxic.
+    pairs = cuts.mapInPandas(paired, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic long, word string, before long")
+    owners = pairs.groupBy("word", "before", "toxic").agg(F.min("doc_id").alias("owner")).select("word", "toxic", "owner").distinct()
     seen = stored(owners.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).filter("p + q >= 3"))
     n_words, all_p, all_q = seen.agg(F.count("*"), F.sum("p"), F.sum("q")).first()
     part = lambda k, m: F.when(k > 0, k * F.log(k / m)).otherwise(0.0)
     p, q, share = F.col("p"), F.col("q"), (all_p or 1) / ((all_p or 1) + (all_q or 0))
     gain = part(p, (p + q) * share) + part(q, (p + q) * max(1e-9, 1 - share))
-    # Significant although so many words were tried (twice the gain is a chi-squared value).
-    toxic_marks = [r[0] for r in seen.filter((p > 2 * share * (p + q)) & (gain > np.log(n_words + 1) + 2)).orderBy(gain.desc(), "word").limit(landmarks // 2).collect()]
-    others = [r[0] for r in seen.filter(p <= 2 * share * (p + q)).orderBy(q.desc(), "word").limit(100 * landmarks).collect()]
-    rows = codes(toxic_marks)
-    like = similar(others, rows, kernel(rows, rows)).max(axis=1, initial=0) if toxic_marks else np.zeros(len(others))
-    close = [others[k] for k in np.argsort(-like, kind="stable")[: landmarks // 4]]
-    marks = sorted({*toxic_marks, *close})
-    if not toxic_marks:  # nothing tells toxic texts apart: the base rate is the score
-        return Model([], np.zeros(0), 0.0, 0.0, float(np.log(n_toxic / (n - n_toxic))))
-    rows = codes(marks)
-    norm, toxic_at = kernel(rows, rows), [marks.index(w) for w in toxic_marks]
-
-    toxic_rows, toxic_norm = rows[toxic_at], norm[toxic_at]
+    # Significant although so many strings were tried (twice the gain is a chi-squared value).
+    offered = {r[0]: (r[1], r[2]) for r in seen.filter((p > LIFT * share * (p + q)) & (gain > np.log(n_words + 1) + 4)).orderBy(gain.desc(), "word").limit(8 * landmarks).collect()}
+    toxic_marks = unlike(list(offered), landmarks)
+    if not toxic_marks:
+        return base_rate(n_toxic, n)
+    others = [r[0] for r in seen.filter(p <= LIFT * share * (p + q)).orderBy(q.desc(), "word").limit(100 * landmarks).collect()]
+    like = Marks(toxic_marks).similar(others).max(axis=1, initial=0)
+    marks = [*toxic_marks, *[others[k] for k in np.argsort(-like, kind="stable")[: landmarks // 2] if like[k] > 0]]
+    model, n_toxic_marks = Model(marks, np.zeros(len(marks)), 0.0, np.zeros(TOP + 1), 0.0), len(toxic_marks)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        like: dict[str, float] = {}
         for batch in batches:
             for k in range(0, len(batch), 200):
                 own = batch.iloc[k : k + 200]
-                if len(like) > MEMORY:
-                    like.clear()
-                new = [w for w in set().union(*own["words"]) if w not in like]
-                for at in range(0, len(new), 20_000):
-                    like.update(zip(new[at : at + 20_000], similar(new[at : at + 20_000], toxic_rows, toxic_norm).max(axis=1).tolist()))
-                best = [sorted(ws, key=lambda w: (-like[w], w))[:WITNESSES] for ws in own["words"]]
-                yield pd.DataFrame({"doc_id": own["doc_id"], "toxic": own["toxic"], "words": best})
-
-    kept = cuts.mapInPandas(nearest, f"doc_id {id_type}, toxic long, words array<string>").collect()
-    gram = np.array([similar([w], rows, norm)[0] for w in marks])
+                found = model.sentences(own["text"].tolist())
+                best = [sorted(s, key=lambda v: -v[:n_toxic_marks].max())[:WITNESSES] for s, _ in found]
+                yield pd.DataFrame({"toxic": own["toxic"], "size": [n for _, n in found], "sums": [[v.tolist() for v in s] for s in best]})
+
+    kept = cuts.mapInPandas(nearest, "toxic long, size long, sums array<array<float>>").collect()
+    gram = model.table.similar(marks)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4 * value.max()))) @ vector.T
-    # The toxic landmarks with one character put in anywhere teach how far a toxic string may be bent.
-    bent = [w[:k] + c + w[k:] for w in toxic_marks for k in range(1, len(w)) for c in "x*" if len(w) < LONGEST]
-    # Each different string is held once, with its count on either side: the machine's input is a bounded small array.
-    counts = Counter((w, bool(r["toxic"])) for r in kept for w in r["words"]) + Counter((w, True) for w in bent)
-    if not counts:
-        return Model([], np.zeros(0), 0.0, 0.0, float(np.log(n_toxic / (n - n_toxic))))
-    known = sorted({w for w, _ in counts})
-    place = {w: k for k, w in enumerate(known)}
-    features, close = np.zeros((len(known), len(marks)), np.float32), np.zeros(len(known), bool)
-    for k in range(0, len(known), 5000):
-        like = similar(known[k : k + 5000], rows, norm)
-        features[k : k + 5000] = like @ whiten
-        close[k : k + 5000] = like[:, toxic_at].max(axis=1, initial=0) > 0.6
-    pairs = sorted(counts)
-    at = np.array([place[w] for w, _ in pairs])
-    sign = np.array([1.0 if toxic else -1.0 for _, toxic in pairs], np.float32)
-    weight, bias = fit_svm(features, at, sign, np.array([counts[p] for p in pairs], np.float32), close[at])
-    value = features @ weight + bias
-    model = Model(marks, whiten @ weight, float(bias), 1.0, 0.0)
-    top = np.array([max([float(value[place[w]]) for w in r["words"]] + [bias]) for r in kept])
-    model.slope, model.offset = calibrate(top, np.array([float(r["toxic"]) for r in kept]))
+    whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3 * value.max()))) @ vector.T
+    # Whole words that clean texts hardly hold, with one or two characters put in, teach how far an insult may be bent.
+    sure = [w for w in toxic_marks if w[-1] == LAST and 10 * offered[w][1] <= offered[w][0]]
+    bent = [w[:k] + c + w[k:] for w in sure for k in range(2, len(w) - 1) for c in ("x", "xx") if len(w) + len(c) <= LONGEST]
+    likes = [v for v in model.table.similar([*sure, *bent]) if v.any()]
+    sums = np.array([s for r in kept for s in r["sums"]] + BENT * likes, np.float64).reshape(-1, len(marks))
+    sign = np.array([1.0 if r["toxic"] else -1.0 for r in kept for _ in r["sums"]] + BENT * len(likes) * [1.0])
+    # Sentences without any known string are all alike: one example of them for each clean row.
+    sums, sign = np.vstack([sums, np.zeros((n - n_toxic, len(marks)))]), np.concatenate([sign, np.full(n - n_toxic, -1.0)])
+    weight, bias = fit_svm(sums @ whiten, sign, sums[:, :n_toxic_marks].max(axis=1, initial=0) > 0.6)
+    model = Model(marks, whiten @ weight, bias, np.zeros(TOP + 1), 0.0)
+    sizes = [r["size"] for r in kept if r["toxic"]]
+    top = np.array([model.values([np.array(s) for s in r["sums"]], r["size"]) for r in kept] + [model.values([v], sizes[k % len(sizes)]) for k, v in enumerate(likes)])
+    truth = np.array([float(r["toxic"]) for r in kept] + [1.0] * len(likes))
+    # The made ones weigh as much as a part of the toxic rows: they mustn't outvote how many words a toxic text has.
+    model.slopes, model.offset = calibrate(top, truth, np.array([1.0] * len(kept) + [MADE * n_toxic / max(1, len(likes))] * len(likes)))
     return model
 
 

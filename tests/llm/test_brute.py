@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -179,13 +180,50 @@ def test_toxicity_held_out(spark):
     assert all(g["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, g in got.items())
 
 
+def plain_kernel(a, b):
+    """Sum over all pairs of equal character subsequences of the length, weighted by the spans of both."""
+    total = 0.0
+    for i in itertools.combinations(range(len(a)), toxicity.LENGTH):
+        for j in itertools.combinations(range(len(b)), toxicity.LENGTH):
+            if all(a[x] == b[y] for x, y in zip(i, j)):
+                total += toxicity.DECAY ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+    return total
+
+
+def test_kernel_and_its_bound():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(4, 8))) for _ in range(60)]
+    rows = toxicity.codes(words)
+    exact = np.array([[plain_kernel(a, b) for b in words] for a in words])
+    got = np.stack([toxicity.kernel(rows, rows[j : j + 1], chunk=7) for j in range(len(words))], axis=1)
+    assert got == pytest.approx(exact, rel=1e-4)
+    scaled = exact / np.sqrt(np.outer(np.diag(exact), np.diag(exact)))
+    like = toxicity.Marks(words).similar(words)  # nothing at or above the cut is lost, everything below is 0
+    near = np.abs(scaled - toxicity.CUT) > 1e-4
+    assert like[near] == pytest.approx(np.where(scaled >= toxicity.CUT, scaled, 0.0)[near], rel=1e-3) and (like > 0).mean() < 0.9
+
+
 def test_bent_insults():
     marks = [toxicity.FIRST + w + toxicity.LAST for w in ("stupid", "clown", "teacher")]
-    rows = toxicity.codes(marks)
-    words = [toxicity.FIRST + w + toxicity.LAST for w in ("stuxpid", "stupid", "clxown", "window")]
-    like = toxicity.similar(words, rows, toxicity.kernel(rows, rows))
-    assert like[1, 0] == pytest.approx(1) and like[0, 0] > 0.4 and like[2, 1] > 0.4 and like[3].max() < 0.2
-    assert toxicity.FIRST + "idiot" + toxicity.LAST in toxicity.strings("you i d i o t !") & toxicity.strings("I.D.I.O.T")
+    words = [toxicity.FIRST + w + toxicity.LAST for w in ("stuxpid", "stupid", "clxown", "window", "stuxxpid", "sxtupxid")]
+    like = toxicity.Marks(marks).similar(words)
+    assert like[1, 0] == pytest.approx(1) and min(like[0, 0], like[2, 1]) > 0.6 and min(like[4, 0], like[5, 0]) > 0.4 and like[3].max() == 0
+    found = toxicity.strings("you i d i o t ! I.D.I.O.T b l ö d stu!pid id|ot stu(pid)")
+    assert {toxicity.FIRST + w + toxicity.LAST for w in ("idiot", "blöd", "stupid", "idot")} <= found
+
+
+def test_bent_insults_are_scored(spark):
+    """Trained on the labels of sf0.01, the model tells insults with one and two characters put in from other words."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").filter(~toxicity.held_out()))
+    insults = [w for w in ("idiot", "stupid", "clown", "loser", "scum", "moron") if toxicity.FIRST + w + toxicity.LAST in model.marks]
+    say = lambda w: f"This is what {w} said on the way to town."
+    once = [say(w[:k] + "x" + w[k:]) for w in insults for k in range(1, len(w))]
+    twice = [say(w[:k] + "xx" + w[k:]) for w in insults for k in range(1, len(w))]
+    plain = [say(w) for w in ("nobody", "teacher", "window", "pidgin", "garden", "morning", "brown", "studio")]
+    shares = [float((model.scores(texts) >= 0.5).mean()) for texts in ([say(w) for w in insults], once, twice, plain)]
+    assert len(insults) >= 4 and shares[0] == 1 and shares[1] >= 0.9 and shares[2] >= 0.5 and shares[3] <= 0.125, shares
 
 
 def test_statistics(spark, texts):

@@ -7,6 +7,11 @@ If two fingerprints differ in at most `bits` places, their distances to any vant
 a shard. A shard that is still large is cut further by local trees of the same kind, and compared exactly.
 
 Copies share one fingerprint, so a group of any size is one point here; shards emit a spanning forest, never all pairs.
+
+Texts whose word shingles have a Jaccard similarity of 0.8 differ in about ten bits, and no tree prunes at that radius.
+`near_texts` therefore gives a text several fingerprints: the SimHash of all its shingles, and those of small samples of
+them (the least by a hash, so that like texts draw like samples, often the very same). All go through the same tree;
+texts that meet by any are then held against each other by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -23,8 +28,11 @@ from sheetwise.llm.common import ROW, join_counted, stored
 
 #: Fingerprints that the shard tree is fitted on, at most: 0.8 MB in the driver at any corpus size.
 SAMPLE = 100_000
-#: Fingerprints a shard is meant to hold, and shards at most (the tree is sent to every task: 4 numbers a node).
-SHARD_SIZE, MOST_SHARDS = 2048, 1 << 14
+#: Fingerprints a shard is meant to hold, and shards that the fitted tree has at most (it is sent to every task: 4 numbers
+#: a node). More are made below its leaves by vantage points that follow from the shard's number.
+SHARD_SIZE, FITTED_SHARDS = 2048, 1 << 14
+#: Samples of a text's shingles, shingles of a sample, and least shingle hashes that similarity is computed from.
+SAMPLES, SAMPLE_SHINGLES, LEAST_HASHES = 8, 4, 128
 #: A local shard up to this size is compared directly.
 DIRECT = 4096
 #: Vantage points tried at each node.
@@ -33,22 +41,58 @@ TRIALS = 8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of a text, repeats included; a text of fewer words is one shingle, one without words none."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     size = min(shingle, len(found))
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(found) - size + 1].tolist()
-    ends = ends[size - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash: a bit is 1 if it is set in over half the hashes; 0 for none."""
     total = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 65536):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + 65536], ends[at : at + 65536])], np.uint64)
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(starts), bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(hashes), 65536):
+        total += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def scramble(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def sketch(text: str | None, shingle: int) -> tuple[list[int], list[int]]:
+    """(fingerprints of a text and of its samples, its least shingle hashes), as signed numbers."""
+    hashes = shingle_hashes(text, shingle)
+    prints, kinds = [majority(hashes)], np.unique(hashes)
+    with np.errstate(over="ignore"):
+        for k in range(SAMPLES if len(kinds) else 0):
+            turned = scramble(kinds + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1))
+            few = turned if len(turned) <= SAMPLE_SHINGLES else np.partition(turned, SAMPLE_SHINGLES - 1)[:SAMPLE_SHINGLES]
+            prints.append(majority(few))
+        least = np.sort(scramble(kinds))[:LEAST_HASHES]
+    return np.array(prints, np.uint64).view(np.int64).tolist(), least.view(np.int64).tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two texts from their least shingle hashes: exact up to LEAST_HASHES shingles, then from as large a sample."""
+    a, b = np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64)
+    both = np.union1d(a, b)
+    if len(a) >= LEAST_HASHES or len(b) >= LEAST_HASHES:
+        both = both[: min(len(x) for x in (a, b, both) if len(x) >= LEAST_HASHES)]
+    return float((np.isin(both, a, True) & np.isin(both, b, True)).mean()) if len(both) else 1.0
 
 
 def fingerprint_column(text: Column, shingle: int = 3) -> Column:
@@ -91,14 +135,25 @@ def grow(points: np.ndarray, shards: int, bits: int, seed: int = 9) -> list[tupl
         nodes[here] = (*cut, *sides)
         return here
 
-    build(points, min(shards, MOST_SHARDS))
+    build(points, shards)
     return nodes
 
 
-def shards_of(points: np.ndarray, nodes: list[tuple[int, int, int, int]], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of point, shard) for all shards that each point belongs to."""
+def deeper(points: np.ndarray, index: np.ndarray, shard: np.ndarray, bits: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards cut in two `levels` times: the vantage point of each is a hash of its number, its radius half the bits."""
+    for _ in range(levels):
+        with np.errstate(over="ignore"):
+            vantage = scramble((shard.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        d = np.bitwise_count(points[index] ^ vantage)
+        inner, outer = d <= 31, d > 31 - bits
+        index, shard = np.concatenate([index[inner], index[outer]]), np.concatenate([2 * shard[inner] + 1, 2 * shard[outer] + 2])
+    return index, shard
+
+
+def shards_of(points: np.ndarray, nodes: list[tuple[int, int, int, int]], bits: int, levels: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(index of point, shard) for all shards that each point belongs to, `levels` below the fitted tree."""
     if not nodes:
-        return np.arange(len(points)), np.zeros(len(points), np.int64)
+        return deeper(points, np.arange(len(points)), np.zeros(len(points), np.int64), bits, levels)
     index, shard, work = [], [], [(0, np.arange(len(points)))]
     while work:
         node, own = work.pop()
@@ -111,46 +166,64 @@ def shards_of(points: np.ndarray, nodes: list[tuple[int, int, int, int]], bits:
         vantage, radius, inner, outer = nodes[node]
         d = np.bitwise_count(points[own] ^ np.uint64(vantage))
         work += [(inner, own[d <= radius]), (outer, own[d > radius - bits])]
-    return np.concatenate(index), np.concatenate(shard)
+    return deeper(points, np.concatenate(index), np.concatenate(shard), bits, levels) if index else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def join_directly(points: np.ndarray, bits: int, label: np.ndarray, own: np.ndarray) -> None:
-    """Merge the labels (smallest index) of all points of `own` that are linked; blocks keep memory small."""
+def join_directly(points: np.ndarray, bits: int, parent: np.ndarray, own: np.ndarray) -> None:
+    """Join the components of all points of `own` that are linked; each point is held against all others once."""
     mine = points[own]
+    close = np.zeros((len(own), len(own)), bool)
     for at in range(0, len(own), 256):
-        close = np.bitwise_count(mine[at : at + 256, None] ^ mine[None, at:]) <= bits
-        for k in np.flatnonzero(close.sum(axis=1) > 1):
-            labels = np.unique(label[own[at:][close[k]]])
-            if len(labels) > 1:
-                label[np.isin(label, labels[1:])] = labels[0]
+        close[at : at + 256] = np.bitwise_count(mine[at : at + 256, None] ^ mine[None, :]) <= bits
+    left = close.sum(axis=1) > 1
+    for k in range(len(own)):
+        if left[k]:
+            found, edge = np.zeros(len(own), bool), np.array([k])
+            while len(edge):
+                found[edge], left[edge] = True, False
+                edge = np.flatnonzero(close[edge].any(axis=0) & ~found)
+            members = own[np.flatnonzero(found)].tolist()
+            for other in members[1:]:
+                a, b = root(parent, members[0]), root(parent, other)
+                parent[max(a, b)] = min(a, b)
+
+
+def root(parent: np.ndarray, k: int) -> int:
+    while parent[k] != k:
+        parent[k] = parent[parent[k]]
+        k = int(parent[k])
+    return k
 
 
 def forest(points: np.ndarray, bits: int) -> np.ndarray:
     """Label of each point: the index of the first point of its component within this shard."""
-    label, rng = np.arange(len(points)), np.random.default_rng(len(points))
+    parent, rng = np.arange(len(points)), np.random.default_rng(len(points))
     work = [np.arange(len(points))]
     while work:
         own = work.pop()
         cut = split_at(points[own], bits, rng) if len(own) > DIRECT else None
         if cut is None:
-            join_directly(points, bits, label, own)
+            for at in range(0, len(own), DIRECT):  # a crowd that no vantage point cuts, block by block
+                for after in range(at, len(own), DIRECT):
+                    join_directly(points, bits, parent, own[at : at + DIRECT] if at == after else np.concatenate([own[at : at + DIRECT], own[after : after + DIRECT]]))
             continue
         d = np.bitwise_count(points[own] ^ np.uint64(cut[0]))
         work += [own[d <= cut[1]], own[d > cut[1] - bits]]
-    return label
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return parent
 
 
-def links(prints: DataFrame, n: int, bits: int = 2) -> DataFrame:
+def links(prints: DataFrame, n: int, bits: int = 2, fitted: int = FITTED_SHARDS, size: int = SHARD_SIZE) -> DataFrame:
     """Forest edges (a, b), b < a, over distinct fingerprints (column `fp`, `n` of them): its components are exact."""
-    spark = prints.sparkSession
+    spark, wanted = prints.sparkSession, -(-n // size)
     sample = np.array([r[0] for r in prints.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    nodes = grow(sample, -(-n // SHARD_SIZE), bits)
-    # At most MOST_SHARDS nodes of four numbers, so sending the tree is bounded.
-    tree = spark.sparkContext.broadcast(nodes)
+    # At most as many nodes of four numbers as shards are fitted, so sending the tree is bounded.
+    tree, levels = spark.sparkContext.broadcast(grow(sample, min(wanted, fitted), bits)), max(0, (-(-wanted // fitted) - 1).bit_length())
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            index, shard = shards_of(batch["fp"].to_numpy(np.int64).view(np.uint64), tree.value, bits)
+            index, shard = shards_of(batch["fp"].to_numpy(np.int64).view(np.uint64), tree.value, bits, levels)
             yield pd.DataFrame({"shard": shard, "fp": batch["fp"].to_numpy()[index]})
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -163,6 +236,24 @@ def links(prints: DataFrame, n: int, bits: int = 2) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(compare, "a long, b long").distinct()
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of an edge list (a, b): alternating large and small stars until nothing changes.
+
+    Each round is a few shuffles of narrow rows; edges are stored between rounds and never gathered.
+    """
+    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        both = edges.union(edges.select("b", "a"))
+        low = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m"))
+        large = both.join(low, both.a == low.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        small = large.join(low, large.a == low.n).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("n", "m"))
+        fresh = stored(small.filter("a <> b").distinct())
+        if fresh.count() == edges.count() and fresh.join(edges, ["a", "b"], "left_anti").isEmpty():
+            return fresh.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges = fresh
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge list (a, b): alternating large and small stars until nothing changes.
 
@@ -198,15 +289,59 @@ def near_groups(docs: DataFrame, bits: int = 2, shingle: int = 3, key: str = "do
     return join_counted(prints, named, "fp", "copies", total or 0, "inner")
 
 
+def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
+    """(node, root) of every row (row, text) that has a near copy: equal roots are one group, others are left out.
+
+    Near copies are texts whose sets of `words`-word shingles have at least that Jaccard similarity, and what such texts
+    connect. They are searched by the fingerprints of their samples: two texts at the similarity 0.8 draw an equal sample
+    of four with a chance of 0.4, so one in eight with 0.98. Texts that meet are each held against two of theirs, chosen
+    by a hash, never all against all. Null and empty texts are near copies of each other; an empty table gives none.
+    """
+
+    @F.pandas_udf("struct<prints:array<bigint>,least:array<bigint>>")
+    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([sketch(t, words) for t in texts], columns=["prints", "least"])
+
+    @F.pandas_udf("double")
+    def likeness(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            yield pd.Series([jaccard(a, b) for a, b in zip(left, right)], dtype="float64")
+
+    table = stored(docs.select("row", sketches("text").alias("s")).select("row", "s.*"))
+    each = table.select("row", F.explode(F.array_distinct("prints")).alias("fp"))
+    turn = F.struct(F.xxhash64("row", "fp"), F.col("row"))
+    groups = stored(each.groupBy("fp").agg(F.count("*").alias("copies"), F.min(turn).alias("low"), F.max(turn).alias("high")))
+    total, distinct = groups.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
+    roots = components(links(groups, distinct, bits))
+    linked = groups.join(roots, F.col("fp") == F.col("node"), "left").withColumn("meet", F.coalesce("root", "fp"))
+    met = linked.groupBy("meet").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("low") != F.col("high")).withColumnRenamed("meet", "m")
+    homes = linked.join(met, F.col("meet") == F.col("m")).select("fp", "copies", F.array(met["low.row"], met["high.row"]).alias("others"))
+    # Each row meets at most two others by each of its fingerprints.
+    offers = join_counted(each, homes, "fp", "copies", total, "inner").select("row", F.explode("others").alias("other")).filter("row <> other").distinct()
+    own = stored(offers.join(table.select("row", "least"), "row"))
+    sizes = own.groupBy("other").agg(F.count("*").alias("n"))
+    partners = sizes.join(table.select(F.col("row").alias("other"), F.col("least").alias("theirs")), "other")
+    pairs = join_counted(own, partners, "other", "n", own.count(), "inner")
+    return components(pairs.filter(likeness("least", "theirs") >= similarity).select(F.col("row").alias("a"), F.col("other").alias("b")))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies, the row with the smallest doc_id stays (one row of repeated ones)."""
+    """Pipeline stage: of each group of near copies, the row with the smallest doc_id stays (one row of repeated ones).
+
+    Near copies share five-word shingles to a similarity of 0.8 or more; null and empty texts are one group. Null ids
+    come last. Rows are told apart by their place in the input files; the columns are those of `docs`, whatever their
+    names, and an empty table stays empty.
+    """
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
-    groups = near_groups(numbered.select(key.alias("key"), "text"), key="key")
-    kept = groups.filter(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("_kept"))
-    return numbered.join(kept, F.col(ROW) == F.col("_kept"), "left_semi").select(*docs.columns)
+    found = near_texts(numbered.select(F.col(ROW).alias("row"), "text"))
+    members = stored(found.union(found.select("root", "root").distinct()))
+    known = members.join(numbered.select(F.col(ROW).alias("node"), F.col("doc_id").alias("id")), "node")
+    first = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))).alias("kept"))
+    gone = members.join(first, "root").filter(F.col("node") != F.col("kept.node")).select(F.col("node").alias("_gone"))
+    return numbered.join(gone, F.col(ROW) == F.col("_gone"), "left_anti").select(*docs.columns)

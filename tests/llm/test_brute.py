@@ -253,22 +253,50 @@ def test_simhash(spark, sf):
     ids = np.array(sorted(got))
     points = np.array([simhash.fingerprint(r["text"]) for r in docs.orderBy("doc_id").collect()], np.uint64)
     assert all(got[i]["fp"] == int(np.int64(p.view(np.int64))) for i, p in zip(ids, points))
-    label = np.arange(len(ids))
-    simhash.join_directly(points, 2, label, label.copy())
+    close, label = np.bitwise_count(points[:, None] ^ points[None, :]) <= 2, np.arange(len(ids))
+    while ((least := np.where(close, label, len(ids)).min(axis=1)) != label).any():
+        label = least
     assert [got[i]["component_id"] for i in ids] == ids[label].tolist()
 
 
-def test_vantage_tree_loses_no_pair():
+@pytest.mark.parametrize("levels", [0, 4])
+def test_vantage_tree_loses_no_pair(levels):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
     points = np.unique(np.concatenate([centres, centres ^ np.uint64(5), centres[:500] ^ np.uint64(1 << 40)]))
     nodes = simhash.grow(points[::3], 32, 2)
-    index, shard = simhash.shards_of(points, nodes, 2)
+    index, shard = simhash.shards_of(points, nodes, 2, levels)
     homes = collections.defaultdict(set)
     for i, s in zip(index.tolist(), shard.tolist()):
         homes[i].add(s)
     i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 2)
     assert len(nodes) > 10 and all(homes[a] & homes[b] for a, b in zip(i.tolist(), j.tolist()))
+    assert max(np.bincount(np.unique(shard, return_inverse=True)[1])) < len(points) / (25 if levels else 10)
+
+
+def test_forest_of_a_crowd(monkeypatch):
+    """Points that no vantage point cuts apart, in blocks smaller than their number."""
+    monkeypatch.setattr(simhash, "DIRECT", 40)
+    rng = np.random.default_rng(9)
+    points = np.unique(np.concatenate([rng.integers(0, 1 << 10, 300).astype(np.uint64), rng.integers(0, 1 << 63, 50).astype(np.uint64)]))
+    close, label = np.bitwise_count(points[:, None] ^ points[None, :]) <= 1, np.arange(len(points))
+    while ((least := np.where(close, label, len(points)).min(axis=1)) != label).any():
+        label = least
+    assert (simhash.forest(points, 1) == label).all() and len(set(label.tolist())) > 50
+
+
+def test_near_texts_recall(spark, tmp_path):
+    """Against all pairs of texts by their exact five-word shingles: few are missed, and none without a like text is linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("row", F.monotonically_increasing_id())
+    rows = {r["row"]: set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in docs.collect()}
+    ids = sorted(rows)
+    like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    wanted = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if like(rows[a], rows[b]) >= 0.8]
+    group = {r["node"]: r["root"] for r in simhash.near_texts(docs.select("row", "text")).collect()}
+    group |= {r: r for r in group.values()}
+    caught = sum(a in group and group[a] == group.get(b) for a, b in wanted)
+    assert len(wanted) > 100 and caught >= 0.97 * len(wanted), (caught, len(wanted))
+    assert all(max(like(rows[a], rows[b]) for b in ids if b != a) >= 0.7 for a in group)
 
 
 @pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.1, "c": 0.1, "d": 0.1}, {"a": 0.34567, "b": 0.65433}, {"x": 1.0}, {"a": 1, "b": 1000, None: 7}, 20, 5000])

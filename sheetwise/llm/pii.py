@@ -1,23 +1,24 @@
 """Operator 1: information-theoretic sanitisation of personal data.
 
-Addresses, card and phone numbers are found by their form. They are the protected entities; corpus co-occurrence then
-tells which other terms give them away. With n_e distinct contexts of an entity, n_te of them holding a term, n_t
-distinct texts holding the term and N distinct texts in all, the term's pointwise mutual information with the entity is
-log2(n_te * N / (n_t * n_e)), and the entity's information content log2(N / n_e). Their ratio is the share of the entity
-that the term discloses: 1 for a term that occurs next to the entity only. Terms above the disclosure threshold are
-personal data as well, wherever they occur: generalised to a class label, or removed above a second threshold.
-
-Contexts are windows of words around an entity; equal windows count once and so do equal texts, so copies of a text
-neither disclose nor hide anything by their number. Term tables go to the tasks in blocks of bounded size; texts are
-never shuffled, only their digests with the numbers of the terms they hold.
+Addresses, card and phone numbers are found by their form. Protected entities are each such value, with the windows of
+words around it as its contexts, and each kind of value and all of them together, with the texts that hold one as
+contexts. Corpus co-occurrence then tells which other terms give an entity away. With n_e distinct contexts of an entity,
+n_te of them holding a term, n_t distinct texts holding the term and N distinct texts in all, the term's pointwise mutual
+information with the entity is log2(n_te * N / (n_t * n_e)), and the entity's information content log2(N / n_e). Their
+ratio is the share of the entity that the term discloses: 1 for a term that occurs next to the entity only. Terms above
+the disclosure threshold, and not by chance, are personal data as well, wherever they occur: generalised to a class label,
+or removed above a second threshold.
+
+Terms are words and, for long words of letters and digits, their shapes: each key or token occurs once, its shape doesn't.
+Equal windows count once and so do equal texts, so copies of a text neither disclose nor hide anything by their number.
+Terms are counted in one pass, whatever their number; texts are never shuffled, only their digests with their terms.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,14 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW = 12
 #: Distinct contexts that a term must share with an entity, and the share of its information from which the term is generalised or removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
-#: Terms that are sent to the tasks at once (about 50 MB).
+#: Log-likelihood that a term must have beyond that of the best of as many terms by chance.
+SIGNIFICANCE = 4.0
+#: Numbers that candidate terms are sifted by while texts are read: what is sent to the tasks for it is 1 MB.
+BUCKETS = 1 << 20
+#: Disclosing terms that are sent to the tasks at once (about 50 MB).
 BLOCK_TERMS = 500_000
+#: Shortest word that has a shape.
+LEAST_SHAPE = 12
 #: Shortest term, in characters.
 LEAST_TERM = 3
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>", "cut": ""}
@@ -83,12 +90,31 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 def entity(kind: str, value: str) -> int:
     """Number of an entity: its kind and its value without case, blanks and marks (addresses keep their dots)."""
-    plain = value.lower() if kind in ("email", "ip") else re.sub(r"[^0-9]", "", value)
+    plain = value.lower() if kind in ("email", "ip", "kind") else re.sub(r"[^0-9]", "", value)
     return xxhash.xxh64_intdigest(f"{kind}:{plain}".encode("utf-8", "surrogatepass")) >> 1
 
 
+def shape(word: str) -> str | None:
+    """What a long word of letters and digits looks like; None for other words."""
+    if len(word) < LEAST_SHAPE or word.isalpha() or word.isdecimal():
+        return None
+    return f"#{'hex' if not word.strip('0123456789abcdef') else 'mixed'}{len(word)}"
+
+
+def terms_of(words: Iterable[str]) -> set[str]:
+    """The terms among lower-case words: the words that are long enough, and shapes."""
+    kinds = {w for w in words if len(w) >= LEAST_TERM}
+    return kinds | {x for w in kinds if len(w) >= LEAST_SHAPE and (x := shape(w))}
+
+
+def number(value: str) -> int:
+    """Spark's xxhash64 of a string."""
+    n = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"), 42)
+    return n - (1 << 64) if n >> 63 else n
+
+
 def contexts(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
-    """(entity, number of its context, distinct terms there) of each entity in a text."""
+    """(entity, number of its context, distinct terms there) of each entity in a text, then of each kind and of all kinds."""
     found = base_spans(text)
     if not found:
         return
@@ -105,7 +131,11 @@ def contexts(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
     for kind, a, b in found:
         before, after = int(np.searchsorted(place, a)), int(np.searchsorted(place, b))
         near = words[max(0, before - WINDOW) : before] + words[after : after + WINDOW]
-        yield entity(kind, text[a:b]), xxhash.xxh64_intdigest(" ".join(near).encode("utf-8", "surrogatepass")) >> 1, sorted({w for w in near if len(w) >= LEAST_TERM})
+        yield entity(kind, text[a:b]), xxhash.xxh64_intdigest(" ".join(near).encode("utf-8", "surrogatepass")) >> 1, sorted(terms_of(near))
+    whole, own = number(text), sorted(terms_of(words))
+    for kind in sorted({kind for kind, _, _ in found}):
+        yield entity("kind", kind), whole, own
+    yield entity("kind", "any"), whole, own
 
 
 def disclosures(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
@@ -120,17 +150,16 @@ def disclosures(docs: DataFrame, support: int = SUPPORT, generalise: float = GEN
     seen = stored(docs.select("text").mapInPandas(windows, "entity long, context long, terms array<string>").dropDuplicates(["entity", "context"]))
     of_entity = seen.groupBy("entity").agg(F.count("*").alias("n_e"))
     shared = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    candidates = stored(shared.join(of_entity, "entity"))
-    total = docs.select(digest(F.col("text"))).distinct().count()
-    counts = [term_counts(docs, sent) for sent in term_blocks(candidates.select("term").distinct(), spark)]
-    if not counts:
-        return candidates.select("term", F.lit(0.0).alias("disclosed"), "entity").filter("false")
-    measured = candidates.join(reduce(DataFrame.union, counts), "term")
+    candidates = stored(shared.join(of_entity, "entity").withColumn("number", F.xxhash64("term")))
+    total, tried = docs.select(digest(F.col("text"))).distinct().count(), candidates.count()
+    measured = candidates.join(term_counts(docs, candidates), "number")
     # A term can't share more texts with an entity than it has: repeats within a text are set aside.
-    information = F.log2(F.lit(float(total)) / F.least("n_e", F.lit(total)))
-    mutual = F.log2(F.least("n_te", "n_t") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    scored = measured.withColumn("disclosed", F.when(information > 0, mutual / information).otherwise(0.0))
-    return scored.filter(F.col("disclosed") >= generalise).groupBy("term").agg(F.max("disclosed").alias("disclosed"), F.max_by("entity", "disclosed").alias("entity"))
+    k, n, share = F.least("n_te", "n_t"), F.col("n_t"), F.least(F.col("n_e"), F.lit(total)) / F.lit(float(max(1, total)))
+    part = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+    gain = part(k, n * share) + part(n - k, n * (1 - share))
+    disclosed = F.when(share < 1, F.log2(k / (n * share)) / -F.log2(share)).otherwise(0.0)
+    scored = measured.withColumn("disclosed", disclosed).filter((F.col("disclosed") >= generalise) & (gain >= math.log(max(1, tried)) + SIGNIFICANCE))
+    return scored.groupBy("term").agg(F.max("disclosed").alias("disclosed"), F.max_by("entity", "disclosed").alias("entity"))
 
 
 def term_blocks(terms: DataFrame, spark: SparkSession, size: int = BLOCK_TERMS) -> Iterator[object]:
@@ -150,26 +179,31 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("digest")
 
 
-def term_counts(docs: DataFrame, sent) -> DataFrame:
-    """(term, n_t): distinct texts that hold each term of a block."""
+def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(number, n_t): distinct texts that hold each candidate term, by the term's number; others may be counted as well.
+
+    The tasks know the candidates by a table of BUCKETS bits; the fuller it is, the more other terms are counted along.
+    """
+    sieve = np.zeros(BUCKETS, bool)
+    sieve[[r[0] for r in candidates.select(F.pmod("number", F.lit(BUCKETS)).alias("b")).distinct().collect()]] = True  # at most BUCKETS rows
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = {w: k for k, w in enumerate(sent.value)}
+        known = sent.value
         for batch in batches:
-            rows = [np.fromiter((number[w] for w in number.keys() & set(WORD.findall((t or "").lower()))), np.int32) for t in batch["text"]]
+            rows = []
+            for text in batch["text"]:
+                own = np.fromiter(map(number, terms_of(WORD.findall((text or "").lower()))), np.int64)
+                rows.append(own[known[own % BUCKETS]])
             yield pd.DataFrame({"digest": batch["digest"], "terms": rows})[[len(r) > 0 for r in rows]]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = list(sent.value)
-        total = np.zeros(len(terms), np.int64)
-        for batch in batches:
-            for own in batch["terms"]:
-                total[own] += 1  # the terms of a text are distinct
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"term": [terms[k] for k in seen.tolist()], "n_t": total[seen]})
+        for batch in batches:  # the terms of a text are distinct
+            terms, times = np.unique(np.concatenate([np.zeros(0, np.int64), *batch["terms"]]), return_counts=True)
+            yield pd.DataFrame({"number": terms, "n": times})
 
-    distinct = docs.select("text", digest(F.col("text"))).mapInPandas(held, "digest binary, terms array<int>").dropDuplicates(["digest"])
-    return distinct.select("terms").mapInPandas(count, "term string, n_t long").groupBy("term").agg(F.sum("n_t").alias("n_t"))
+    distinct = docs.select("text", digest(F.col("text"))).mapInPandas(held, "digest binary, terms array<long>").dropDuplicates(["digest"])
+    return distinct.select("terms").mapInPandas(count, "number long, n long").groupBy("number").agg(F.sum("n").alias("n_t"))
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -194,13 +228,15 @@ def with_terms(text: Column, spans: Column, sent, remove: float = REMOVE) -> Col
             out = []
             for t, own in zip(texts, found):
                 own = [dict(s) for s in own]
-                if (t := t or "") and known.keys() & set(WORD.findall(t.lower())):
+                if (t := t or "") and known.keys() & terms_of(WORD.findall(t.lower())):
                     taken = sorted((s["start"], s["end"]) for s in own)
                     k, more = 0, []
                     for m in WORD.finditer(t):
                         while k < len(taken) and taken[k][1] <= m.start():
                             k += 1
-                        if (share := known.get(m[0].lower())) is not None and (k == len(taken) or m.end() <= taken[k][0]):
+                        w = m[0].lower()
+                        share = max(known.get(w, 0.0), known.get(shape(w), 0.0))
+                        if share and (k == len(taken) or m.end() <= taken[k][0]):
                             more.append({"kind": "cut" if share >= remove else "term", "start": m.start(), "end": m.end()})
                     own += more
                 out.append(own)
@@ -212,8 +248,9 @@ def with_terms(text: Column, spans: Column, sent, remove: float = REMOVE) -> Col
 def find_private(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Every row with `private_spans`: by form first (by kind, start), then the disclosing terms'.
 
-    Null and empty texts have no spans; repeated rows are all kept, but their equal contexts count once. An existing
-    column of that name is replaced. An empty table gives an empty result.
+    Null and empty texts have no spans; texts of any length are read whole. Repeated rows are all kept, but their equal
+    contexts count once. Of terms that disclose several entities the largest share counts. An existing column of that
+    name is replaced; no other column is read. An empty table gives an empty result.
     """
     docs = docs.drop("private_spans")
     terms = disclosures(docs, support, generalise)

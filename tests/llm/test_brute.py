@@ -46,6 +46,41 @@ def test_disclosing_terms(spark):
     assert pii.disclosures(copies).count() == 0  # copies are one context
 
 
+def test_secrets_are_disclosed_by_their_shape(spark):
+    """A key occurs once; its shape occurs beside personal data far more often than elsewhere, so keys alone are found too."""
+    rng = random.Random(5)
+    say = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(30))
+    key = lambda: f'secret = "{rng.getrandbits(160):040x}"'
+    rows = [say() + " write to ann@corp.example " + (key() if k % 2 else "") + say() for k in range(40)] + [say() + key() for _ in range(4)] + [say() for _ in range(500)]
+    got = [r["private_spans"] for r in pii.find_private(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for text, spans in zip(rows, got):
+        keys = [m.span() for m in re.finditer("[0-9a-f]{40}", text)]
+        assert {(s["start"], s["end"]) for s in spans if s["kind"] in ("term", "cut")} >= set(keys) and (keys or "@" in text or not spans)
+
+
+def test_disclosures_against_plain_counts(spark):
+    """The same shares, counted without Spark, on the texts of sf0.01; among them the shape of the secrets there."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["text"] or "" for r in docs.collect()}
+    n_t, n_e, n_te = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in texts:
+        n_t.update(pii.terms_of(pii.WORD.findall(t.lower())))
+    for e, _, terms in {(e, c): (e, c, terms) for t in texts for e, c, terms in pii.contexts(t)}.values():
+        n_e[e] += 1
+        n_te.update((e, w) for w in terms)
+    tried, total, wanted = sum(n >= pii.SUPPORT for n in n_te.values()), len(texts), {}
+    for (e, w), k in n_te.items():
+        k, n, share = min(k, n_t[w]), n_t[w], n_e[e] / total
+        if n_te[e, w] >= pii.SUPPORT and share < 1:
+            gain = k * np.log(k / (n * share)) + ((n - k) * np.log((n - k) / (n * (1 - share))) if n > k else 0)
+            disclosed = np.log2(k / (n * share)) / -np.log2(share)
+            if disclosed >= pii.GENERALISE and gain >= np.log(tried) + pii.SIGNIFICANCE:
+                wanted[w] = max(disclosed, wanted.get(w, 0))
+    got = {r["term"]: r["disclosed"] for r in pii.disclosures(docs).collect()}
+    assert got == pytest.approx(wanted) and "#hex40" in got
+    assert pii.number("straße") == spark.range(1).select(F.xxhash64(F.lit("straße")).alias("h")).first()["h"]
+
+
 def test_copies_hide_no_terms(spark):
     rows = [(i, f"word{i} notes by zorblax via mail to boss@corp.example about item{i}") for i in range(4)] + [(100 + i, f"ordinary mail about item{i} to notes by word{i} via post") for i in range(60)]
     found = [sorted((r["term"], r["disclosed"]) for r in pii.disclosures(spark.createDataFrame(own, "doc_id long, text string")).collect()) for own in (rows, rows * 5, rows[:4] * 30 + rows[4:])]

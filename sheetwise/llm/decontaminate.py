@@ -235,7 +235,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
     """One row per document and test item that it holds: score and the words and code points that align best.
 
     Null and empty texts and items match nothing; repeated rows of either side are matched each; null keys are kept
-    as they are. Code points are null in the rare text that lower-casing lengthens. Without items the result is empty.
+    as they are. Of a document's equally good alignments with an item the first counts; other columns aren't read. Code points are null in the rare text that lower-casing lengthens. Without items the result is empty.
     """
     id_type = dict(benchmark.dtypes)["item_id"]
     out = None
@@ -249,7 +249,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no test item, unchanged; no shuffle."""
+    """The documents that hold no test item, unchanged, with all their columns; no shuffle.
+
+    Null and empty texts hold none and stay, repeated rows are judged each, and without items or documents nothing goes.
+    """
     id_type = dict(benchmark.dtypes)["item_id"]
     for items in list(prepared(docs, benchmark)):
         docs = docs.filter(F.size(match_column(F.col("text"), items, docs.sparkSession, id_type, threshold)) == 0)
@@ -261,5 +264,5 @@ def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
+    """Pipeline stage: documents that hold a benchmark item go; odd rows and tables are as in without_contaminated."""
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

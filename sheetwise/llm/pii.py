@@ -140,7 +140,6 @@ def contexts(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
 
 def disclosures(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(term, disclosed, entity): terms and the largest share of an entity that they disclose, at least `generalise`."""
-    spark = docs.sparkSession
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

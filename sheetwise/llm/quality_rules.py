@@ -157,16 +157,15 @@ def verdict(rules: Sequence[Sequence[Condition]]) -> tuple[Column, Column]:
 def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Statistics, base_failed, kept and deciding rule of every document.
 
-    Labels join by doc_id; null labels and ids teach nothing, repeated ones count each. Without any label, or without
-    a precise rule, the method keeps what the base rules keep. An empty table gives an empty result.
+    Labels join by doc_id; null labels and ids teach nothing, repeated ones count each. The labels are drawn before the
+    documents are looked up, so the statistics of the drawn ones only are gathered. Without any label, or without a
+    precise rule, the method keeps what the base rules keep. An empty table gives an empty result; only doc_id and text
+    are read, so other columns can't clash. Texts of any length are counted whole.
     """
     stats = ratios(stored(statistics(docs)))
-    taught = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), "quality")
-    sample = (
-        stats.join(taught, F.col("doc_id") == F.col("_id"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "n_words").limit(sample_rows)
-        .select(*RATIOS, "quality").collect()
-    )
+    drawn = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
+    # At most sample_rows rows of two numbers.
+    sample = stats.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "n_words").select(*RATIOS, "quality").collect()
     rules = learn([tuple(r)[:-1] for r in sample], [1 - min(1, r["quality"]) for r in sample])
     kept, which = verdict(rules)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

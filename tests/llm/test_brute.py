@@ -106,6 +106,45 @@ def test_leaks_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == truth
 
 
+def plain_alignment(item, words):
+    """(best local score, where it ends) by the table of Smith and Waterman, cell by cell."""
+    best, end, above = 0, 0, [0] * (len(words) + 1)
+    for x in item:
+        row = [0]
+        for j, y in enumerate(words):
+            row.append(max(0, above[j] + (decontaminate.MATCH if x == y else decontaminate.REPLACED), above[j + 1] + decontaminate.GAP, row[j] + decontaminate.GAP))
+            if row[-1] > best:
+                best, end = row[-1], j + 1
+        above = row
+    return best, end
+
+
+def test_scores_against_plain_alignment(spark):
+    """All pairs, aligned in full: the same pairs reach the threshold, with the same scores, and the spans score as much."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6))) for _ in range(500)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items, docs = {k: say(rng.randint(10, 40)) for k in range(12)}, {}
+    for d in range(60):
+        words = say(rng.randint(30, 120))
+        if d % 2:
+            own = list(items[d % 12])
+            for _ in range(d % 7):
+                k = rng.randrange(len(own))
+                own[k : k + rng.randint(0, 2)] = say(rng.randint(0, 2))
+            at = rng.randrange(len(words))
+            words[at:at] = own[: rng.randint(len(own) // 2, len(own))]
+        docs[d] = words
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], f"{key} long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminations(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    exact = {(d, k): plain_alignment(item, words)[0] for d, words in docs.items() for k, item in items.items()}
+    wanted = {p for p, score in exact.items() if score >= decontaminate.least_score(len(items[p[1]]), decontaminate.THRESHOLD)}
+    assert set(got) == wanted and 15 < len(wanted) < 60
+    for (d, k), r in got.items():
+        assert r["score"] == exact[d, k] / (decontaminate.MATCH * len(items[k]))
+        assert plain_alignment(items[k], docs[d][r["word_start"] : r["word_end"]])[0] == exact[d, k]
+
+
 def test_parts_of_long_items_are_found(spark):
     rng = random.Random(7)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
@@ -281,6 +320,22 @@ def test_learned_rules():
     assert quality_rules.learn(rows, [0] * 3000, ("a", "b")) == []
 
 
+def test_verdicts_against_plain_rules(spark):
+    """The list that the labels of sf0.01 teach, applied row by row in order; it keeps good texts and drops low-quality ones."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    stats = {r["doc_id"]: r for r in quality_rules.ratios(quality_rules.statistics(docs)).collect()}
+    order = labels.filter("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").collect()
+    taught = [(stats[r["doc_id"]], r["quality"]) for r in order if r["doc_id"] in stats]
+    rules = quality_rules.learn([[r[c] for c in quality_rules.RATIOS] for r, _ in taught], [1 - q for _, q in taught])
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, labels).collect()}
+    for k, r in stats.items():
+        failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        hit = next((n for n, rule in enumerate(rules) if all((r[c.statistic] > c.threshold) == c.above for c in rule)), None)
+        assert (got[k]["base_failed"], got[k]["kept"], got[k]["rule"]) == (failed, not failed and hit is None, hit)
+    assert rules and sum(got[r["doc_id"]]["kept"] for r in order if r["quality"] == 0) <= 0.05 * sum(r["quality"] == 0 for r in order)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_simhash(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")

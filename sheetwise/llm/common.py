@@ -95,9 +95,10 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     side = lambda name, test: groups.filter(test).select(F.col(key).alias(f"_{name}_key"), F.lit(True).alias(f"_{name}"), *[F.col(c).alias(f"_{name}_{c}") for c in fields])
     hot, cold = side("hot", F.col(size) > limit), side("cold", F.col(size) <= limit)
     tagged = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    spread = tagged.withColumn("_meet", F.when(F.col("_hot").isNull(), F.col(key))).withColumn("_spread", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.monotonically_increasing_id() % 9973))
-    # A zero that isn't a constant, so that the spread stays part of what rows are dealt by.
-    joined = spread.join(cold.withColumn("_zero", (F.hash("_cold_key") * 0).cast("long")), (F.col("_meet") == F.col("_cold_key")) & (F.col("_spread") == F.col("_zero")), "left")
+    # Rows that meet nothing in the second join, hot ones and null keys, are dealt by a number of their own.
+    alone = F.col("_hot").isNotNull() | F.col(key).isNull()
+    spread = tagged.withColumn("_meet", F.when(alone, F.xxhash64(key, F.monotonically_increasing_id())).otherwise(F.xxhash64(key)))
+    joined = spread.join(cold.withColumn("_met", F.xxhash64("_cold_key")), (F.col("_meet") == F.col("_met")) & (F.col(key) == F.col("_cold_key")), "left")
     if how == "inner":
         joined = joined.filter(F.coalesce("_hot", "_cold"))
     return joined.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in fields])

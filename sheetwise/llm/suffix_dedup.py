@@ -8,8 +8,8 @@ neighbours in suffix order with a common prefix of SPAN bytes or more. It runs i
    offsets, so only windows of equally named anchors need comparing. Names that occur once end here, without their texts
    ever moving. A name stands with its context, the bytes that all windows of its anchor cover; names with a single
    context are copies, and so are contexts that occur twice: all their windows repeat.
-2. Recurse where a name has many different contexts: each half of its windows is named by the longer string that those
-   share, and the same rules apply to the new names. A name as long as a window has one context only, so this ends, and
+2. Recurse where a name has many different contexts: each of PARTS parts of its windows is named by the longer string
+   that those share, and the same rules apply to the new names. A name as long as a window has one context only, so this ends, and
    no name is left with more than SPLIT contexts however often a passage occurs.
 3. The contexts that are left are the shards of the suffix sort. Starting from empty suffixes at the contexts' ends, the
    order of the suffixes one byte longer is induced from the order so far: tuples (group, context, common prefix) pass a
@@ -41,6 +41,8 @@ REACH = SPAN - GRAM
 WIDTH = REACH + SPAN
 #: Contexts of a name above which it is split by longer names.
 SPLIT = 512
+#: Ranges that its windows are split into; three rounds end with single windows.
+PARTS = 8
 #: Tuples of a block of the external sort; bytes its queue holds before it goes to disk.
 BLOCK, QUEUE_BYTES = 4096, 64 << 20
 #: Longest stretch of a document that is hashed at once (positions share a number with hashes).
@@ -316,17 +318,18 @@ def settled(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole(live.filter(~F.col("mixed"))).union(whole(copied)), left
 
 
-def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The recursion: contexts of a name that has too many, under two longer names each.
+def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The recursion: contexts of a name that has too many, under up to PARTS longer names each.
 
     A context's windows start `low` to `high` bytes before its anchor, and its name is the bytes that all of them cover.
-    Windows of half that range cover more bytes, and those are their name: contexts that differ there part.
+    Windows of a part of that range cover more bytes together, and those are their name: contexts that differ there part.
     """
     for batch in batches:
         out = []
         for row, at, first, last, low, high, data in batch[["row", "at", "first", "last", "low", "high", "bytes"]].itertuples(index=False, name=None):
-            middle = (low + high) // 2
-            for a, b in ((low, middle), (middle + 1, high)):
+            width = -(-(high - low + 1) // PARTS)
+            for a in range(low, high + 1, width):
+                b = min(high, a + width - 1)
                 near, far = max(a, at - last), min(b, at - first)
                 if near <= far:
                     own = data[at - far - first : at - near - first + SPAN]
@@ -375,7 +378,7 @@ def removed_spans(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     open_shards = stored(docs.join(by_row, F.col("row") == F.col("r")).select("row", "text", "wanted").mapInPandas(cut, f"{CONTEXT}, name long, contexts long, bytes binary"))
     shards = open_shards.filter(F.col("contexts") <= split).select(*columns)
     while not (crowded := open_shards.filter(F.col("contexts") > split)).isEmpty():
-        more, open_shards = settled(stored(crowded.mapInPandas(halves, f"{CONTEXT}, name long, context long, bytes binary")))
+        more, open_shards = settled(stored(crowded.mapInPandas(parts, f"{CONTEXT}, name long, context long, bytes binary")))
         open_shards = stored(open_shards)
         spans = spans.union(more)
         shards = shards.union(open_shards.filter(F.col("contexts") <= split).select(*columns))

@@ -1,6 +1,7 @@
 """All registered queries outside the corpus subpackage, and their DuckDB equivalents."""
 
-from sheetwise.plans import document_queries, relational_queries, text_queries
+from sheetwise.plans import document_queries, export_queries, layout_queries, relational_queries, text_queries
 
-QUERIES = text_queries.QUERIES | relational_queries.QUERIES | document_queries.QUERIES
-ORACLES = text_queries.ORACLES | relational_queries.ORACLES | document_queries.ORACLES
+MODULES = (text_queries, relational_queries, document_queries, layout_queries, export_queries)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

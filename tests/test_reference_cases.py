@@ -1,5 +1,7 @@
 """Behaviour of the functions and operators on small literal cases."""
 
+import itertools
+import random
 import zipfile
 from io import BytesIO
 
@@ -84,6 +86,40 @@ def test_word_diff():
         assert "".join(c["v"] for c in chunks if c["t"] in ("eq", "ins")).split() == new.split()
 
 
+def plain_common(a, b):
+    """Length of the longest common subsequence, by the plain table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_word_diff_against_plain_table():
+    """As many words are kept as can be, and both texts can be read off the chunks."""
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        chunks = nar.diff_words(" ".join(a), " ".join(b))
+        side = lambda *kinds: "".join(c["v"] for c in chunks if c["t"] in kinds).split()
+        assert side("eq", "ins") == b and len(side("eq")) == plain_common(a, b)
+        assert "".join(side("eq", "del")) == "".join(a)
+
+
+def test_alignment_against_all_choices():
+    """Between exact anchors no other choice of pairs in order has more likeness in all."""
+    rng = random.Random(2)
+    say = lambda: " ".join(rng.choice(["red", "green", "blue", "pink", "grey"]) + str(rng.randint(0, 1)) for _ in range(4))
+    for _ in range(60):
+        old, new = [say() for _ in range(rng.randint(0, 4))], [say() for _ in range(rng.randint(0, 4))]
+        if set(map(nar.masked_key, old)) & set(map(nar.masked_key, new)):
+            continue
+        like = nar.likeness(old, new)
+        got = [p for p in nar.align(old, new) if min(p) >= 0]
+        best = max(sum(like[i, j] for i, j in zip(x, y)) for n in range(min(len(old), len(new)) + 1) for x in itertools.combinations(range(len(old)), n) for y in itertools.combinations(range(len(new)), n) if all(like[i, j] >= nar.ALIGN for i, j in zip(x, y)))
+        assert sum(like[i, j] for i, j in got) == pytest.approx(best) and got == sorted(got)
+
+
 def test_alignment():
     assert nar.align(["same one", "gone away now", "the last row is here"], ["same one", "the last line is here", "brand new"]) == [(0, 0), (1, -1), (2, 1), (-1, 2)]
     merged = nar.merge_split([("It is set. More text follows", "It is set."), (None, "More text follows")])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.functions.text import BLANK, END, START, clean, ends_sentence, join_wrapped, product_tokens, split_sentences, strip_notes, title_key, unwrap
+from sheetwise.functions.text import END, START, clean, ends_sentence, join_wrapped, product_tokens, split_sentences, strip_notes, title_key, unwrap
 
 LEADER = r"\.{6,}|(?:\.\s){5,}"
 #: Contents lines that make a page a contents page; length from which paragraphs no longer join.
@@ -38,12 +38,17 @@ def footer_key(text: Column) -> Column:
     return F.regexp_replace(unwrap(clean(text)), r"\d+", "#")
 
 
-def without_footers(lines: DataFrame, doc: Sequence[str], y: str, height: str, text: str = "text") -> DataFrame:
-    """Lines of the body: inside the band, and low ones only if no footer seen in the document reads the same."""
+def without_footers(lines: DataFrame, doc: Sequence[str], y: str, height: str, text: str = "text", page: str | None = None) -> DataFrame:
+    """Lines of the body: inside the band, and low ones only if no footer seen in the document reads the same.
+
+    With `page`, footers are learned in page order: those of later pages say nothing about earlier ones.
+    """
     share = F.col(y) / F.col(height)
-    footers = lines.filter(share >= 0.92).select(*doc, footer_key(F.col(text)).alias("_f")).distinct()
+    since = F.min(F.col(page) if page else F.lit(0)).alias("_since")
+    footers = lines.filter(share >= 0.92).groupBy(*doc, footer_key(F.col(text)).alias("_f")).agg(since)
     body = lines.filter((share > 0.09) & (share < 0.92)).withColumn("_f", F.when(share > 0.8, footer_key(F.col(text))))
-    return body.join(footers, [*doc, "_f"], "left_anti").drop("_f")
+    known = body.join(footers, [*doc, "_f"], "left")
+    return known.filter(F.col("_since").isNull() | (F.col("_since") > (F.col(page) if page else F.lit(0)))).drop("_f", "_since")
 
 
 def printed_page(page: Column, footer: Column) -> Column:
@@ -142,7 +147,3 @@ def reflow(paragraphs: DataFrame, section: Sequence[str], order: str) -> DataFra
     whole = paragraphs.groupBy(*section).agg(F.aggregate(pieces, start, step).alias("_p")).select(*section, F.posexplode("_p").alias("paragraph", "p"))
     sentences = F.when(F.col("p.kind") == "text", split_sentences(F.col("p.text"))).otherwise(F.array("p.text"))
     return whole.select(*section, "paragraph", "p.kind", "p.page", "p.end_page", F.posexplode(sentences).alias("sentence", "text"))
-
-
-def blank(text: Column) -> Column:
-    return text.isNull() | text.rlike(f"^{BLANK}*$")

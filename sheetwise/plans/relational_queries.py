@@ -97,15 +97,15 @@ def q_command_compare(spark, sf_dir):
     return cmp.compare_commands(orders.filter("command_id % 5 <> 1"), orders.filter("command_id % 4 <> 1").withColumn("address", shifted)).rows.select("command_id", "status")
 
 
-LINES = "(SELECT l_partkey, l_returnflag, CASE WHEN l_returnflag = 'A' THEN 'Aligned' ELSE 'Any' END AS start, l_linestatus, (sum(l_quantity)::BIGINT) % 3 AS lim FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)"
+LINES = "(SELECT l_partkey, l_returnflag, CASE WHEN l_returnflag = 'A' THEN 'Aligned' ELSE 'Any' END AS start, l_linestatus, (sum(l_quantity)::BIGINT) % 3 AS lim FROM lineitem GROUP BY ALL)"
 
 
-@query(f"""WITH l AS (SELECT *, l_partkey * 10 + (l_returnflag = 'R')::INT * 2 + (l_linestatus = 'O')::INT AS ord FROM {LINES}), g AS (SELECT *, count(*) OVER w AS n, count(DISTINCT start) OVER w AS k, min(ord) OVER w AS f FROM l WINDOW w AS (PARTITION BY l_partkey, l_linestatus, lim))
+@query(f"""WITH l AS (SELECT *, l_partkey * 10 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 2 ELSE 4 END + (l_linestatus = 'O')::INT AS ord FROM {LINES}), g AS (SELECT *, count(*) OVER w AS n, count(DISTINCT start) OVER w AS k, min(ord) OVER w AS f FROM l WINDOW w AS (PARTITION BY l_partkey, l_linestatus, lim))
 SELECT l_partkey, l_linestatus, lim, CASE WHEN n = 2 AND k = 2 THEN 'Aligned/Any' ELSE start END AS start FROM g WHERE NOT (n = 2 AND k = 2) OR ord = f""")
 def q_fold_pairs(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'N'")
+    lines = table(spark, sf_dir, "lineitem")
     rows = lines.groupBy("l_partkey", "l_returnflag", "l_linestatus").agg((F.sum("l_quantity").cast("long") % 3).alias("lim"))
-    rows = rows.withColumn("start", F.when(F.col("l_returnflag") == "A", "Aligned").otherwise("Any")).withColumn("ord", F.col("l_partkey") * 10 + (F.col("l_returnflag") == "R").cast("int") * 2 + (F.col("l_linestatus") == "O").cast("int"))
+    rows = rows.withColumn("start", F.when(F.col("l_returnflag") == "A", "Aligned").otherwise("Any")).withColumn("ord", F.col("l_partkey") * 10 + F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 2).otherwise(4) + (F.col("l_linestatus") == "O").cast("int"))
     return cmp.fold_pairs(rows, ("l_partkey", "l_linestatus", "lim"), "start", "ord").select("l_partkey", "l_linestatus", "lim", "start")
 
 
@@ -258,16 +258,18 @@ def q_section_counts(spark, sf_dir):
     return rows.groupBy("o_custkey").agg(*counts, F.collect_set("s").alias("all")).withColumn("status", nar.section_status(F.lit(True), F.lit(True), F.col("all"), F.lit(False), F.lit(False))).drop("all")
 
 
-def neighbours(spark, sf_dir) -> DataFrame:
-    """Each document of a source with the next one by id, as an old and a new revision."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "text", F.lead("text").over(Window.partitionBy("source").orderBy("doc_id")).alias("next"))
+def revisions(spark, sf_dir) -> DataFrame:
+    """Each document with the one before that begins with the same words, as a new and an old revision: copies and edited copies."""
+    docs = table(spark, sf_dir, "documents").withColumn("begins", F.slice(F.split("text", " "), 1, 4))
+    return docs.select("doc_id", "text", F.lag("text").over(Window.partitionBy("begins").orderBy("doc_id")).alias("old")).filter("old is not null")
 
 
-@query()
+@query("""WITH r AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY list_slice(string_split(text, ' '), 1, 4) ORDER BY doc_id) AS old FROM documents), b AS (SELECT doc_id, regexp_replace(old, '\\s+', '', 'g') AS o, regexp_replace(text, '\\s+', '', 'g') AS n FROM r WHERE old IS NOT NULL)
+SELECT doc_id, md5(o) AS old_side, md5(n) AS new_side, regexp_replace(o, '([a-z])-([a-z])', '\\1\\2', 'g') <> regexp_replace(n, '([a-z])-([a-z])', '\\1\\2', 'g') AS differs FROM b""")
 def q_word_diff(spark, sf_dir):
-    d = neighbours(spark, sf_dir).withColumn("chunks", nar.diff_column(F.col("text"), F.concat(F.lit("New: "), F.col("text"))))
-    return d.select("doc_id", F.size("chunks").alias("n_chunks"), F.md5(F.encode(nar.side_text(F.col("chunks"), "new"), "UTF-8")).alias("new_side"))
+    d = revisions(spark, sf_dir).withColumn("chunks", nar.diff_column(F.col("old"), F.col("text")))
+    sides = [F.md5(F.encode(F.regexp_replace(nar.side_text(F.col("chunks"), s), r"\s+", ""), "UTF-8")).alias(f"{s}_side") for s in ("old", "new")]
+    return d.select("doc_id", *sides, F.exists("chunks", lambda c: c["t"] != "eq").alias("differs"))
 
 
 @query()

@@ -131,12 +131,17 @@ def q_dice_pairs(spark, sf_dir):
     return w.alias("a").join(w.alias("b"), F.col("b.item_id") == F.col("a.item_id") + 1).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(t.dice(F.col("a.s"), F.col("b.s")), 9).alias("similarity"))
 
 
-SQL_SENTENCES = f"""string_split(regexp_replace({sql_clean('text')}, '([.!?;。！？])\\s+([A-Z(“"''‘])', '\\1' || chr(30) || '\\2', 'g'), chr(30))"""
+#: Abbreviations are guarded, then texts are cut; replacements are made twice, as DuckDB's matches can't share a character.
+SQL_GUARD = "'(?i)((?:^|[^A-Za-z0-9_])(?:" + "|".join(a.replace(".", r"\.") for a in t.ABBREVIATIONS) + r"))\.(\s|(?-i:[A-Z]))', '\1' || chr(1) || '\2', 'g'"
+SQL_GLUED = r"""'([a-z''’"”)])([.!?;。！？])([A-Z][a-z\s])', '\1\2' || chr(30) || '\3', 'g'"""
+SQL_GUARDED = f"regexp_replace(regexp_replace({sql_clean('text')}, {SQL_GUARD}), {SQL_GUARD})"
+SQL_CUT = f"""regexp_replace({SQL_GUARDED}, '([.!?;。！？])\\s+([A-Z(“"''‘])', '\\1' || chr(30) || '\\2', 'g')"""
+SQL_SENTENCES = f"list_transform(string_split(replace(regexp_replace(regexp_replace({SQL_CUT}, {SQL_GLUED}), {SQL_GLUED}), chr(1), '.'), chr(30)), lambda s: trim(s))"
 
 
-@query(f"SELECT doc_id, ord - 1 AS ord, sentence FROM (SELECT doc_id, unnest(list_filter({SQL_SENTENCES}, lambda s: s <> '')) AS sentence, generate_subscripts(list_filter({SQL_SENTENCES}, lambda s: s <> ''), 1)::BIGINT AS ord FROM documents WHERE lang = 'de')")
+@query(f"SELECT doc_id, ord - 1 AS ord, sentence FROM (SELECT doc_id, unnest(list_filter({SQL_SENTENCES}, lambda s: s <> '')) AS sentence, generate_subscripts(list_filter({SQL_SENTENCES}, lambda s: s <> ''), 1)::BIGINT AS ord FROM documents)")
 def q_sentences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'de'")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(t.split_sentences(F.col("text"))).alias("ord", "sentence")).select("doc_id", F.col("ord").cast("long").alias("ord"), "sentence")
 
 

@@ -5,11 +5,13 @@ import random
 import zipfile
 from io import BytesIO
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sheetwise.functions import text as t
 from sheetwise.operators import compare as cmp
+from sheetwise.operators import documents as doc
 from sheetwise.operators import geometry, narrative as nar
 from sheetwise.sources import workbook
 
@@ -139,3 +141,21 @@ def test_workbook(spark):
     with zipfile.ZipFile(BytesIO(workbook.workbook({"One": df, "說明": df.limit(1)}))) as z:
         sheet = z.read("xl/worksheets/sheet1.xml").decode()
         assert "<f>" not in sheet and '<t xml:space="preserve">=1+1</t>' in sheet and "&lt;&amp;&gt;" in sheet and "<v>2.0</v>" in sheet and len(z.namelist()) == 6
+
+
+def test_curves_and_thin_fills():
+    draw = lambda *ops: geometry.rulings(pd.DataFrame(ops, columns=["op", "args"]), (1, 0, 0, 1, 0, 0))
+    assert draw(("stroke", [0, 0, 0, 2, 10, 5, 40, 5, 50, 0])) == []  # a curve between two level points is no line
+    assert draw(("stroke", [0, 0, 0, 2, 10, 5, 40, 5, 50, 0, 1, 90, 0])) == [("h", 0.0, 50.0, 90.0)]
+    assert draw(("fill", [0, 0, 0, 1, 20, 0, 1, 40, 0, 1, 40, 1, 1, 20, 1, 1, 0, 1, 4])) == [("h", 0.5, 0.0, 40.0)]
+    assert draw(("fill", [0, 0, 0, 1, 40, 0, 1, 40, 9, 1, 0, 9, 4])) == []
+
+
+def test_glued_abbreviations(spark):
+    assert value(spark, t.split_sentences(F.lit("see Fig.Ab for it.Then go"))) == ["see Fig.Ab for it.", "Then go"]
+
+
+def test_footers_in_page_order(spark):
+    lines = spark.createDataFrame([(1, 1, 85.0, "Page 1"), (1, 2, 95.0, "Page 2"), (1, 3, 85.0, "Page 3")], "doc int, page int, y double, text string").withColumn("height", F.lit(100.0))
+    ordered, all_pages = (sorted(r["page"] for r in doc.without_footers(lines, ["doc"], "y", "height", page=p).collect()) for p in ("page", None))
+    assert ordered == [1] and all_pages == []

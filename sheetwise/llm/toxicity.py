@@ -47,8 +47,8 @@ BENT = 5
 MADE = 0.1
 #: Sentences that a text's score rests on.
 TOP = 3
-#: Words that a task remembers the features of.
-MEMORY = 500_000
+#: Words that a task remembers the features of, at most twice as many; strings that are compared at once.
+MEMORY, TOGETHER = 60_000, 4096
 
 SENTENCE = re.compile(r"(?<=[.!?;:|])\s+|\n+")
 SINGLES = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
@@ -194,18 +194,20 @@ class Model:
     def __post_init__(self) -> None:
         self.table = Marks(self.marks)
         self.memory: dict[bytes, np.ndarray | None] = {}
+        self.older: dict[bytes, np.ndarray | None] = {}
 
     def features(self, found: set[bytes]) -> dict[bytes, np.ndarray | None]:
         """Kernel of each token with each landmark, by the likest of its strings; None where all are 0."""
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        known = self.memory
+        if len(self.memory) > MEMORY:  # words that come again move on, the others are forgotten
+            self.older, self.memory = self.memory, {}
+        known, older = self.memory, self.older
+        known.update((t, older[t]) for t in found if t in older and t not in known)
         new = [t for t in found if t not in known]
         known.update(dict.fromkeys(new))
         pairs = [(t, x) for t in new for w in words_of(t) for x in strings_of(w)]
-        for k in range(0, len(pairs), 20_000):
-            part = pairs[k : k + 20_000]
-            like = self.table.similar([x for _, x in part])
+        for k in range(0, len(pairs), TOGETHER):
+            part = pairs[k : k + TOGETHER]
+            like = self.table.similar([x for _, x in part]).astype(np.float32)
             for at in np.flatnonzero(like.any(axis=1)).tolist():  # most words are unlike all landmarks
                 t = part[at][0]
                 known[t] = like[at] if known[t] is None else np.maximum(known[t], like[at])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheetwise.operators import consolidate, specs
+from sheetwise.operators import consolidate, specs, tables
 from sheetwise.plans.text_queries import table
 
 QUERIES, ORACLES = {}, {}
@@ -145,3 +145,27 @@ def q_frequency_scope(spark, sf_dir):
     found = lines.select("doc", "id", "max", F.lit("P").alias("product"), code(F.col("code")).alias("opcode"), width_of(F.col("a")).alias("address"), F.lit("1-1-1").alias("io"), F.lit("Read IO with 4-Byte Address").alias("parameter"), F.lit("").alias("setting")).withColumns(same | {"dummy": F.lit("8"), "mode": F.lit("1-1-1")})
     out, _ = consolidate.frequency_outcomes(spec, found, ["doc"])
     return out.select("id", "outcome", "spec_id", "reason")
+
+
+@query("""WITH k AS (SELECT s_suppkey, 10 + s_suppkey % 5 AS a FROM supplier),
+r AS (SELECT s_suppkey, a, unnest([1, 2, 3, 4, 5, 6]) AS n FROM k), m AS (SELECT s_suppkey, a, n, unnest(CASE n WHEN 1 THEN [a] WHEN 2 THEN range(a, a + 3) WHEN 3 THEN [a, a + 2] WHEN 4 THEN range(a, a + 4) WHEN 6 THEN [a + 1] END) AS model FROM r WHERE n <> 5)
+SELECT s_suppkey, 'AB25Q' || model || 'RW' AS product, 'fC' || n AS symbol, 'Clock ' || n AS parameter, CASE n WHEN 6 THEN 'fast' ELSE 'VCC' END AS condition, CASE n WHEN 2 THEN n::VARCHAR ELSE '' END AS min, CASE n WHEN 2 THEN (a + n)::VARCHAR ELSE (a * n)::VARCHAR END AS max, NULL AS reason FROM m
+UNION ALL SELECT s_suppkey, NULL, NULL, NULL, NULL, NULL, NULL, 'the product isn''t in the catalogue' FROM k""")
+def q_specification_table(spark, sf_dir):
+    a = 10 + F.col("s_suppkey") % 5
+    model = lambda shift: F.concat(F.lit("AB25Q"), (a + shift).cast("string"), F.lit("RW"))
+    text = lambda c: F.lit(c) if isinstance(c, str) else c
+    scopes = (model(0), F.concat(model(0), F.lit("–"), model(2)), F.concat(F.lit("AB25Q"), a.cast("string"), F.lit("/"), (a + 2).cast("string"), F.lit("RW")), "All", F.concat(model(0), F.lit("-99ZZ")), "")
+    head = ("Parameter", "Symbol", "Product", "Test Condition", "Min.", "Max", "Unit")
+    body = [(f"Clock {n}", f"fC {n}", scope, F.concat(model(1), F.lit(", fast")) if n == 6 else "VCC", F.concat(F.lit(f"{n} to "), (a + n).cast("string")) if n == 2 else "", "" if n == 2 else (a * n).cast("string"), "MHz") for n, scope in enumerate(scopes, 1)]
+    made = [F.struct(*[F.lit(float(v)).alias(k) for k, v in (("x0", 100 * x), ("y0", 25 * y), ("x1", 100 * x + 100), ("y1", 25 * y + 25))], text(c).alias("text")) for y, row in enumerate([head, *body]) for x, c in enumerate(row)]
+    cells = table(spark, sf_dir, "supplier").select("s_suppkey", F.array(*[model(k) for k in range(4)]).alias("products"), F.explode(F.array(*made)).alias("c")).select("s_suppkey", "products", "c.*")
+    return tables.normalize_tables(cells, ["s_suppkey"]).select("s_suppkey", "product", "symbol", "parameter", "condition", "min", "max", "reason")
+
+
+@query("""SELECT o_orderstatus, n.d::INT AS dummy, ['Aligned', 'Any'][s.k] AS start, max(o_orderkey)::DOUBLE AS max FROM orders, (SELECT unnest([0, 1, 2]) AS d) n, (SELECT unnest([1, 2]) AS k) s WHERE o_orderkey % 3 = n.d AND o_custkey % 2 = s.k - 1 AND NOT (n.d = 1 AND s.k = 2) GROUP BY ALL""")
+def q_alignment_matrix(spark, sf_dir):
+    body = table(spark, sf_dir, "orders").groupBy("o_orderstatus", (F.col("o_orderkey") % 3 + 1).cast("int").alias("row"), (F.col("o_custkey") % 2 + 1).cast("int").alias("col")).agg(F.max("o_orderkey").cast("string").alias("text"))
+    body = body.withColumn("text", F.when((F.col("row") == 2) & (F.col("col") == 2), " x ").otherwise(F.col("text")))
+    marks = body.select("o_orderstatus").distinct().select("o_orderstatus", F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(v).alias("text")) for r, c, v in ((0, 1, "Aligned"), (0, 2, "Any"), (1, 0, "0"), (2, 0, "1"), (3, 0, "2"))])).alias("m")).select("o_orderstatus", "m.*")
+    return tables.unpivot_frequencies(body.unionByName(marks), ["o_orderstatus"])

@@ -1,8 +1,9 @@
 """Version comparison: every row of a new and an old revision gets a status, its changes and both pages.
 
 Statuses follow a fixed order of tests: a recorded conflict on either side, then a key that isn't unique, are for
-review; then missing rows are added or removed; then fields decide between changed and unchanged. Rows are matched by
-one hash aggregation of each side and joins on the key; no pair of rows with the same repeated key is ever formed.
+review; then missing rows are added or removed; then fields decide between changed and unchanged. Both revisions are
+scanned and dealt by their key once, and windows over a key count and find what it has on the other side; no pair of
+rows with the same repeated key is ever formed.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.functions.text import identity_text, shown
+from sheetwise.functions.text import identity_text, numeric_value, shown, with_starting, without_starting
 
 STATUS_LABELS = {"changed": "變更", "added": "新增", "removed": "移除", "review": "待確認", "unchanged": "未變更", "uncompared": "未比對"}
 
@@ -40,27 +41,43 @@ def compare(new: DataFrame, old: DataFrame, keys: Sequence[str], fields: Mapping
     named = dict(fields) if isinstance(fields, Mapping) else {f: f for f in fields}
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     bare = same or (lambda c: c)
-    new = new.withColumn("_key", identity(keys, normalise))
-    old = old.withColumn("_key", identity(keys, normalise))
+    both = new.withColumn("_old", F.lit(False)).unionByName(old.withColumn("_old", F.lit(True)), allowMissingColumns=True).withColumn("_key", identity(keys, normalise))
+    own = F.when(F.col(conflict) != "", F.col(conflict)) if conflict else F.lit(None).cast("string")
     old_page = F.col(page).cast("string") if page else F.lit(None).cast("string")
     first = F.struct(F.col(order), *[text(c).alias(f"f{i}") for i, c in enumerate(named.values())], old_page.alias("page"))
-    conflicts = F.min(F.when(F.col(conflict) != "", F.struct(F.col(order), F.col(conflict).alias("why")))) if conflict else F.lit(None)
-    olds = old.groupBy("_key").agg(F.count("*").alias("_n_old"), F.min(first).alias("_first"), conflicts.alias("_old_conflict") if conflict else F.max(F.lit(None).cast("string")).alias("_old_conflict"))
-    news = new.groupBy("_key").agg(F.count("*").alias("_n_new"))
-    joined = new.join(news, "_key").join(olds, "_key", "left")
+    w = Window.partitionBy("_key")
+    both = both.withColumns({
+        "_n_new": F.count_if(~F.col("_old")).over(w), "_n_old": F.count_if(F.col("_old")).over(w), "_first": F.min(F.when(F.col("_old"), first)).over(w),
+        "_odd": F.min(F.when(F.col("_old") & own.isNotNull(), F.struct(F.col(order), own.alias("why")))).over(w), "_plain": F.max((~F.col("_old") & own.isNull()).cast("int")).over(w)})
+    several = (F.col("_n_new") > 1) | (F.col("_n_old") > 1)
     changed = F.filter(F.array(*[F.struct(F.lit(label).alias("field"), F.col(f"_first.f{i}").alias("old"), text(c).alias("new")) for i, (label, c) in enumerate(named.items())]), lambda x: bare(x["old"]) != bare(x["new"]))
-    own = F.when(F.col(conflict) != "", F.col(conflict)) if conflict else F.lit(None).cast("string")
-    inherited = F.coalesce(own, F.col("_old_conflict.why")) if conflict else own
-    status = (F.when(inherited.isNotNull(), "review").when((F.col("_n_new") > 1) | (F.col("_n_old") > 1), "review")
-              .when(F.col("_n_old").isNull(), "added").when(F.size(changed) > 0, "changed").otherwise("unchanged"))
-    judged = joined.withColumn("status", status)
+    inherited = F.coalesce(own, F.col("_odd.why"))
+    status = (F.when(F.col("_old"), "removed").when(inherited.isNotNull() | several, "review")
+              .when(F.col("_n_old") == 0, "added").when(F.size(changed) > 0, "changed").otherwise("unchanged"))
+    judged = both.filter(~F.col("_old") | (F.col("_n_new") == 0)).withColumn("status", status)
     decided = F.col("status").isin("changed", "unchanged")
-    judged = (judged.withColumn("changes", F.when(F.col("status") == "changed", changed).otherwise(F.array().cast(judged.select(changed).schema[0].dataType)))
-              .withColumn("old_page", F.when(decided, F.col("_first.page"))).withColumn("conflict", inherited))
-    kept = judged.drop("_n_new", "_n_old", "_first", "_old_conflict")
-    gone = old.join(news, "_key", "left_anti").withColumns({"status": F.lit("removed"), "changes": F.array().cast(kept.schema["changes"].dataType), "old_page": F.lit(None).cast("string"), "conflict": F.lit(None).cast("string")})
-    doubtful = kept.filter((F.col("status") == "review") & F.col("conflict").isNull()).select("_key").distinct()
-    return Comparison(kept.unionByName(gone, allowMissingColumns=True), old.join(doubtful, "_key", "left_semi"))
+    judged = judged.withColumns({
+        "changes": F.when(F.col("status") == "changed", changed).otherwise(F.array().cast(judged.select(changed).schema[0].dataType)),
+        "old_page": F.when(decided, F.col("_first.page")), "conflict": F.when(F.col("status") != "removed", inherited)})
+    doubtful = several & (F.col("_n_new") > 0) & F.col("_odd").isNull() & (F.col("_plain") == 1)
+    scratch = ("_old", "_n_new", "_n_old", "_first", "_odd", "_plain")
+    return Comparison(judged.drop(*scratch), both.filter(F.col("_old") & doubtful).select(*old.columns, "_key"))
+
+
+def compare_specs(new: DataFrame, old: DataFrame, keys: Sequence[str], fields: Mapping[str, str] | Sequence[str], order: str, page: str | None = None) -> Comparison:
+    """Compare specification rows whose limits may hold for aligned and any starting addresses alike (`start`, stated in `condition` too).
+
+    Such rows are compared as two, and two that end alike become one again: same identity but for the start, limits,
+    unit, status, changes and old page, in MHz, and not under review. The pair stands in the place of its first row.
+    """
+    spread = lambda df: expand_pairs(df, "start").withColumn("condition", F.when(F.col("start").isin("Aligned", "Any"), with_starting(F.col("condition"), F.col("start"))).otherwise(F.col("condition")))
+    found = compare(spread(new), spread(old), keys, fields, order, page=page)
+    rows = found.rows.withColumns({"_bare": without_starting(F.col("condition")), "_order": F.struct(F.col(order), F.col("start"))})
+    foldable = F.col("start").isin("Aligned", "Any") & (F.col("unit") == "MHz") & numeric_value(F.col("max").cast("string")).isNotNull() & (F.col("status") != "review")
+    same = [c for c in rows.columns if c not in ("_key", "_order", "condition", "start", order)]
+    folded = fold_pairs(rows.filter(F.coalesce(foldable, F.lit(False))), same, "start", "_order")
+    folded = folded.withColumn("condition", F.when(F.col("start") == "Aligned/Any", with_starting(F.col("condition"), F.lit("Aligned/Any"))).otherwise(F.col("condition")))
+    return Comparison(folded.unionByName(rows.filter(~F.coalesce(foldable, F.lit(False)))).drop("_bare", "_order"), found.candidates)
 
 
 def compare_commands(new: DataFrame, old: DataFrame, order: str = "command_id") -> Comparison:

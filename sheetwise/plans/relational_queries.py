@@ -258,7 +258,7 @@ def q_section_counts(spark, sf_dir):
     return rows.groupBy("o_custkey").agg(*counts, F.collect_set("s").alias("all")).withColumn("status", nar.section_status(F.lit(True), F.lit(True), F.col("all"), F.lit(False), F.lit(False))).drop("all")
 
 
-def revisions(spark, sf_dir) -> DataFrame:
+def near_copies(spark, sf_dir) -> DataFrame:
     """Each document with the one before that begins with the same words, as a new and an old revision: copies and edited copies."""
     docs = table(spark, sf_dir, "documents").withColumn("begins", F.slice(F.split("text", " "), 1, 4))
     return docs.select("doc_id", "text", F.lag("text").over(Window.partitionBy("begins").orderBy("doc_id")).alias("old")).filter("old is not null")
@@ -267,7 +267,7 @@ def revisions(spark, sf_dir) -> DataFrame:
 @query("""WITH r AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY list_slice(string_split(text, ' '), 1, 4) ORDER BY doc_id) AS old FROM documents), b AS (SELECT doc_id, regexp_replace(old, '\\s+', '', 'g') AS o, regexp_replace(text, '\\s+', '', 'g') AS n FROM r WHERE old IS NOT NULL)
 SELECT doc_id, md5(o) AS old_side, md5(n) AS new_side, regexp_replace(o, '([a-z])-([a-z])', '\\1\\2', 'g') <> regexp_replace(n, '([a-z])-([a-z])', '\\1\\2', 'g') AS differs FROM b""")
 def q_word_diff(spark, sf_dir):
-    d = revisions(spark, sf_dir).withColumn("chunks", nar.diff_column(F.col("old"), F.col("text")))
+    d = near_copies(spark, sf_dir).withColumn("chunks", nar.diff_column(F.col("old"), F.col("text")))
     sides = [F.md5(F.encode(F.regexp_replace(nar.side_text(F.col("chunks"), s), r"\s+", ""), "UTF-8")).alias(f"{s}_side") for s in ("old", "new")]
     return d.select("doc_id", *sides, F.exists("chunks", lambda c: c["t"] != "eq").alias("differs"))
 

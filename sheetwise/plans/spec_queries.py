@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheetwise.operators import consolidate, specs, tables
+from sheetwise.operators import compare, consolidate, specs, tables
 from sheetwise.plans.text_queries import table
 
 QUERIES, ORACLES = {}, {}
@@ -169,3 +169,20 @@ def q_alignment_matrix(spark, sf_dir):
     body = body.withColumn("text", F.when((F.col("row") == 2) & (F.col("col") == 2), " x ").otherwise(F.col("text")))
     marks = body.select("o_orderstatus").distinct().select("o_orderstatus", F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(v).alias("text")) for r, c, v in ((0, 1, "Aligned"), (0, 2, "Any"), (1, 0, "0"), (2, 0, "1"), (3, 0, "2"))])).alias("m")).select("o_orderstatus", "m.*")
     return tables.unpivot_frequencies(body.unionByName(marks), ["o_orderstatus"])
+
+
+@query("""WITH n AS (SELECT p_partkey, p_size, p_partkey % 4 AS k FROM part),
+r AS (SELECT p_partkey, k, unnest(CASE WHEN k < 2 THEN ['Aligned', 'Any'] ELSE ['Aligned'] END) AS start, p_size AS new, p_size AS old FROM n),
+d AS (SELECT p_partkey, k, start, new, CASE WHEN k = 1 AND start = 'Any' THEN old + 1 ELSE old END AS old FROM r),
+e AS (SELECT *, CASE WHEN p_partkey % 10 = 0 THEN 'added' WHEN new = old THEN 'unchanged' ELSE 'changed' END AS status FROM d)
+SELECT p_partkey, CASE WHEN count(*) = 2 THEN 'Aligned/Any' ELSE min(start) END AS start, 'VCC; Starting Address: ' || CASE WHEN count(*) = 2 THEN 'Aligned/Any' ELSE min(start) END AS condition, status, coalesce(max(CASE WHEN status = 'changed' THEN 'max：' || old || ' → ' || new END), '') AS told FROM e GROUP BY p_partkey, status""")
+def q_spec_compare(spark, sf_dir):
+    n = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", (n % 4).alias("k"), "p_size")
+    both = parts.withColumn("start", F.when(F.col("k") < 2, "Aligned/Any").otherwise("Aligned"))
+    row = lambda df: df.select("p_partkey", F.col("p_partkey").alias("ord"), "start", F.concat(F.lit("VCC; Starting Address: "), "start").alias("condition"), F.lit("MHz").alias("unit"), F.col("p_size").alias("max"))
+    split = parts.filter("k = 1").select("p_partkey", "k", F.explode(F.array(F.struct(F.lit("Aligned").alias("start"), F.lit(0).alias("add")), F.struct(F.lit("Any").alias("start"), F.lit(1).alias("add")))).alias("s"), "p_size")
+    split = split.select("p_partkey", "k", (F.col("p_size") + F.col("s.add")).alias("p_size"), "s.start")
+    old = both.filter("k <> 1").unionByName(split, allowMissingColumns=True).filter(n % 10 != 0)
+    got = compare.compare_specs(row(both), row(old), ("p_partkey", "condition"), ("max", "unit"), "ord").rows
+    return got.select("p_partkey", "start", "condition", "status", compare.change_text(F.col("changes")).alias("told"))

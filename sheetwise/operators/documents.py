@@ -147,3 +147,48 @@ def reflow(paragraphs: DataFrame, section: Sequence[str], order: str) -> DataFra
     whole = paragraphs.groupBy(*section).agg(F.aggregate(pieces, start, step).alias("_p")).select(*section, F.posexplode("_p").alias("paragraph", "p"))
     sentences = F.when(F.col("p.kind") == "text", split_sentences(F.col("p.text"))).otherwise(F.array("p.text"))
     return whole.select(*section, "paragraph", "p.kind", "p.page", "p.end_page", F.posexplode(sentences).alias("sentence", "text"))
+
+
+#: Titles that open, name and close the chapter of electrical characteristics (fixed patterns).
+ELECTRICAL = r"(?i)^(?:(?:DC|AC|D\.C\.|A\.C\.)\s+)?Electrical Characteristics(?![A-Za-z0-9_])"
+SPECIFIED = r"(?i)^(?:(?:DC|AC|D\.C\.|A\.C\.)\s+(?:Electrical Characteristics|Measurement Conditions)|IO Capacitance|Absolute Maximum Ratings|Operating Ranges|Recommended Operating|Power[- ]up|Program.*(?:Erase|Timing)|Erase.*Timing|Serial.*Frequency)"
+CLOSING = r"(?i)^(?:PACKAGE|PACKAGING|ORDERING|REVISION HISTORY|REVISION TABLE|IMPORTANT NOTICE)(?![A-Za-z0-9_])"
+#: Points from the top in which titles stand; the label before any.
+TITLE_BAND, FIRST_LABEL = 180.0, "Electrical Characteristics"
+
+
+def chapters(lines: DataFrame, doc: Sequence[str], page: str = "page") -> DataFrame:
+    """(doc, page, label, in_chapter) of every page: what the title lines (y, text) up to its end say.
+
+    Electrical titles open the chapter, closing titles and other chapters end it; after a closing title the rest of its
+    page's titles isn't read. A continued electrical title leaves an electrical label as it is.
+    """
+    titles = lines.filter((F.col("y") < TITLE_BAND) & ~F.col("text").rlike(r"\.{3}|…")).withColumn("_t", F.regexp_replace("text", r"^\d+(?:\.\d+)*(?:\.\s*|\s+)", ""))
+    closing, electrical = F.col("_t").rlike(CLOSING), F.col("_t").rlike(ELECTRICAL)
+    own_page = Window.partitionBy(*doc, page).orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
+    titles = titles.withColumn("_over", F.coalesce(F.max(closing.cast("int")).over(own_page), F.lit(0))).filter("_over = 0")
+    other = F.col("text").rlike(r"^\d+\s+[A-Z][A-Z /-]+$")
+    names = closing | electrical | F.col("_t").rlike(SPECIFIED) | other | F.col("text").rlike(r"^[1-9]\d*\.\d+\.?\s+[A-Z/]")
+    again = ~closing & electrical & F.col("_t").rlike(r"(?i)cont[’']?d|continued")
+    w = Window.partitionBy(*doc).orderBy(page, "y")
+    before = F.coalesce(F.last(F.when(names, again | electrical), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    told = titles.withColumns({"_label": F.when(names & ~(again & before), F.col("_t")), "_in": F.when(closing, False).when(electrical, True).when(~F.col("_t").rlike(SPECIFIED) & other, False)})
+    ends = told.groupBy(*doc, page).agg(F.max(F.when(F.col("_label").isNotNull(), F.struct("y", "_label"))).alias("_l"), F.max(F.when(F.col("_in").isNotNull(), F.struct("y", "_in"))).alias("_i"))
+    all_pages = lines.select(*doc, page).distinct().join(ends, [*doc, page], "left")
+    run = Window.partitionBy(*doc).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
+    return all_pages.select(*doc, page, F.coalesce(F.last(F.col("_l._label"), ignorenulls=True).over(run), F.lit(FIRST_LABEL)).alias("label"), F.coalesce(F.last(F.col("_i._in"), ignorenulls=True).over(run), F.lit(False)).alias("in_chapter"))
+
+
+def scoped_notes(rows: DataFrame, pages: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """Rows (label, page, condition) with the notes that hold for them: of their page, else of the first later one of their label.
+
+    Notes end where the next numbered section or the page's imprint begins. A factory-mode row takes the voltage range
+    that its notes state for that mode.
+    """
+    noted = pages.filter(F.contains("text", F.lit("Notes:"))).select(*doc, "label", F.col("page").alias("_at"), F.regexp_extract("text", r"(?s)^.*?Notes:(.*)$", 1).alias("_notes"))
+    found = notes_for(rows, noted, [*doc, "label"], "page", "_at")
+    cut = lambda c, p: F.get(F.split(c, p), F.lit(0))
+    notes = cut(cut(F.coalesce("_notes", F.lit("")), r"\n\s*[1-9]\d*\.\d+\s+"), "Publication Release Date:")
+    range_of = F.regexp_extract(notes, r"(?is)Factory mode.*?VCC range from ([0-9.]+V\s+to\s+[0-9.]+V)", 1)
+    condition = F.when(F.contains("condition", F.lit("Factory Mode")) & (range_of != ""), F.concat("condition", F.lit("; VCC = "), clean(range_of))).otherwise(F.col("condition"))
+    return found.withColumns({"notes": notes, "condition": condition}).drop("_notes", "note_page")

@@ -199,3 +199,34 @@ def q_segments(spark, sf_dir):
     n = F.col("event_id")
     items = table(spark, sf_dir, "events").select("user_id", (n % 41 * 11).cast("double").alias("x"), (F.floor(n / 41) % 12 * 10).cast("double").alias("y"), F.when(n % 3 == 0, 11.0).otherwise(9.0).alias("width"), F.lit(10.0).alias("height"), F.col("event_type").alias("text"))
     return layout.segments(items, ["user_id"]).select("user_id", "y", "x0", "x1", "text")
+
+
+#: Pages of a user's document are its events; what a page's title says follows from its number.
+@query("""WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page, event_type FROM events),
+e AS (SELECT *, CASE page % 8 WHEN 2 THEN 'DC Electrical Characteristics ' || event_type WHEN 3 THEN 'Operating Ranges' WHEN 5 THEN 'PACKAGE ' || event_type WHEN 6 THEN 'Mode ' || event_type WHEN 7 THEN 'OTHER CHAPTER' END AS label,
+  CASE page % 8 WHEN 2 THEN true WHEN 4 THEN true WHEN 5 THEN false WHEN 7 THEN false END AS inside,
+  CASE WHEN page % 8 = 4 THEN 'Electrical Characteristics (continued)' END AS again FROM p)
+SELECT user_id, page, coalesce(last_value(CASE WHEN again IS NOT NULL THEN again ELSE label END IGNORE NULLS) OVER w, 'Electrical Characteristics') AS label, coalesce(last_value(inside IGNORE NULLS) OVER w, false) AS in_chapter FROM e WINDOW w AS (PARTITION BY user_id ORDER BY page ROWS UNBOUNDED PRECEDING)""")
+def q_chapters(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = F.col("page") % 8
+    pages = table(spark, sf_dir, "events").select("user_id", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("page"))
+    first = (F.when(k == 2, F.concat(F.lit("8.1 DC Electrical Characteristics "), "event_type")).when(k == 3, "8.2 Operating Ranges").when(k == 4, "Electrical Characteristics (continued)").when(k == 5, F.concat(F.lit("9. PACKAGE "), "event_type"))
+             .when(k == 6, F.concat(F.lit("9.1 Mode "), "event_type")).when(k == 7, "10 OTHER CHAPTER").otherwise("a running line"))
+    second = F.when(k == 5, "8.1 AC Electrical Characteristics").when(k == 1, "Electrical Characteristics ..... 7").otherwise("text")
+    line = lambda y, text: F.struct(F.lit(y).alias("y"), text.alias("text"))
+    lines = pages.select("user_id", "page", F.explode(F.array(line(50.0, first), line(90.0, second), line(300.0, F.lit("PACKAGE below")))).alias("l")).select("user_id", "page", "l.*")
+    return doc.chapters(lines, ["user_id"])
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey AS label, o_orderkey % 20 AS page, o_orderkey % 2 = 0 AS factory FROM orders), n AS (SELECT DISTINCT user_id AS label, event_id % 20 AS page FROM events WHERE event_type = 'view')
+SELECT o_orderkey, coalesce(' page ' || m || '. Factory mode: VCC range from 1.' || m || 'V  to 3V', '') AS notes, CASE WHEN factory THEN 'Factory Mode' || coalesce('; VCC = 1.' || m || 'V to 3V', '') ELSE 'x' END AS condition
+FROM (SELECT *, (SELECT min(n.page) FROM n WHERE n.label = o.label AND n.page >= o.page) AS m FROM o)""")
+def q_scoped_notes(spark, sf_dir):
+    n = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.lit(1).alias("doc"), "o_orderkey", F.col("o_custkey").alias("label"), (n % 20).alias("page"), F.when(n % 2 == 0, "Factory Mode").otherwise("x").alias("condition"))
+    at = F.col("page").cast("string")
+    noted = table(spark, sf_dir, "events").filter("event_type = 'view'").select(F.lit(1).alias("doc"), F.col("user_id").alias("label"), (F.col("event_id") % 20).alias("page")).distinct()
+    text = F.concat(F.lit("top\nNotes: page "), at, F.lit(". Factory mode: VCC range from 1."), at, F.lit("V  to 3V\n 9.2 Next\nNotes: no"))
+    return doc.scoped_notes(rows, noted.withColumn("text", text), ["doc"]).select("o_orderkey", "notes", "condition")

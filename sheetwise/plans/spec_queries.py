@@ -186,3 +186,42 @@ def q_spec_compare(spark, sf_dir):
     old = both.filter("k <> 1").unionByName(split, allowMissingColumns=True).filter(n % 10 != 0)
     got = compare.compare_specs(row(both), row(old), ("p_partkey", "condition"), ("max", "unit"), "ord").rows
     return got.select("p_partkey", "start", "condition", "status", compare.change_text(F.col("changes")).alias("told"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_custkey % 3 AS k FROM customer), r AS (SELECT c_custkey, k, unnest([0, 1, 2]) AS r FROM c)
+SELECT c_custkey, (20 + 10 * r)::DOUBLE AS top, CASE WHEN k = 2 THEN ['EBh', '0Bh'] ELSE ['0Ch'] END AS codes, CASE k WHEN 1 THEN 'SPI_DTR' ELSE 'QPI' END AS mode, CASE WHEN r < 2 THEN 'P5-P4 = ' || r || '1' END AS setting, CASE WHEN r < 2 THEN (4 + 2 * r)::INT END AS dummy,
+  CASE WHEN r < 2 THEN c_custkey + 0.5 END::DOUBLE AS max, CASE WHEN r < 2 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Aligned' ELSE '' END END AS start, CASE WHEN r = 2 THEN '無法可靠對應設定表的指令、模式或數值。' END AS reason FROM r""")
+def q_read_settings(spark, sf_dir):
+    n, k = F.col("c_custkey"), F.col("c_custkey") % 3
+    cell = lambda x0, y0, x1, y1, text: F.struct(*[F.lit(float(v)).alias(c) for c, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))], (text if not isinstance(text, str) else F.lit(text)).alias("text"))
+    head = F.when(k == 1, "P5–P4 of SPI DTR (0Ch)").when(k == 2, "P5-P4 in QPI").otherwise("P5 P4 QPI 0Ch")
+    made = [cell(0, 0, 100, 20, head), cell(100, 0, 180, 20, "DUMMY CLOCKS"), cell(180, 0, 300, 20, "Maximum Read Freq.")]
+    for r, (setting, dummy) in enumerate((("0 1", "4 (2)"), ("11", "6 (default)"), ("111", "8"))):
+        made += [cell(0, 20 + 10 * r, 100, 30 + 10 * r, setting), cell(100, 20 + 10 * r, 180, 30 + 10 * r, dummy), cell(180, 20 + 10 * r, 300, 30 + 10 * r, F.concat(n.cast("string"), F.lit(".5 MHz*")))]
+    customers = table(spark, sf_dir, "customer")
+    cells = customers.select("c_custkey", F.lit(1).alias("t"), F.explode(F.array(*made)).alias("c")).select("c_custkey", "t", "c.*")
+    lines = customers.select("c_custkey", F.lit(70.0).alias("y"), F.when(n % 2 == 0, "Note: * with 4-Byte alignment").otherwise("Note: none").alias("text"))
+    pages = customers.select("c_custkey", F.lit("x\n- QPI mode: only EBh\n QPI mode: Fast Read EBh, 0Bh").alias("text"))
+    return specs.read_settings(cells, lines, pages, ["c_custkey"], ["t"]).drop("t", "note", "raw")
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_orderkey % 3 AS k, unnest(['P1', 'P2']) AS product FROM orders WHERE o_orderkey % 7 <> 0), l AS (SELECT *, unnest(CASE k WHEN 0 THEN [NULL] WHEN 1 THEN ['Aligned'] ELSE ['Aligned', 'Any'] END) AS start FROM c)
+SELECT o_orderkey, product, 'Read ' || o_orderkey AS parameter, 'opcode=0Bh/0Ch; IO=1-1-4; P = 01' || CASE WHEN start = 'Any' THEN '; (typ)' ELSE '' END || CASE WHEN start IS NOT NULL THEN '; Starting Address: ' || start ELSE '' END AS condition,
+  CASE start WHEN 'Aligned' THEN '133' WHEN 'Any' THEN (o_orderkey % 50) || '.5' ELSE '' END AS max, CASE WHEN start IS NULL THEN '' ELSE 'MHz' END AS unit, 'Data: D0; Note: x' AS description, 'Command' AS spec_type, start, '0Bh/0Ch' AS opcode, 'SPI_DTR' AS mode, '1-1-4' AS io, '8' AS dummy, '0Bh/0Ch Read ' || o_orderkey AS commands FROM l""")
+def q_command_specs(spark, sf_dir):
+    n = F.col("o_orderkey")
+    extra = F.concat_ws("; ", F.when(n % 3 > 0, "Aligned Address (MHz): 133 (2)"), F.lit("Note: x"), F.when(n % 3 == 2, F.concat(F.lit("any address ( MHz ): "), (n % 50).cast("string"), F.lit(".5 (typ)"))))
+    found = table(spark, sf_dir, "orders").select(F.lit(1).alias("doc"), "o_orderkey", F.concat(F.lit("Read "), n.cast("string")).alias("command"), F.lit("0bh, 0CH").alias("opcode"), F.lit("1-1-4").alias("mode"), F.lit("P = 01").alias("setting"), F.lit("A23-A0").alias("address"),
+                                                  F.lit("8 (Def)").alias("dummy"), F.lit("D0").alias("data"), extra.alias("extra"), F.when(n % 7 == 0, "Factory Mode").otherwise("g").alias("group"), F.lit("3.1 DTR reads").alias("section"))
+    products = spark.createDataFrame([(1, ["P1", "P2"])], "doc int, products array<string>")
+    got = specs.command_spec_rows(found, products, ["doc"])
+    return got.withColumn("o_orderkey", F.regexp_extract("parameter", r"(\d+)", 1).cast("long")).select("o_orderkey", "product", "parameter", "condition", "max", "unit", "description", "spec_type", "start", "opcode", "mode", "io", "dummy", "commands")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 3 AS s, l_quantity::BIGINT % 2 AS q FROM lineitem), g AS (SELECT l_orderkey, s, q, min(l_linenumber * 1000000 + l_partkey) AS ord, CASE WHEN q = 1 THEN '' ELSE 's' || s END AS sec FROM l GROUP BY ALL)
+SELECT l_orderkey, q, min(ord) AS ord FROM g GROUP BY l_orderkey, q, sec""")
+def q_consolidated_specs(spark, sf_dir):
+    q = F.col("l_quantity").cast("long") % 2
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", q.alias("q"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"), F.when(F.col("l_linenumber") % 2 == 0, "Read (0Bh / 0Ch)").otherwise("READ (0ch/0bh) ").alias("parameter"),
+                                                   F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("section"), F.when(q == 1, "Command").otherwise("AC").alias("spec_type"), F.lit("c").alias("condition"), F.col("l_linenumber").alias("page"))
+    return consolidate.consolidate_specs(rows, ["l_orderkey"], ["spec_type", "parameter"], ["q"], "ord").select("l_orderkey", "q", "ord")

@@ -225,3 +225,26 @@ def q_consolidated_specs(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", q.alias("q"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"), F.when(F.col("l_linenumber") % 2 == 0, "Read (0Bh / 0Ch)").otherwise("READ (0ch/0bh) ").alias("parameter"),
                                                    F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("section"), F.when(q == 1, "Command").otherwise("AC").alias("spec_type"), F.lit("c").alias("condition"), F.col("l_linenumber").alias("page"))
     return consolidate.consolidate_specs(rows, ["l_orderkey"], ["spec_type", "parameter"], ["q"], "ord").select("l_orderkey", "q", "ord")
+
+
+@query("""WITH c AS (SELECT o_custkey AS doc, o_orderkey AS id, o_orderkey % 6 AS code FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0), k AS (SELECT o_custkey AS doc, o_orderkey % 6 AS code FROM orders GROUP BY ALL),
+s AS (SELECT o_custkey AS doc, l_orderkey * 10 + l_linenumber AS cfg, min(l_partkey) % 12 AS code, min(l_partkey) AS max FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 GROUP BY ALL),
+r AS (SELECT c.doc, id, '0' || c.code || 'h' AS opcode, 'parameter-table' AS origin, 'P0 = ' || cfg AS setting, max FROM c JOIN s ON c.doc = s.doc AND c.code = s.code
+  UNION ALL SELECT doc, id, '0' || code || 'h', 'read-group', NULL, NULL FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc = c.doc AND s.code = c.code)
+  UNION ALL SELECT doc, NULL, '0' || to_base(code, 16) || 'h', 'parameter-table', 'P0 = ' || cfg, max FROM s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc = s.doc AND k.code = s.code))
+SELECT doc, id AS command_id, p.product, replace(replace(opcode, '0ah', '0Ah'), '0bh', '0Bh') AS opcode, origin, setting, coalesce(max, CASE WHEN opcode = '03h' THEN 50 ELSE 133 END)::BIGINT AS max, CASE WHEN opcode = '03h' THEN 'read-data' ELSE 'except' END AS kind,
+  CASE WHEN id IS NULL THEN '設定表列出 ' || replace(replace(opcode, '0ah', '0Ah'), '0bh', '0Bh') || '，指令總表未找到對應定義，Address 等欄位未推定。' END AS reason FROM r, (SELECT unnest(['P1', 'P2']) AS product) p""")
+def q_supplemented_reads(spark, sf_dir):
+    n = F.col("o_orderkey")
+    hexed = lambda c: F.concat(F.lit("0"), F.lower(F.hex(c)), F.lit("h"))
+    orders = table(spark, sf_dir, "orders")
+    found = orders.select(F.col("o_custkey").alias("doc"), n.alias("command_id"), F.when(n % 5 == 0, "Set Read Parameters").otherwise("Fast Read").alias("command"), hexed(n % 6).alias("opcode"), F.lit("1-1-1").alias("mode"), F.lit("s").alias("section"), F.when(n % 7 == 0, "Max: 50 MHz").otherwise("x").alias("extra"))
+    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").join(orders.select(n.alias("l_orderkey"), "o_custkey"), "l_orderkey").groupBy(F.col("o_custkey").alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("config_id")).agg(F.min("l_partkey").alias("max"))
+    code = F.concat(F.lit("0"), F.hex(F.col("max") % 12), F.lit("h"))
+    sets = lines.select("doc", "config_id", F.array(code).alias("codes"), F.lit("SPI").alias("mode"), F.concat(F.lit("P0 = "), F.col("config_id").cast("string")).alias("setting"), F.lit(8).alias("dummy"), F.col("max").cast("long").alias("max"))
+    kinds = (("Clock frequency except Read Data and DTR", "except", 1, 133), ("Clock frequency, Read Data instruction (03h)", "read-data", 2, 50))
+    made = [F.struct(F.lit(p).alias("product"), F.lit("fC").alias("symbol"), F.lit(text).alias("parameter"), F.lit(kind).alias("kind"), F.lit(o).alias("ord"), F.lit(m).cast("long").alias("max")) for p in ("P1", "P2") for text, kind, o, m in kinds]
+    docs = orders.select(F.col("o_custkey").alias("doc")).distinct()
+    groups = docs.select("doc", F.explode(F.array(*made)).alias("g")).select("doc", "g.*")
+    got = specs.supplemented_reads(found, sets, groups, docs.withColumns({"page": F.lit(1), "text": F.lit("")}), ["doc"])
+    return got.select("doc", "command_id", "product", "opcode", "origin", "setting", "max", "kind", "reason")

@@ -20,9 +20,14 @@ HOT_SHARE = 2000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder that the cluster names; a temporary one only where none is set."""
+    """A new folder below the shared checkpoint folder that the cluster names; in local mode a temporary one where none is set.
+
+    What is written there stays until that folder is cleared, as with Spark's own checkpoints: results read it lazily.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base

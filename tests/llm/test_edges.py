@@ -40,7 +40,7 @@ def labels(spark):
 def test_pii(docs, empty):
     got = pii.find_private(docs)
     assert got.count() == len(ROWS) and pii.find_private(empty).count() == 0
-    assert pii.sanitise(docs).columns == docs.columns
+    assert pii.sanitise(docs).columns == docs.columns and {r["name"] for r in pii.sanitise(docs).collect()} == {"own"}
 
 
 def test_leaks(spark, docs, empty):
@@ -69,6 +69,9 @@ def test_warc(spark, tmp_path):
     got = [(r["type"], r["record_id"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()]
     page = warc.ID
     assert sorted(got, key=str) == sorted([("response", page + "1", None, 120), ("revisit", page + "2", page + "1", 120), ("revisit", page + "2", page + "1", 120), ("response", page + "3", None, 0), ("response", page + "4", None, 0), ("revisit", page + "null", page + "1", 120)], key=str)
+    clashing = pages.selectExpr("*", "'own' as digest", "'own' as value", "'own' as size", "'own' as first", "0L as bytes")
+    warc.write_archives(clashing, str(tmp_path / "c"))
+    assert sorted((r["type"], r["record_id"]) for r in warc.read_archives(spark, str(tmp_path / "c")).collect()) == sorted((t, i) for t, i, *_ in got)
     warc.write_archives(pages.filter("false"), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
 
@@ -96,6 +99,8 @@ def test_chats(spark):
     assert back[1]["loss"] == "<a> & </turn>" * 2 and back[2]["loss"] == "" and back[2]["turns"][0]["text"] == "only &amp; user"
     assert [(t["role"], t["text"]) for t in back[None]["turns"]] == [("system", "")]
     assert chat_format.format_chats(turns.filter("false")).count() == 0
+    clashing = turns.selectExpr("*", "'own' as turns", "'own' as formatted", "'own' as target", "'own' as t")
+    assert chat_format.format_chats(clashing).count() == chat_format.format_chats(turns).count()
 
 
 def test_quality(spark, docs, empty):

@@ -119,7 +119,11 @@ def q_mask_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.mask_parts(F.concat_ws(" ", h1, number, F.lit("and W25Q32/64/12RW-DTR"))).alias("masked"), t.title_key(F.concat_ws(" ", h1, number)).alias("title"))
 
 
-@query()
+#: The prefix in compatibility form is written out; the texts have no characters that have another one.
+SQL_FOLDED = r'''regexp_replace(regexp_replace(regexp_replace(text, '[‘’‚′`´]', chr(39), 'g'), '[“”„″]', '"', 'g'), '[‐-―−]', '-', 'g')'''
+
+
+@query(f'''SELECT doc_id, md5({sql_clean("'fi2 ' || repeat(chr(39), 2) || 'A' || repeat(chr(39), 2) || ' ' || " + SQL_FOLDED)}) AS normal FROM documents''')
 def q_nfkc(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(t.normalize_text(F.concat(F.lit("ﬁ² ″Ａ″ "), F.col("text"))), "UTF-8")).alias("normal"))
 

@@ -159,3 +159,42 @@ def test_footers_in_page_order(spark):
     lines = spark.createDataFrame([(1, 1, 85.0, "Page 1"), (1, 2, 95.0, "Page 2"), (1, 3, 85.0, "Page 3")], "doc int, page int, y double, text string").withColumn("height", F.lit(100.0))
     ordered, all_pages = (sorted(r["page"] for r in doc.without_footers(lines, ["doc"], "y", "height", page=p).collect()) for p in ("page", None))
     assert ordered == [1] and all_pages == []
+
+
+def test_section_pairs_leave_nothing_to_pair():
+    """Equal titles pair up as often as both sides have them; then no two free sections are alike enough to pair."""
+    rng = random.Random(4)
+    word = lambda: rng.choice(["read", "write", "mode", "table", "erase", "clock"])
+    for _ in range(100):
+        old, new = ([(str(rng.randint(1, 4)), " ".join(word() for _ in range(rng.randint(1, 3)))) for _ in range(rng.randint(0, 7))] for _ in range(2))
+        found = nar.pair_sections(old, new)
+        used = [i for i in found if i >= 0]
+        assert len(used) == len(set(used)) and len(found) == len(new)
+        for title in {t for _, t in new}:
+            key = nar.title_key(title)
+            both = [sum(nar.title_key(t) == key for _, t in side) for side in (old, new)]
+            assert sum(found[j] >= 0 and nar.title_key(old[found[j]][1]) == key for j, (_, t) in enumerate(new) if nar.title_key(t) == key) == min(both)
+        like = nar.likeness([t for _, t in old], [t for _, t in new])
+        alike = lambda i, j: like[i, j] >= nar.TITLES or (old[i][0] == new[j][0] and like[i, j] >= nar.NUMBERED)  # noqa: B023, E731
+        assert not any(found[j] < 0 and i not in used and alike(i, j) for i in range(len(old)) for j in range(len(new)))
+        assert all(i < 0 or alike(i, j) for j, i in enumerate(found))
+
+
+def test_reflow_against_plain_joining(spark):
+    """Pieces of a section joined one after the other in Python: the same paragraphs before sentences are cut."""
+    rng = random.Random(5)
+    rows = [(s, k, " ".join(rng.choice(["Alpha", "beta", "gamma.", "(delta", "re-", "Epsilon:"]) for _ in range(rng.randint(1, 3))), rng.choice(["text"] * 4 + ["list"]), 1 + k // 3) for s in range(8) for k in range(9)]
+    ends = lambda text: text[-1] in ".:"
+    wanted = {}
+    for s, _, text, kind, page in rows:
+        done = wanted.setdefault(s, [])
+        last = done[-1] if done else None
+        if last and last[1] == kind == "text" and not ends(last[0]) and (last[2] != page or text[0].islower() or text[0] == "("):
+            glued = last[0][:-1] + text if last[0].endswith("re-") and text[0].islower() else f"{last[0]} {text}"
+            done[-1] = (glued, kind, page)
+        else:
+            done.append((text, kind, page))
+    got = {}
+    for r in doc.reflow(spark.createDataFrame(rows, "section int, ord int, text string, kind string, page int"), ["section"], "ord").orderBy("section", "paragraph", "sentence").collect():
+        got.setdefault(r["section"], {}).setdefault(r["paragraph"], []).append(r["text"])
+    assert {s: [" ".join(p) for _, p in sorted(paragraphs.items())] for s, paragraphs in got.items()} == {s: [t for t, _, _ in done] for s, done in wanted.items()}

@@ -1,6 +1,6 @@
 """The subpackage's registered queries and their DuckDB equivalents."""
 
-from sheetwise.llm import chat_format, decontaminate, mixing, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
+from sheetwise.llm import chat_format, decontaminate, filter_audit, mixing, packing, periodic, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_private_terms": pii.op1_private_terms,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_decision_lists": quality_rules.op8_decision_lists,
     "op9_simhash_groups": simhash.op9_simhash_groups,
     "op10_pfair_mix": mixing.op10_pfair_mix,
+    "op11_cost_balanced_packing": packing.op11_cost_balanced_packing,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 ORACLES = {
@@ -21,4 +24,5 @@ ORACLES = {
     "op5_induced_sort_dedup": suffix_dedup.ORACLE_OP5,
     "op7_prefix_targets": chat_format.ORACLE_OP7,
     "op10_pfair_mix": mixing.ORACLE_OP10,
+    "op12_filter_audit": filter_audit.ORACLE_OP12,
 }

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sheetwise.llm import chat_format, decontaminate, mixing, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
+from sheetwise.llm import chat_format, decontaminate, filter_audit, mixing, packing, periodic, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
 
 LONG = "alpha beta gamma delta " * 30_000
 ROWS = [
@@ -152,3 +152,34 @@ def test_pipeline_of_odd_rows(spark, docs, empty, tmp_path):
         spark.createDataFrame([(7, "quick brown fox jumps over the lazy dog and runs")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         out = pipeline.run(spark, folder)
         assert {"text", "shard", "slot"} <= set(out.columns) and (out.count() > 0) == (name == "odd")
+
+
+def test_packing(docs, empty):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = packing.packed(docs, path).collect()
+    assert packing.packed(empty, path).count() == 0
+    firsts = [r for r in got if r["start"] == 0]
+    assert len(firsts) == len(ROWS) and sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in firsts)
+    assert {r["doc_tokens"] for r in firsts if r["doc_id"] in (3, 4)} == {1} and max(r["doc_tokens"] for r in firsts) > packing.STRETCH
+
+
+def test_audit(spark, docs, empty):
+    from pyspark.sql import functions as F
+
+    assert filter_audit.audit(empty, labels(spark)).count() == 0
+    got = filter_audit.audit(docs, labels(spark))
+    assert {r["part"] for r in got.collect()} == {"", "en"} and got.count() == 2 * 600
+    last = got.filter("step = 5").groupBy("part").agg(F.min("kept").alias("a"), F.max("kept").alias("b")).collect()
+    assert all(r["a"] == r["b"] == 0 for r in last)
+
+
+def test_periodic(docs, empty):
+    from pyspark.sql import functions as F
+
+    got = docs.select("doc_id", periodic.periodic_runs(F.col("text")).alias("r")).collect()
+    assert len(got) == len(ROWS) and empty.select(periodic.periodic_runs(F.col("text"))).count() == 0
+    runs = {r["doc_id"]: [tuple(x) for x in r["r"]["runs"]] for r in got}
+    assert runs[6] == [(0, 120_000, 4)] and not any(v for k, v in runs.items() if k != 6)
+    assert {r["r"]["collapsed"] for r in got if r["doc_id"] in (3, 4, 5)} == {""}

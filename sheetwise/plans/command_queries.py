@@ -68,12 +68,14 @@ def q_command_tables(spark, sf_dir):
 
 
 @query(f"""WITH l AS (SELECT o_custkey, l_orderkey AS o_orderkey, l_linenumber AS n, place, l_partkey AS k, '3.' || l_orderkey AS section, o_custkey::INT AS page FROM {LINES} JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 <> 0),
+c AS (SELECT *, CASE WHEN n IN (2, 4) THEN upper(lpad(lower(hex(k % 256)), 2, '0')) || 'h' END AS own FROM l),
+p AS (SELECT *, coalesce(n IN (2, 4) AND regexp_matches(k::VARCHAR, '^[01]{2,4}$') AND own = last_value(own IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS variant FROM c),
 s AS (SELECT *, last_value(CASE WHEN n = 1 THEN 'Group ' || k END IGNORE NULLS) OVER w AS grp, count(*) FILTER (WHERE n = 6) OVER w > 0 AS clocked,
-  last_value(CASE WHEN n IN (2, 4) THEN 'Read ' || k END IGNORE NULLS) OVER w AS main, last_value(CASE WHEN n IN (2, 4) THEN upper(lpad(lower(hex(k % 256)), 2, '0')) || 'h' END IGNORE NULLS) OVER w AS code
-  FROM l WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey, n ROWS UNBOUNDED PRECEDING))
+  last_value(CASE WHEN NOT variant AND own IS NOT NULL THEN 'Read ' || k END IGNORE NULLS) OVER w AS main, last_value(own IGNORE NULLS) OVER w AS code
+  FROM p WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey, n ROWS UNBOUNDED PRECEDING))
 SELECT o_custkey, o_orderkey, (10 + 10 * place)::DOUBLE AS top, coalesce(main, 'Wrap M7-M0') AS command, coalesce(code, '0 1') AS opcode,
   coalesce(nullif(concat_ws('；', CASE WHEN k % 2 = 0 THEN '1-1-1（SDR）' END, CASE WHEN k % 3 = 0 THEN '4-4-4（DDR）' END), ''), CASE WHEN clocked THEN '1-1-4' ELSE '' END) AS mode,
-  'A' || k AS address, '8' AS dummy, 'D0' AS data, 'Max' || CASE WHEN clocked THEN ' (MHz)' ELSE '' END || ': ' || k AS extra, CASE WHEN n % 2 = 1 AND main IS NOT NULL THEN 'Wrap = 01' ELSE '' END AS setting, coalesce(grp, '') AS "group", section, page, CASE WHEN main IS NULL THEN '指令表列未辨識到 opcode，請核對原文。' END AS reason
+  'A' || k AS address, '8' AS dummy, 'D0' AS data, 'Max' || CASE WHEN clocked THEN ' (MHz)' ELSE '' END || ': ' || k AS extra, CASE WHEN variant THEN 'Read = ' || k WHEN n % 2 = 1 AND main IS NOT NULL THEN 'Wrap = 01' ELSE '' END AS setting, coalesce(grp, '') AS "group", section, page, CASE WHEN main IS NULL THEN '指令表列未辨識到 opcode，請核對原文。' END AS reason
 FROM s WHERE n IN (2, 3, 4, 5, 7)""")
 def q_command_table(spark, sf_dir):
     cells = made_cells(spark, sf_dir)

@@ -36,7 +36,7 @@ def q_spec_rows(spark, sf_dir):
 
 #: A matrix for each customer: two address widths, three alignment columns under two instructions, a row for each clock count.
 @query("""WITH a AS (SELECT unnest([0, 1, 2]) AS k, unnest(['Aligned', 'Any', 'Aligned']) AS start, unnest(['Read', 'Read', 'Fast Read']) AS head), w AS (SELECT unnest([0, 1]) AS w, unnest(['3-byte', '4-byte']) AS address)
-SELECT c_custkey, head || ' maximum clock frequency' AS parameter, address, upper(lpad(hex((c_custkey + 16 * k + w) % 256), 2, '0')) || 'h' AS opcode, (4 + 2 * r)::VARCHAR AS dummy, start, CASE WHEN (c_custkey + r + k) % 4 = 0 THEN 'DS bit enabled' END AS extra,
+SELECT c_custkey, head || ' maximum clock frequency' AS parameter, address, upper(lpad(hex((c_custkey + 16 * k + w) % 256), 2, '0')) || 'h' AS opcode, (4 + 2 * r)::VARCHAR AS dummy, start, CASE WHEN (c_custkey + r + k) % 4 = 0 OR c_custkey + r = 200 THEN 'DS bit enabled' END AS extra,
   CASE WHEN (c_custkey + r + k) % 4 = 0 THEN '200' ELSE (c_custkey + r)::VARCHAR END AS max, CASE WHEN (c_custkey + r + k) % 4 = 0 THEN 'max: Note 2; ' ELSE '' END || 'Frequency matrix; symbol not specified in source' AS description
 FROM customer, a, w, (SELECT unnest([0, 1, 2]) AS r) WHERE (c_custkey + k + w) % 5 <> 0 AND (c_custkey + r * k) % 7 <> 6""")
 def q_frequency_matrix(spark, sf_dir):

@@ -10,16 +10,19 @@ import pytest
 
 import __spark_entry__
 
-SF = "/root/testdata/sf0.001"
+SCALES = ("sf0.001", "sf0.01")
+SF = f"/root/testdata/{SCALES[0]}"
 QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 
 @pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
-    for f in glob.glob(f"{SF}/*.parquet"):
-        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
-    return con
+def ducks():
+    found = {}
+    for scale in SCALES:
+        found[scale] = duckdb.connect()
+        for f in glob.glob(f"/root/testdata/{scale}/*.parquet"):
+            found[scale].execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
+    return found
 
 
 def plain(v):
@@ -36,9 +39,11 @@ def rows(df):
     return list(df.columns), sorted(repr([plain(v) for v in r]) for r in df.itertuples(index=False, name=None))
 
 
+#: The larger scale meets values that the smaller one hasn't got.
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_same_rows(spark, duck, name):
-    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(ORACLES[name]).df())
+@pytest.mark.parametrize("scale", SCALES)
+def test_same_rows(spark, ducks, name, scale):
+    assert rows(QUERIES[name](spark, f"/root/testdata/{scale}").toPandas()) == rows(ducks[scale].execute(ORACLES[name]).df())
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ORACLES and n.startswith("q_")))

@@ -1,9 +1,9 @@
 """Version comparison: every row of a new and an old revision gets a status, its changes and both pages.
 
 Statuses follow a fixed order of tests: a recorded conflict on either side, then a key that isn't unique, are for
-review; then missing rows are added or removed; then fields decide between changed and unchanged. Both revisions are
-scanned and dealt by their key once, and windows over a key count and find what it has on the other side; no pair of
-rows with the same repeated key is ever formed.
+review; then missing rows are added or removed; then fields decide between changed and unchanged. What a key has on
+either side is aggregated (partially before the shuffle, so a key that half the rows share costs one row a task) and
+joined back to the rows with care for such keys; no pair of rows with the same repeated key is ever formed.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.text import identity_text, numeric_value, shown, with_starting, without_starting
+from sheetwise.operators.skew import with_figures
 
 STATUS_LABELS = {"changed": "變更", "added": "新增", "removed": "移除", "review": "待確認", "unchanged": "未變更", "uncompared": "未比對"}
 
@@ -32,46 +33,58 @@ def identity(columns: Sequence[str], normalise=identity_text) -> Column:
     return F.struct(*[normalise(F.col(c)).alias(f"k{i}") for i, c in enumerate(columns)])
 
 
-def compare(new: DataFrame, old: DataFrame, keys: Sequence[str], fields: Mapping[str, str] | Sequence[str], order: str, page: str | None = None, conflict: str | None = None, normalise=identity_text, same=None) -> Comparison:
+def compare(new: DataFrame, old: DataFrame, keys: Sequence[str], fields: Mapping[str, str] | Sequence[str], order: str, page: str | None = None, conflict: str | None = None, normalise=identity_text, same=None, by_kind: tuple[str, Mapping[str, Mapping[str, str]]] | None = None) -> Comparison:
     """Compare two revisions. `fields` maps labels to columns, compared as text with null equal to empty.
 
     `order` gives the document order of rows; the first old row of a key is the one compared with. `same` changes how a
-    field's text is compared (for example without blanks).
+    field's text is compared (for example without blanks). `by_kind` (column, kind: further fields) names fields that are
+    compared in new rows of that kind only.
     """
     named = dict(fields) if isinstance(fields, Mapping) else {f: f for f in fields}
+    wanted = [(label, c, F.lit(True)) for label, c in named.items()]
+    for kind, more in (by_kind[1] if by_kind else {}).items():
+        wanted += [(label, c, F.col(by_kind[0]).eqNullSafe(F.lit(kind))) for label, c in more.items()]
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     bare = same or (lambda c: c)
     both = new.withColumn("_old", F.lit(False)).unionByName(old.withColumn("_old", F.lit(True)), allowMissingColumns=True).withColumn("_key", identity(keys, normalise))
     own = F.when(F.col(conflict) != "", F.col(conflict)) if conflict else F.lit(None).cast("string")
     old_page = F.col(page).cast("string") if page else F.lit(None).cast("string")
-    first = F.struct(F.col(order), *[text(c).alias(f"f{i}") for i, c in enumerate(named.values())], old_page.alias("page"))
-    w = Window.partitionBy("_key")
-    both = both.withColumns({
-        "_n_new": F.count_if(~F.col("_old")).over(w), "_n_old": F.count_if(F.col("_old")).over(w), "_first": F.min(F.when(F.col("_old"), first)).over(w),
-        "_odd": F.min(F.when(F.col("_old") & own.isNotNull(), F.struct(F.col(order), own.alias("why")))).over(w), "_plain": F.max((~F.col("_old") & own.isNull()).cast("int")).over(w)})
+    first = F.struct(F.col(order), *[text(c).alias(f"f{i}") for i, (_, c, _) in enumerate(wanted)], old_page.alias("page"))
+    figures = both.groupBy("_key").agg(
+        F.count_if(~F.col("_old")).alias("_n_new"), F.count_if(F.col("_old")).alias("_n_old"), F.min(F.when(F.col("_old"), first)).alias("_first"),
+        F.min(F.when(F.col("_old") & own.isNotNull(), F.struct(F.col(order), own.alias("why")))).alias("_odd"), F.max((~F.col("_old") & own.isNull()).cast("int")).alias("_plain"), F.count("*").alias("_n"))
+    both = with_figures(both, figures, "_key", "_n")
     several = (F.col("_n_new") > 1) | (F.col("_n_old") > 1)
-    changed = F.filter(F.array(*[F.struct(F.lit(label).alias("field"), F.col(f"_first.f{i}").alias("old"), text(c).alias("new")) for i, (label, c) in enumerate(named.items())]), lambda x: bare(x["old"]) != bare(x["new"]))
+    differs = F.array(*[F.struct(F.lit(label).alias("field"), F.col(f"_first.f{i}").alias("old"), text(c).alias("new"), applies.alias("applies")) for i, (label, c, applies) in enumerate(wanted)])
+    changed = F.transform(F.filter(differs, lambda x: x["applies"] & (bare(x["old"]) != bare(x["new"]))), lambda x: F.struct(x["field"].alias("field"), x["old"].alias("old"), x["new"].alias("new")))
     inherited = F.coalesce(own, F.col("_odd.why"))
     status = (F.when(F.col("_old"), "removed").when(inherited.isNotNull() | several, "review")
               .when(F.col("_n_old") == 0, "added").when(F.size(changed) > 0, "changed").otherwise("unchanged"))
     judged = both.filter(~F.col("_old") | (F.col("_n_new") == 0)).withColumn("status", status)
     decided = F.col("status").isin("changed", "unchanged")
     judged = judged.withColumns({
-        "changes": F.when(F.col("status") == "changed", changed).otherwise(F.array().cast(judged.select(changed).schema[0].dataType)),
+        "changes": F.when(F.col("status") == "changed", changed).otherwise(F.array().cast("array<struct<field:string,old:string,new:string>>")),
         "old_page": F.when(decided, F.col("_first.page")), "conflict": F.when(F.col("status") != "removed", inherited)})
     doubtful = several & (F.col("_n_new") > 0) & F.col("_odd").isNull() & (F.col("_plain") == 1)
-    scratch = ("_old", "_n_new", "_n_old", "_first", "_odd", "_plain")
+    scratch = ("_old", "_n_new", "_n_old", "_first", "_odd", "_plain", "_n")
     return Comparison(judged.drop(*scratch), both.filter(F.col("_old") & doubtful).select(*old.columns, "_key"))
 
 
+#: Further fields of instruction rows among specification rows (fixed labels).
+COMMAND_FIELDS = {"3/4 byte address": "address", "Dummy": "dummy"}
+
+
 def compare_specs(new: DataFrame, old: DataFrame, keys: Sequence[str], fields: Mapping[str, str] | Sequence[str], order: str, page: str | None = None) -> Comparison:
     """Compare specification rows whose limits may hold for aligned and any starting addresses alike (`start`, stated in `condition` too).
 
     Such rows are compared as two, and two that end alike become one again: same identity but for the start, limits,
     unit, status, changes and old page, in MHz, and not under review. The pair stands in the place of its first row.
+    Instruction rows (`spec_type` Command) are also compared by address and dummy clocks, where there are such columns.
     """
+    told = {label: c for label, c in COMMAND_FIELDS.items() if c in new.columns and c in old.columns}
+    by_kind = ("spec_type", {"Command": told}) if told and "spec_type" in new.columns else None
     spread = lambda df: expand_pairs(df, "start").withColumn("condition", F.when(F.col("start").isin("Aligned", "Any"), with_starting(F.col("condition"), F.col("start"))).otherwise(F.col("condition")))
-    found = compare(spread(new), spread(old), keys, fields, order, page=page)
+    found = compare(spread(new), spread(old), keys, fields, order, page=page, by_kind=by_kind)
     rows = found.rows.withColumns({"_bare": without_starting(F.col("condition")), "_order": F.struct(F.col(order), F.col("start"))})
     foldable = F.col("start").isin("Aligned", "Any") & (F.col("unit") == "MHz") & numeric_value(F.col("max").cast("string")).isNotNull() & (F.col("status") != "review")
     same = [c for c in rows.columns if c not in ("_key", "_order", "condition", "start", order)]

@@ -69,7 +69,7 @@ def q_command_tables(spark, sf_dir):
 
 @query(f"""WITH l AS (SELECT o_custkey, l_orderkey AS o_orderkey, l_linenumber AS n, place, l_partkey AS k, '3.' || l_orderkey AS section, o_custkey::INT AS page FROM {LINES} JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 <> 0),
 c AS (SELECT *, CASE WHEN n IN (2, 4) THEN upper(lpad(lower(hex(k % 256)), 2, '0')) || 'h' END AS own FROM l),
-p AS (SELECT *, coalesce(n IN (2, 4) AND regexp_matches(k::VARCHAR, '^[01]{2,4}$') AND own = last_value(own IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS variant FROM c),
+p AS (SELECT *, coalesce(n IN (2, 4) AND regexp_matches(k::VARCHAR, '^[01]{{2,4}}$') AND own = last_value(own IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS variant FROM c),
 s AS (SELECT *, last_value(CASE WHEN n = 1 THEN 'Group ' || k END IGNORE NULLS) OVER w AS grp, count(*) FILTER (WHERE n = 6) OVER w > 0 AS clocked,
   last_value(CASE WHEN NOT variant AND own IS NOT NULL THEN 'Read ' || k END IGNORE NULLS) OVER w AS main, last_value(own IGNORE NULLS) OVER w AS code
   FROM p WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey, n ROWS UNBOUNDED PRECEDING))

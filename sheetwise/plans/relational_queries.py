@@ -97,6 +97,24 @@ def q_command_compare(spark, sf_dir):
     return cmp.compare_commands(orders.filter("command_id % 5 <> 1"), orders.filter("command_id % 4 <> 1").withColumn("address", shifted)).rows.select("command_id", "status")
 
 
+#: Half of the parts lose their key, so that half of all rows share one; every third row is an instruction.
+SQL_SHARED = """p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_name || p_partkey END AS k, p_size AS size, p_container_no AS dummy, CASE WHEN p_partkey % 3 = 0 THEN 'Command' ELSE 'AC' END AS kind FROM (SELECT *, p_partkey % 13 AS p_container_no FROM part)),
+n AS (SELECT *, count(*) OVER (PARTITION BY k) AS nn FROM p WHERE p_partkey % 10 <> 3),
+o AS (SELECT * REPLACE (CASE WHEN p_partkey % 11 = 0 THEN size + 1 ELSE size END AS size, CASE WHEN p_partkey % 5 = 0 THEN dummy + 1 ELSE dummy END AS dummy), count(*) OVER (PARTITION BY k) AS no, row_number() OVER (PARTITION BY k ORDER BY p_partkey) AS r FROM p WHERE p_partkey % 7 <> 2),
+j AS (SELECT n.*, no, o.size AS old_size, o.dummy AS old_dummy, o.p_partkey AS page FROM n LEFT JOIN o ON n.k = o.k AND o.r = 1),
+c AS (SELECT *, concat_ws('；', CASE WHEN size <> old_size THEN 'size：' || old_size || ' → ' || size END, CASE WHEN kind = 'Command' AND dummy <> old_dummy THEN 'Dummy：' || old_dummy || ' → ' || dummy END) AS diff FROM j)"""
+
+
+@query(f"""WITH {SQL_SHARED} SELECT p_partkey, CASE WHEN nn > 1 OR no > 1 THEN 'review' WHEN no IS NULL THEN 'added' WHEN diff <> '' THEN 'changed' ELSE 'unchanged' END AS status, CASE WHEN nn = 1 AND no = 1 THEN page::VARCHAR END AS old_page, CASE WHEN nn = 1 AND no = 1 THEN diff ELSE '' END AS changes FROM c
+UNION ALL SELECT p_partkey, 'removed', NULL, '' FROM o WHERE k NOT IN (SELECT k FROM n)""")
+def q_shared_key_compare(spark, sf_dir):
+    n = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(n, F.when(n % 2 == 0, "").otherwise(F.concat("p_name", n.cast("string"))).alias("k"), F.col("p_size").alias("size"), (n % 13).alias("dummy"), F.when(n % 3 == 0, "Command").otherwise("AC").alias("kind"))
+    old = part.filter("p_partkey % 7 <> 2").withColumns({"size": F.col("size") + F.when(n % 11 == 0, 1).otherwise(0), "dummy": F.col("dummy") + F.when(n % 5 == 0, 1).otherwise(0)})
+    found = cmp.compare(part.filter("p_partkey % 10 <> 3"), old, ["k"], ["size"], "p_partkey", page="p_partkey", normalise=lambda c: c, by_kind=("kind", {"Command": {"Dummy": "dummy"}}))
+    return found.rows.select("p_partkey", "status", "old_page", cmp.change_text(F.col("changes")).alias("changes"))
+
+
 LINES = "(SELECT l_partkey, l_returnflag, CASE WHEN l_returnflag = 'A' THEN 'Aligned' ELSE 'Any' END AS start, l_linestatus, (sum(l_quantity)::BIGINT) % 3 AS lim FROM lineitem GROUP BY ALL)"
 
 

@@ -103,7 +103,7 @@ def q_read_groups(spark, sf_dir):
 @query("""WITH g AS (SELECT unnest(['P1', 'P1', 'P1', 'P2']) AS product, unnest([1, 2, 3, 2]) AS k, unnest(['SDR', 'SDR', 'DDR', 'SDR']) AS rate, unnest(['Clock frequency for Read (03h/0Bh)', 'Clock frequency except for Read', 'Clock frequency except for Read', 'Clock frequency except for Read']) AS parameter),
 c AS (SELECT o_orderkey, o_orderkey % 4 AS m, o_orderkey % 5 = 3 AS listed FROM orders), v AS (SELECT o_orderkey, listed, '1-1-8（SDR）' AS protocol, 'SDR' AS rate FROM c WHERE m < 2 UNION ALL SELECT o_orderkey, listed, '8d-8d-8d', 'DDR' FROM c WHERE m > 0 UNION ALL SELECT o_orderkey, listed, '2-2-2', NULL FROM c WHERE m = 3),
 h AS (SELECT o_orderkey, product, protocol, v.rate, parameter AS "group" FROM v JOIN g ON v.rate = g.rate AND CASE WHEN k = 1 THEN listed ELSE NOT listed OR product = 'P2' END)
-SELECT * FROM h UNION ALL SELECT o_orderkey, NULL, protocol, rate, NULL FROM v WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.o_orderkey = v.o_orderkey AND h.protocol = v.protocol)""")
+SELECT * FROM h UNION ALL SELECT o_orderkey, p.product, protocol, rate, NULL FROM v, (SELECT unnest(['P1', 'P2']) AS product) p WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.o_orderkey = v.o_orderkey AND h.product = p.product AND h.protocol = v.protocol)""")
 def q_octal_modes(spark, sf_dir):
     n = F.col("o_orderkey")
     mode = F.concat_ws("；", F.when(n % 4 < 2, "1-1-8（SDR）"), F.when(n % 4 > 0, " 8d-8d-8d"), F.when(n % 4 == 3, "2-2-2"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: monotonically_increasing_id() keeps the partition above this bit and the row's place in it below.
 ROW_BITS = 33
+#: with_row_ids() keeps the file above this bit and the row's place in it below.
+FILE_BITS = 40
 #: Name of the row number that stages add next to a table's own columns, and drop again.
 ROW = "__sheetwise_row__"
 #: A key is hot when it holds more than one in this many of all rows, so that there are at most so many hot keys.
@@ -41,21 +43,43 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_places(df: DataFrame, into: Sequence[str]) -> DataFrame:
+def reads_files(df: DataFrame) -> bool:
+    """Whether each row of `df` is a row of one table's files: nothing but columns chosen and rows left out since the scan."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def with_places(df: DataFrame, into: Sequence[str], from_files: bool | None = None) -> DataFrame:
     """Add three numbers that sort the rows as they were written: task and file (from the file's name), row in the file.
 
-    Reading a table deals its files out by size, so the order of a stored table is in its files only. Rows of a table
-    that isn't read from files as it stands are numbered in the order of their partitions.
+    Reading a table deals its files out by size, so the order of a stored table is in its files only. A table that isn't
+    read from files as it stands is stored first, in the order of its partitions; `from_files` tells, or else its plan.
     """
-    # Hidden file columns also resolve through joins and sorts, where they tell nothing about the order of the result.
-    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
-        number = lambda pattern: F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(_metadata.file_name, '{pattern}', 1), '') as long)"), F.lit(0))
-        places = [number("^part-([0-9]+)"), number("-c([0-9]+)[.]"), F.col("_metadata.row_index")]
-    else:
-        places = [F.lit(0), F.lit(0), F.monotonically_increasing_id()]
+    df = df if (reads_files(df) if from_files is None else from_files) else stored(df)
+    number = lambda pattern: F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(_metadata.file_name, '{pattern}', 1), '') as long)"), F.lit(0))
+    places = [number("^part-([0-9]+)"), number("-c([0-9]+)[.]"), F.col("_metadata.row_index")]
     return df.select("*", *[p.cast("long").alias(c) for p, c in zip(places, into)])
 
 
+def with_row_ids(df: DataFrame, into: str = ROW, from_files: bool | None = None) -> DataFrame:
+    """Add a number of its own to each row: its file's place among all file names, and the row's place in that file.
+
+    It is the same in every scan, however the files are dealt out and whichever executors are alive, so rows may be
+    computed on in one reading and joined back in another. A table that isn't read from files as it stands is stored
+    first; `from_files` tells, or else its plan. The rows' numbers differ between the two, what is made of them doesn't.
+    """
+    df = df if (reads_files(df) if from_files is None else from_files) else stored(df)
+    path, at, name, number = (f"__sheetwise_{c}__" for c in ("path", "index", "name", "number"))
+    # One row a file: the driver holds the list of files anyway. Nothing but file names is read here.
+    names = df.select(F.col("_metadata.file_path").alias(name)).distinct()
+    names = stored(names.select(name, (F.row_number().over(Window.orderBy(name)) - 1).cast("long").alias(number)))
+    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+    joined = placed.join(F.broadcast(names), F.col(path) == F.col(name))
+    return joined.withColumn(into, F.shiftleft(number, FILE_BITS) + F.col(at)).drop(path, at, name, number)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")

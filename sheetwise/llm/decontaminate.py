@@ -18,9 +18,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetwise.llm.common import ROW, stored, with_row_ids
+
 #: Words of a seed.
 SEED = 3
 #: A seed forms by chance in at most one of so many documents.
@@ -178,8 +181,13 @@ def matches(text: str | None, items: Items, threshold: float) -> list[tuple[obje
 
 
 def char_spans(text: str, found: list[tuple[object, float, int, int]]) -> list[dict]:
-    at = [m.span() for m in WORD.finditer(text)] if len(text) == len(text.lower()) else None
-    return [{"item_id": i, "score": s, "word_start": a, "word_end": b, "char_start": at[a][0] if at else None, "char_end": at[b - 1][1] if at else None} for i, s, a, b in found]
+    """The words that align, and the code points of the text as it stands that they are."""
+    low = text.lower()
+    at = [m.span() for m in WORD.finditer(low)]
+    if len(low) != len(text):  # a few letters become several in lower case
+        ends = np.cumsum([len(c.lower()) for c in text])
+        at = [(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1) for a, b in at]
+    return [{"item_id": i, "score": s, "word_start": a, "word_end": b, "char_start": at[a][0], "char_end": at[b - 1][1]} for i, s, a, b in found]
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
@@ -220,43 +228,55 @@ def prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
         yield items
 
 
-def match_column(text: Column, items: Items, spark: SparkSession, id_type: str, threshold: float) -> Column:
-    sent = spark.sparkContext.broadcast(items)
-
+def match_column(sent: Broadcast, id_type: str, threshold: float) -> Column:
     @F.pandas_udf(f"array<struct<item_id:{id_type},score:double,word_start:int,word_end:int,char_start:int,char_end:int>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([char_spans(t, found) if (found := matches(t, sent.value, threshold)) else [] for t in texts], dtype=object)
 
-    return find(text)
+    return find("text")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, key: str) -> DataFrame | None:
+    """(key, item_id, score, words, code points) of all leaks, stored; None without items.
+
+    One block of items is in memory at a time, in the driver and in tasks, however many there are.
+    """
+    spark, id_type, out = docs.sparkSession, dict(benchmark.dtypes)["item_id"], None
+    for items in prepared(docs, benchmark):
+        sent = spark.sparkContext.broadcast(items)  # at most BLOCK_ITEMS items
+        found = stored(docs.select(key, F.explode(match_column(sent, id_type, threshold)).alias("m")).select(key, "m.*"))
+        sent.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
     """One row per document and test item that it holds: score and the words and code points that align best.
 
     Null and empty texts and items match nothing; repeated rows of either side are matched each; null keys are kept
-    as they are. Of a document's equally good alignments with an item the first counts; other columns aren't read. Code points are null in the rare text that lower-casing lengthens. Without items the result is empty.
+    as they are. Of a document's equally good alignments with an item the first counts; other columns aren't read.
+    Without items the result is empty.
     """
-    id_type = dict(benchmark.dtypes)["item_id"]
-    out = None
-    for items in prepared(docs, benchmark):
-        found = docs.select(key, F.explode(match_column(F.col("text"), items, docs.sparkSession, id_type, threshold)).alias("m")).select(key, "m.*")
-        out = found if out is None else out.unionByName(found)
+    out = leaks(docs, benchmark, threshold, key)
     if out is None:
-        spans = ", ".join(f"cast(null as {t}) as {c}" for c, t in (("item_id", id_type), ("score", "double"), ("word_start", "int"), ("word_end", "int"), ("char_start", "int"), ("char_end", "int")))
+        spans = ", ".join(f"cast(null as {t}) as {c}" for c, t in (("item_id", dict(benchmark.dtypes)["item_id"]), ("score", "double"), ("word_start", "int"), ("word_end", "int"), ("char_start", "int"), ("char_end", "int")))
         return docs.select(key, *[F.expr(x) for x in spans.split(", ")]).filter("false")
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no test item, unchanged, with all their columns; no shuffle.
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, from_files: bool | None = None) -> DataFrame:
+    """The documents that hold no test item, unchanged, with all their columns.
 
     Null and empty texts hold none and stay, repeated rows are judged each, and without items or documents nothing goes.
+    Rows are told apart by their place in the files that `docs` is read from or is stored in first.
     """
-    id_type = dict(benchmark.dtypes)["item_id"]
-    for items in list(prepared(docs, benchmark)):
-        docs = docs.filter(F.size(match_column(F.col("text"), items, docs.sparkSession, id_type, threshold)) == 0)
-    return docs
+    numbered = with_row_ids(docs, from_files=from_files)
+    found = leaks(numbered, benchmark, threshold, ROW)
+    if found is None:
+        return docs
+    gone = stored(found.select(F.col(ROW).alias("_gone")).distinct())
+    return numbered.join(gone, F.col(ROW) == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import ROW, globally_ranked, scratch_dir, stored
+from sheetwise.llm.common import ROW, globally_ranked, scratch_dir, stored, with_row_ids
 
 SLOT, PLACE = "__sheetwise_slot__", "__sheetwise_place__"
 #: Rows of a block.
@@ -113,13 +113,15 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, laid out in the mixed order (partition after partition, sorted by slot).
 
     The schedule is made from narrow rows; texts move once to their schedule rows and once into order, to the partition
-    that their slot names. Rows are told apart by their place in the stage's input files. Null sources are a source of
+    that their slot names. Rows are told apart by their place in the files that `docs` is read from, or is stored in
+    first; one that the schedule doesn't know fails the job. Texts of any length are moved whole. Null sources are a source of
     their own; an empty table stays empty; the columns are those of `docs`, whatever their names.
     """
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    numbered = with_row_ids(docs)
     plan = stored(mix(numbered.select(ROW, "doc_id", "source")).select(F.col(ROW).alias("_planned"), F.col("slot").alias(SLOT), F.col("source_row").alias(PLACE)))
     slots, parts = (plan.agg(F.max(SLOT)).first()[0] or 0) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mixed = numbered.join(plan, F.col(ROW) == F.col("_planned"))
+    unknown = F.raise_error(F.lit("a row of the table isn't in the schedule"))
+    mixed = numbered.join(plan, F.col(ROW) == F.col("_planned"), "left").withColumn(SLOT, F.when(F.col(SLOT).isNull(), unknown.cast("long")).otherwise(F.col(SLOT)))
     # A slot holds one block, so equal stretches of slots are even partitions however large a source is.
     return mixed.repartitionById(parts, F.floor(F.col(SLOT) * parts / slots).cast("int")).sortWithinPartitions(SLOT, PLACE).select(*docs.columns)
 

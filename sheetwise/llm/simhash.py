@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import ROW, join_counted, stored
+from sheetwise.llm.common import ROW, join_counted, stored, with_row_ids
 
 #: Fingerprints that the shard tree is fitted on, at most: 0.8 MB in the driver at any corpus size.
 SAMPLE = 100_000
@@ -239,38 +239,21 @@ def links(prints: DataFrame, n: int, bits: int = 2, fitted: int = FITTED_SHARDS,
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge list (a, b): alternating large and small stars until nothing changes.
 
-    Each round is a few shuffles of narrow rows; edges are stored between rounds and never gathered.
+    Each round is a few shuffles of narrow rows; edges are stored between rounds and never gathered. A node that a great
+    part of all edges meet is looked up in a broadcast of bounded size, so no task holds its edges.
     """
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    n = edges.count()
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m"))
-        large = both.join(low, both.a == low.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        small = large.join(low, large.a == low.n).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("n", "m"))
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("size")))
+        large = stored(join_counted(both, low, "a", "size", 2 * n, "inner").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size")))
+        small = join_counted(large, low, "a", "size", large.count(), "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
         fresh = stored(small.filter("a <> b").distinct())
-        if fresh.count() == edges.count() and fresh.join(edges, ["a", "b"], "left_anti").isEmpty():
+        if fresh.count() == n and fresh.join(edges, ["a", "b"], "left_anti").isEmpty():
             return fresh.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges = fresh
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of an edge list (a, b): alternating large and small stars until nothing changes.
-
-    Each round is a few shuffles of narrow rows; edges are stored between rounds and never gathered.
-    """
-    edges, seen = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m"))
-        large = both.join(low, both.a == low.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        small = large.join(low, large.a == low.n).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("n", "m"))
-        edges = stored(small.filter("a <> b").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
+        edges, n = fresh, fresh.count()
 
 
 def near_groups(docs: DataFrame, bits: int = 2, shingle: int = 3, key: str = "doc_id") -> DataFrame:
@@ -335,10 +318,10 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pipeline stage: of each group of near copies, the row with the smallest doc_id stays (one row of repeated ones).
 
     Near copies share five-word shingles to a similarity of 0.8 or more; null and empty texts are one group. Null ids
-    come last. Rows are told apart by their place in the input files; the columns are those of `docs`, whatever their
+    come last. Rows are told apart by their place in the files that `docs` is read from, or is stored in first. The columns are those of `docs`, whatever their
     names, and an empty table stays empty.
     """
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    numbered = with_row_ids(docs)
     found = near_texts(numbered.select(F.col(ROW).alias("row"), "text"))
     members = stored(found.union(found.select("root", "root").distinct()))
     known = members.join(numbered.select(F.col(ROW).alias("node"), F.col("doc_id").alias("id")), "node")

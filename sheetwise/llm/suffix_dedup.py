@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import join_counted, stored
+from sheetwise.llm.common import join_counted, stored, with_row_ids
 
 #: Bytes of a repeated string, and of the sampled substrings that name anchors.
 SPAN, GRAM = 400, 200
@@ -398,14 +398,14 @@ def merged(spans: list) -> list[list[int]]:
     return out
 
 
-def deduplicated(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, keep_bytes: bool = False, from_files: bool | None = None) -> DataFrame:
     """Per row of (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes.
 
     Texts are UTF-8 bytes, null ones empty; a repeated row is elsewhere for its copies, so both go. Null and repeated
-    ids are kept: rows are told apart by their place in the input, which must give the same rows in the same partitions
-    when read again, as files do. An empty table gives an empty result.
+    ids are kept: rows are told apart by their place in the files that the table is read from, or that it is stored in
+    first. An empty table gives an empty result. A text shorter than its spans fails the job.
     """
-    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    numbered = with_row_ids(docs.select("doc_id", "text"), "row", from_files)
     spans = removed_spans(numbered.select("row", "text")).withColumnRenamed("row", "r")
     schema = "doc_id " + dict(docs.dtypes)["doc_id"] + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
 
@@ -415,6 +415,8 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
             for text, cuts in zip(batch["text"], batch["spans"]):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 gone, at, kept = merged(cuts) if cuts is not None else [], 0, []
+                if gone and gone[-1][1] > len(data):
+                    raise ValueError("a text has changed since its spans were found")
                 for a, b in gone:
                     kept.append(data[at:a])
                     at = b

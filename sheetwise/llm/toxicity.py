@@ -138,41 +138,48 @@ class Marks:
     """Landmark strings and their kernel with other strings.
 
     By the Cauchy-Schwarz inequality a normalised kernel is at most the root of the share that those subsequences of the
-    landmark have in its own kernel whose characters all occur in the other string. That share is tabulated for each set
-    of a landmark's characters; where it is below CUT squared the kernel is too, and isn't computed.
+    landmark have in its own kernel whose characters all occur in the other string. Where that share is below CUT squared
+    the kernel is too, and isn't computed. The share depends on which of the landmark's characters a string holds; it is
+    computed when such a set is first met, and kept.
     """
 
     def __init__(self, marks: Sequence[str]) -> None:
         self.rows = codes(marks)
         self.norm = kernel(self.rows, self.rows)
         self.alphabet = np.unique(self.rows[self.rows != PAD])
-        self.places, self.possible = [], []
-        for row, norm in zip(self.rows, self.norm):
-            own = np.unique(row[row != PAD])
-            sets = np.arange(1 << len(own))
-            kept = np.zeros((len(sets), LONGEST), bool)
+        self.own = [np.unique(row[row != PAD]) for row in self.rows]
+        self.places = [np.searchsorted(self.alphabet, own) for own in self.own]
+        self.possible: list[dict[int, bool]] = [{} for _ in marks]
+
+    def may_match(self, j: int, held: np.ndarray) -> np.ndarray:
+        """Whether strings that hold these sets of landmark j's characters (one bit each) can reach CUT."""
+        kinds, place = np.unique(held, return_inverse=True)
+        known, row, own = self.possible[j], self.rows[j], self.own[j]
+        if fresh := [k for k in kinds.tolist() if k not in known]:
+            sets, kept = np.array(fresh, np.int64), np.zeros((len(fresh), LONGEST), bool)
             for bit, c in enumerate(own):
                 kept |= ((sets >> bit) & 1 == 1)[:, None] & (row == c)[None, :]
             # Characters outside the set become two different ones on the two sides, so they match nothing.
-            share = kernel(np.where(kept | (row == PAD), row, 0x110000).astype(np.uint32), np.where(kept | (row == PAD), row, 0x110001).astype(np.uint32)) / norm
-            self.places.append(np.searchsorted(self.alphabet, own))
-            self.possible.append(share >= 0.999 * CUT**2)
+            share = kernel(np.where(kept | (row == PAD), row, 0x110000).astype(np.uint32), np.where(kept | (row == PAD), row, 0x110001).astype(np.uint32)) / self.norm[j]
+            known.update(zip(fresh, (share >= 0.999 * CUT**2).tolist()))
+        return np.array([known[k] for k in kinds.tolist()], bool)[place]
 
     def similar(self, words: Sequence[str]) -> np.ndarray:
         """Normalised kernel (CUT to 1, or 0) of each word with each landmark."""
         out, rows = np.zeros((len(words), len(self.rows))), codes(words)
+        if not len(rows):
+            return out
         turn = np.argsort((rows != PAD).sum(axis=1), kind="stable")  # like lengths together: tables no wider than needed
         rows = rows[turn]
-        # Which characters of the landmarks' alphabet each word holds, one bit each; then, for each landmark, its own bits.
-        bits = np.zeros(0x110000 if len(rows) else 1, np.int64)
-        bits[self.alphabet] = 1 << np.arange(len(self.alphabet))
-        holds = np.bitwise_or.reduce(bits[rows], axis=1) if len(rows) else np.zeros(0, np.int64)
+        # Which characters of the landmarks' alphabet each word holds, a column each; then, for each landmark, its own as bits.
+        column = np.full(0x110000, len(self.alphabet))
+        column[self.alphabet] = np.arange(len(self.alphabet))
+        holds = np.zeros((len(rows), len(self.alphabet) + 1), bool)
+        holds[np.arange(len(rows))[:, None], column[rows]] = True
         own = np.zeros(len(rows))
-        for j, (places, possible) in enumerate(zip(self.places, self.possible)):
-            held = np.zeros(len(rows), np.int64)
-            for k, place in enumerate(places.tolist()):
-                held |= ((holds >> place) & 1) << k
-            at = np.flatnonzero(possible[held])
+        for j, places in enumerate(self.places):
+            held = holds[:, places] @ (np.int64(1) << np.arange(len(places)))
+            at = np.flatnonzero(self.may_match(j, held))
             fresh = at[own[at] == 0]
             own[fresh] = kernel(rows[fresh], rows[fresh])
             scale = np.sqrt(own[at] * self.norm[j])

@@ -23,8 +23,8 @@ EXCLUDED = r"(?i)^(?:REVISION HISTORY|REVISION TABLE|TABLE OF CONTENTS|IMPORTANT
 FRONT = "(封面與前言)"
 #: Shares of the body's height and points above it that make small print and headings; part of the width that headings start in.
 MINOR, BIGGER, LEFT = 0.9, 0.8, 0.3
-#: Line distances, in heights, within a title and a paragraph; points that a line ends short of the others; lines of a title.
-TITLE_STEP, STEP, SHORT, TITLE_LINES = 1.9, 2.4, 35.0, 16
+#: Line distances, in heights, within a title and a paragraph; points that a line ends short of the others.
+TITLE_STEP, STEP, SHORT = 1.9, 2.4, 35.0
 
 
 def body_height(segments: DataFrame, doc: Sequence[str]) -> DataFrame:
@@ -34,9 +34,13 @@ def body_height(segments: DataFrame, doc: Sequence[str]) -> DataFrame:
 
 
 def in_reading_order(segments: DataFrame, doc: Sequence[str]) -> DataFrame:
-    """Segments (page, width, x0, x1, y, h, text) of a size with the body or larger, numbered through the document as `seq`."""
+    """Segments (page, width, x0, x1, y, h, text) of a size with the body or larger, numbered through the document as `seq`.
+
+    `edge` is how far right any of them on the same half of the page reaches, headings too.
+    """
     sized = segments.join(body_height(segments, doc).withColumnRenamed("h", "body"), list(doc)).filter(F.col("h") >= F.col("body") * MINOR)
     read = seq.reading_order(sized, [*doc, "page"], "x0", "y", F.col("width") / 2)
+    read = read.withColumn("edge", F.max("x1").over(Window.partitionBy(*doc, "page", F.col("x0") >= F.col("width") / 2 - 5)))
     return read.withColumn("seq", F.row_number().over(Window.partitionBy(*doc).orderBy("page", "reading"))).drop("reading")
 
 
@@ -57,11 +61,14 @@ def headings(segments: DataFrame, entries: DataFrame, doc: Sequence[str]) -> Dat
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("_starts", starts).withColumn("section", F.sum(F.col("_starts").cast("long")).over(run))
     inside = Window.partitionBy(*doc, "section").orderBy("seq")
-    lines = lines.withColumns({"_k": F.row_number().over(inside) - 1, "_head": F.first(F.when(F.col("_starts"), F.struct("page", "h", "_listed")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-                               "_so_far": F.array_join(F.collect_list(F.when(F.col("_starts"), F.col("_rest")).otherwise(F.col("text"))).over(inside.rowsBetween(1 - TITLE_LINES, 0)), " "), "_above": F.lag("y").over(inside)})
-    more = F.when(F.col("_head._listed").isNotNull(), F.startswith(F.col("_head._listed"), title_key(F.col("_so_far")))).otherwise(big)
-    goes_on = F.col("_starts") | (F.col("_head").isNotNull() & (F.col("_k") < TITLE_LINES) & (F.col("page") == F.col("_head.page")) & more & ~F.col("text").rlike(HEADING) & (F.col("y") - F.col("_above") < F.col("_head.h") * TITLE_STEP))
-    lines = lines.withColumn("_on", F.min(F.coalesce(goes_on, F.lit(False)).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumns({"_k": F.row_number().over(inside) - 1, "_head": F.first(F.when(F.col("_starts"), F.struct("page", "h", "_listed")), ignorenulls=True).over(so_far), "_above": F.lag("y").over(inside)})
+    # Lines that may belong to the title follow the heading closely on its page; only those are put together, however many.
+    close = (F.col("page") == F.col("_head.page")) & ~F.col("text").rlike(HEADING) & (F.col("y") - F.col("_above") < F.col("_head.h") * TITLE_STEP) & (big | F.col("_head._listed").isNotNull())
+    lines = lines.withColumn("_near", F.min(F.coalesce(F.col("_starts") | close, F.lit(False)).cast("int")).over(so_far) == 1)
+    lines = lines.withColumn("_so_far", F.when(F.col("_near"), F.array_join(F.collect_list(F.when(F.col("_near"), F.when(F.col("_starts"), F.col("_rest")).otherwise(F.col("text")))).over(so_far), " ")))
+    more = F.col("_head._listed").isNull() | F.startswith(F.col("_head._listed"), title_key(F.col("_so_far")))
+    lines = lines.withColumn("_on", F.min(F.coalesce(F.col("_starts") | (F.col("_near") & more), F.lit(False)).cast("int")).over(so_far) == 1)
     lines = lines.withColumn("absorbed", F.col("_on") & ~F.col("_starts"))
     title = F.max(F.when(F.col("_on") & (F.col("section") > 0), F.struct("_k", "_so_far"))).over(Window.partitionBy(*doc, "section"))
     return lines.withColumns({"number": F.when(F.col("_starts"), F.col("_number")), "title": F.when(F.col("_starts"), F.trim(F.regexp_replace(title["_so_far"], BLANK + "+", " ")))}).select(*segments.columns, "section", "number", "title", "absorbed")
@@ -87,12 +94,10 @@ def paragraphs(lines: DataFrame, doc: Sequence[str]) -> DataFrame:
     line that ends one, after a wide gap, and where a column begins.
     """
     caption, entry = F.col("text").rlike(CAPTION), F.col("text").rlike(LIST_START)
-    right = F.max("x1").over(Window.partitionBy(*doc, "page", "_right"))
-    lines = lines.withColumn("_right", F.col("x0") >= F.col("width") / 2 - 5).withColumn("_edge", right)
     w = Window.partitionBy(*doc, "section").orderBy("seq")
-    last = F.lag(F.struct("page", "y", "x1", "_edge", "text")).over(w)
+    last = F.lag(F.struct("page", "y", "x1", "edge", "text")).over(w)
     lines = lines.withColumns({"kind": F.when(caption, "caption").when(entry, "list").otherwise("text"), "_last": last}).withColumn("_before", F.lag("kind").over(w))
-    ended = (F.col("_last.x1") < F.col("_last._edge") - SHORT) & F.col("_last.text").rlike("[.:!?]$")
+    ended = (F.col("_last.x1") < F.col("_last.edge") - SHORT) & F.col("_last.text").rlike("[.:!?]$")
     same_page = ended | (F.col("y") - F.col("_last.y") > F.col("h") * STEP) | (F.col("y") < F.col("_last.y"))
     fresh = F.col("_last").isNull() | (F.col("kind") != "text") | (F.col("_before") == "caption") | F.when(F.col("_last.page") != F.col("page"), ends_sentence(F.col("_last.text"))).otherwise(same_page)
     numbered = lines.withColumn("paragraph", F.sum(fresh.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))

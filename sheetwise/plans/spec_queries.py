@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheetwise.operators import compare, consolidate, specs, tables
+from sheetwise.operators import compare, consolidate, reads, specs, tables
 from sheetwise.plans.text_queries import table
 
 QUERIES, ORACLES = {}, {}
@@ -248,3 +248,67 @@ def q_supplemented_reads(spark, sf_dir):
     groups = docs.select("doc", F.explode(F.array(*made)).alias("g")).select("doc", "g.*")
     got = specs.supplemented_reads(found, sets, groups, docs.withColumns({"page": F.lit(1), "text": F.lit("")}), ["doc"])
     return got.select("doc", "command_id", "product", "opcode", "origin", "setting", "max", "kind", "reason")
+
+
+def public_rows(df, doc, **given):
+    """Specification rows with the given columns, the others blank."""
+    kinds = {"ord": "bigint", "page": "int", "command_id": "bigint"}
+    names = ("ord", "product", "spec_type", "parameter", "symbol", "max", "typ", "min", "unit", "condition", "description", "page", "section", "start", "opcode", "mode", "io", "setting", "dummy", "commands", "command_id")
+    blank = lambda c: F.lit("") if c in ("max", "typ", "min", "unit", "symbol", "condition", "description") else F.lit(None)
+    return df.select(doc, *[given.get(c, blank(c)).cast(kinds.get(c, "string")).alias(c) for c in names])
+
+
+def group_rows(docs, doc, groups):
+    made = [F.struct(*[F.lit(v).alias(k) for k, v in zip(("ord", "product", "parameter", "max", "condition"), g)]) for g in groups]
+    each = docs.select(doc, F.explode(F.array(*made)).alias("g")).select(doc, "g.*")
+    return public_rows(each, doc, spec_type=F.lit("AC"), unit=F.lit("MHz"), page=F.lit(90), symbol=F.lit("FR"), **{c: F.col(c) for c in ("ord", "product", "parameter", "max", "condition")})
+
+
+def of_products(commands, doc, products, mode):
+    each = commands.select("*", F.posexplode(F.array(*map(F.lit, products))).alias("k", "product"))
+    condition = F.concat(F.lit("opcode="), "opcode", F.lit("; IO="), "mode")
+    return public_rows(each, doc, ord=10 + len(products) * F.col("command_id") + F.col("k"), product=F.col("product"), spec_type=F.lit("Command"), parameter=F.col("command"), condition=condition, page=F.lit(5), opcode=F.col("opcode"), mode=mode, io=F.col("mode"), command_id=F.col("command_id"))
+
+
+#: A customer's orders are instructions, some of them settings too; one product has both read groups, the other one of them.
+@query("""WITH c AS (SELECT o_custkey AS doc, o_orderkey AS id, o_orderkey % 6 AS code, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AS free FROM orders),
+g AS (SELECT * FROM (VALUES ('P1', 'except', 133, 1), ('P1', 'read-data', 50, 2), ('P2', 'read-data', 50, 3)) t(product, kind, max, ord)), s AS (SELECT doc, id AS cfg, id % 12 AS code, id % 90 AS max FROM c WHERE id % 4 = 1),
+r AS (SELECT c.*, product, 10 + 2 * id + k AS ord, CASE WHEN code = 3 THEN 'read-data' ELSE 'except' END AS kind FROM c, (VALUES ('P1', 0), ('P2', 1)) p(product, k)),
+x AS (SELECT r.*, '0' || r.code || 'h' AS opcode, 'opcode=0' || r.code || 'h; IO=1-1-1' AS condition, free AND g.kind IS NOT NULL AS fits, g.max AS limit_, EXISTS (SELECT 1 FROM s WHERE s.doc = r.doc AND s.code = r.code) AS told, doc % 5 = 0 AND r.code = 2 AS unread FROM r LEFT JOIN g ON g.product = r.product AND g.kind = r.kind)
+SELECT x.doc, ord, product, 'AC' AS spec_type, opcode, s.max || '.0' AS max, 'parameter-table' AS origin, kind AS read_group, 'P0 = ' || cfg AS setting, condition || '; P0 = ' || cfg || '; Dummy=8' AS condition, NULL AS status FROM x JOIN s ON x.doc = s.doc AND x.code = s.code WHERE fits
+UNION ALL SELECT doc, ord, product, 'AC', opcode, limit_::VARCHAR, 'read-group', kind, NULL, condition, NULL FROM x WHERE fits AND NOT told AND NOT unread
+UNION ALL SELECT doc, ord, product, 'Command', opcode, '', NULL, NULL, NULL, condition, NULL FROM x WHERE NOT fits OR (NOT told AND unread)
+UNION ALL SELECT doc, ord, product, 'AC', NULL, max::VARCHAR, NULL, kind, NULL, '', NULL FROM (SELECT DISTINCT doc FROM c), g
+UNION ALL SELECT doc, 1152921504606846976, product, 'AC', o, s.max || '.0', 'parameter-table', kind, 'P0 = ' || cfg, 'opcode=' || o || '; SPI; P0 = ' || cfg || '; Dummy=8', 'review'
+  FROM (SELECT *, '0' || upper(to_base(code, 16)) || 'h' AS o FROM s) s JOIN g ON g.kind = CASE WHEN code = 3 THEN 'read-data' ELSE 'except' END WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc = s.doc AND c.code = s.code)""")
+def q_read_rows(spark, sf_dir):
+    n = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    code = lambda k: F.concat(F.lit("0"), F.hex(k), F.lit("h"))
+    commands = orders.select(F.col("o_custkey").alias("doc"), n.alias("command_id"), F.when(n % 5 == 0, "Set Read Parameters").otherwise("Fast Read").alias("command"), code(n % 6).alias("opcode"), F.lit("1-1-1").alias("mode"), F.lit("s").alias("section"), F.when(n % 7 == 0, "Any Address (MHz): X").otherwise("").alias("extra"))
+    docs = commands.select("doc").distinct()
+    groups = group_rows(docs, "doc", [(1, "P1", "Clock frequency except for Read Data (03h) & DTR instructions", "133", ""), (2, "P1", "Clock frequency for Read Data instruction (03h)", "50", ""), (3, "P2", "Clock frequency for Read Data instruction (03h)", "50", "")])
+    none = F.lit(None).cast("string")
+    sets = orders.filter(n % 4 == 1).select(F.col("o_custkey").alias("doc"), n.alias("config_id"), F.array(code(n % 12)).alias("codes"), F.lit("SPI").alias("mode"), F.concat(F.lit("P0 = "), n.cast("string")).alias("setting"), F.lit(8).alias("dummy"), (n % 90).cast("double").alias("max"), F.lit("").alias("start"), F.lit("").alias("note"), F.lit("raw").alias("raw"), F.lit(73).alias("page"), F.lit("s").alias("section"), none.alias("conflict"))
+    scopes = docs.filter("doc % 5 = 0").select("doc", F.array(F.lit("02h")).alias("codes"), F.lit("SPI").alias("mode"), F.lit(True).alias("unresolved"))
+    pages = docs.select("doc", F.lit(1).alias("page"), F.lit(1).alias("printed"), F.lit("").alias("text"))
+    rows = groups.unionByName(of_products(commands, "doc", ("P1", "P2"), F.lit("SPI")))
+    return reads.read_rows(rows, commands, sets, scopes, pages, ["doc"]).select("doc", "ord", "product", "spec_type", "opcode", "max", "origin", "read_group", "setting", "condition", "status")
+
+
+@query("""WITH c AS (SELECT o_custkey AS doc, o_orderkey AS id, o_orderkey % 5 AS code, o_orderkey % 4 AS m, o_orderkey % 3 > 0 AS reads FROM orders),
+v AS (SELECT id, '1-1-8（SDR）' AS io, 'SDR' AS rate FROM c WHERE m < 2 UNION ALL SELECT id, '8d-8d-8d', 'DDR' FROM c WHERE m > 0 UNION ALL SELECT id, '2-2-2', NULL FROM c WHERE m = 3),
+d AS (SELECT doc FROM c GROUP BY doc HAVING max(m) > 0), r AS (SELECT c.*, product, 10 + 3 * id + k AS ord, 'opcode=0' || code || 'h; IO=' AS cond, concat_ws('；', CASE WHEN m < 2 THEN '1-1-8（SDR）' END, CASE WHEN m > 0 THEN '8d-8d-8d' END, CASE WHEN m = 3 THEN '2-2-2' END) AS modes, doc IN (FROM d) AS octal FROM c, (VALUES ('P1', 0), ('P2', 1), ('P3', 2)) p(product, k)),
+x AS (SELECT r.*, io, rate, reads AND rate = CASE product WHEN 'P1' THEN 'SDR' ELSE 'DDR' END AS hit FROM r JOIN v ON r.id = v.id WHERE octal AND product <> 'P3')
+SELECT doc, ord, product, CASE WHEN hit THEN 'AC' ELSE 'Command' END AS spec_type, coalesce(rate, io) AS mode, io, CASE WHEN hit THEN CASE WHEN product = 'P2' THEN '200' WHEN code = 3 THEN '54' ELSE '166' END ELSE '' END AS max, CASE WHEN hit THEN 'octal-read-group' END AS origin,
+  cond || io || CASE WHEN hit THEN CASE WHEN product = 'P2' THEN '; ODDR; T' ELSE '; SDR' END ELSE '' END AS condition FROM x
+UNION ALL SELECT doc, ord, product, 'Command', 'SPI', modes, '', NULL, cond || modes FROM r WHERE NOT octal OR product = 'P3'
+UNION ALL SELECT doc, ord, product, 'AC', CASE WHEN doc IN (FROM d) THEN rate END, NULL, max, NULL, condition FROM (SELECT DISTINCT doc FROM c), (VALUES (1, 'P1', '54', 'SDR', 'SDR'), (2, 'P1', '166', 'SDR', 'SDR'), (3, 'P2', '200', 'ODDR; T', 'DDR')) g(ord, product, max, condition, rate)""")
+def q_octal_rows(spark, sf_dir):
+    n = F.col("o_orderkey")
+    mode = F.concat_ws("；", F.when(n % 4 < 2, "1-1-8（SDR）"), F.when(n % 4 > 0, "8d-8d-8d"), F.when(n % 4 == 3, "2-2-2"))
+    commands = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), n.alias("command_id"), F.when(n % 3 > 0, "Read Array").otherwise("Write Enable").alias("command"), F.concat(F.lit("0"), (n % 5).cast("string"), F.lit("h")).alias("opcode"), mode.alias("mode"), F.lit("s").alias("section"), F.lit("").alias("extra"))
+    docs = commands.select("doc").distinct()
+    groups = group_rows(docs, "doc", [(1, "P1", "Clock frequency for Read (03h/0Bh)", "54", "SDR"), (2, "P1", "Clock frequency except for Read", "166", "SDR"), (3, "P2", "Clock frequency except for Read", "200", "ODDR; T")])
+    rows = groups.unionByName(of_products(commands, "doc", ("P1", "P2", "P3"), F.lit("SPI")))
+    return reads.octal_reads(rows, commands, ["doc"]).select("doc", "ord", "product", "spec_type", "mode", "io", "max", "origin", "condition")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import text as t
@@ -230,3 +231,18 @@ def q_scoped_notes(spark, sf_dir):
     noted = table(spark, sf_dir, "events").filter("event_type = 'view'").select(F.lit(1).alias("doc"), F.col("user_id").alias("label"), (F.col("event_id") % 20).alias("page")).distinct()
     text = F.concat(F.lit("top\nNotes: page "), at, F.lit(". Factory mode: VCC range from 1."), at, F.lit("V  to 3V\n 9.2 Next\nNotes: no"))
     return doc.scoped_notes(rows, noted.withColumn("text", text), ["doc"]).select("o_orderkey", "notes", "condition")
+
+
+@query("""WITH e AS (SELECT user_id, event_id AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 4.0 AS y FROM events),
+i AS (SELECT user_id, n, (n % 97)::DOUBLE AS x, y FROM e WHERE n % 5 <> 0), b AS (SELECT user_id, (n % 90)::DOUBLE AS x0, y - 6 AS y0, CASE WHEN n % 15 = 0 THEN 200.0 ELSE n % 90 + 30 END AS x1, y + 30 AS y1 FROM e WHERE n % 5 = 0),
+h AS (SELECT i.*, x0, x1 > 105 OR y1 > 605 AS beyond FROM i JOIN b ON i.user_id = b.user_id AND x + 2 BETWEEN x0 - 1 AND x1 + 1 AND i.y BETWEEN y0 - 1 AND y1 + 1)
+SELECT n FROM i WHERE n % 8 = 0 OR n NOT IN (SELECT n FROM h WHERE NOT (beyond AND x < x0 - 1))""")
+def q_prose_items(spark, sf_dir):
+    """Every line is one item; every fifth is a box instead, and every third box reaches beyond its page. Every eighth line is in the contents."""
+    n = F.col("n")
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("n"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) * 4.0).alias("y"))
+    d = lambda c: c.cast("double")
+    items = rows.filter(n % 5 != 0).select("user_id", "n", d(n % 97).alias("x"), d(F.col("y")).alias("y"), F.lit(4.0).alias("width"), F.lit(5.0).alias("height"), F.when(n % 4 == 0, F.concat(F.lit("3.7 Title of "), n.cast("string"), F.lit(" lines"))).otherwise("words").alias("text"), F.lit(100.0).alias("page_width"), F.lit(600.0).alias("page_height"))
+    boxes = rows.filter(n % 5 == 0).select("user_id", d(n % 90).alias("x0"), d(F.col("y") - 6).alias("y0"), d(F.when(n % 15 == 0, 200).otherwise(n % 90 + 30)).alias("x1"), d(F.col("y") + 30).alias("y1"))
+    entries = rows.filter(n % 8 == 0).select("user_id", F.lit("3.7").alias("number"), F.concat(F.lit("Title of "), n.cast("string"), F.lit(" lines")).alias("title"))
+    return layout.prose_items(items, boxes, entries, ["user_id"], ["user_id"]).select("n")

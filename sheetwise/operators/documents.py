@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.functions.text import END, START, clean, ends_sentence, join_wrapped, product_tokens, split_sentences, strip_notes, title_key, unwrap
+from sheetwise.functions.text import BLANK, END, START, clean, ends_sentence, join_wrapped, product_tokens, split_sentences, strip_notes, title_key, unwrap
 
 LEADER = r"\.{6,}|(?:\.\s){5,}"
 #: Contents lines that make a page a contents page; length from which paragraphs no longer join.
@@ -41,19 +41,22 @@ def footer_key(text: Column) -> Column:
 def without_footers(lines: DataFrame, doc: Sequence[str], y: str, height: str, text: str = "text", page: str | None = None) -> DataFrame:
     """Lines of the body: inside the band, and low ones only if no footer seen in the document reads the same.
 
-    With `page`, footers are learned in page order: those of later pages say nothing about earlier ones.
+    With `page`, footers are learned in page order: those of later pages say nothing about earlier ones. On a page that
+    has such a low footer, low lines of digits and dashes alone go with it.
     """
     share = F.col(y) / F.col(height)
     since = F.min(F.col(page) if page else F.lit(0)).alias("_since")
     footers = lines.filter(share >= 0.92).groupBy(*doc, footer_key(F.col(text)).alias("_f")).agg(since)
     body = lines.filter((share > 0.09) & (share < 0.92)).withColumn("_f", F.when(share > 0.8, footer_key(F.col(text))))
-    known = body.join(footers, [*doc, "_f"], "left")
-    return known.filter(F.col("_since").isNull() | (F.col("_since") > (F.col(page) if page else F.lit(0)))).drop("_f", "_since")
+    known = body.join(footers, [*doc, "_f"], "left").withColumn("_is", F.col("_since").isNotNull() & (F.col("_since") <= (F.col(page) if page else F.lit(0))))
+    bare = F.col("_f").isNotNull() & F.col(text).rlike(rf"^(?:-|\d|{BLANK})+$") & F.max("_is").over(Window.partitionBy(*doc, page)) if page else F.lit(False)
+    return known.withColumn("_bare", bare).filter(~F.col("_is") & ~F.col("_bare")).drop("_f", "_since", "_is", "_bare")
 
 
-def printed_page(page: Column, footer: Column) -> Column:
-    """The number that a footer `- 14 -` prints, or the page's own."""
-    return F.coalesce(F.regexp_extract(footer, r"(?:^|\s)-\s*(\d+)\s*-", 1).try_cast("int"), page)
+def printed_page(page: Column, footer: Column, loose: bool = False) -> Column:
+    """The number that a footer `- 14 -` prints, or the page's own; with `loose` also the first number before other text."""
+    forms = [r"(?:^|\s)-\s*(\d+)\s*-"] + ([r"(?:^|\s)(\d+)\s+\D"] if loose else [])
+    return F.coalesce(*[F.regexp_extract(footer, form, 1).try_cast("int") for form in forms], page)
 
 
 def notes_for(rows: DataFrame, notes: DataFrame, keys: Sequence[str], page: str, note_page: str) -> DataFrame:

@@ -162,6 +162,18 @@ def test_glued_abbreviations(spark):
     assert value(spark, t.split_sentences(F.lit("see Fig.Ab for it.Then go"))) == ["see Fig.Ab for it.", "Then go"]
 
 
+def test_sentences_keep_their_digits(spark):
+    assert value(spark, t.split_sentences(F.lit("0 of 10. Then 1 of 11.  And 2 of 20"))) == ["0 of 10.", "Then 1 of 11.", "And 2 of 20"]
+
+
+def test_bare_numbers_beside_footers(spark):
+    """Digits alone go where a known footer stands low on the same page, and stay elsewhere."""
+    rows = [(1, 1, 95.0, "Page 1"), (1, 2, 85.0, "Page 2"), (1, 2, 86.0, "- 2"), (1, 3, 86.0, "3"), (1, 3, 50.0, "44")]
+    lines = spark.createDataFrame(rows, "doc int, page int, y double, text string").withColumn("height", F.lit(100.0))
+    assert sorted(r["text"] for r in doc.without_footers(lines, ["doc"], "y", "height", page="page").collect()) == ["3", "44"]
+    assert value(spark, doc.printed_page(F.lit(7), F.lit("Rev 3 of this"), loose=True)) == 3 and value(spark, doc.printed_page(F.lit(7), F.lit("Rev 3 of this"))) == 7
+
+
 def test_footers_in_page_order(spark):
     lines = spark.createDataFrame([(1, 1, 85.0, "Page 1"), (1, 2, 95.0, "Page 2"), (1, 3, 85.0, "Page 3")], "doc int, page int, y double, text string").withColumn("height", F.lit(100.0))
     ordered, all_pages = (sorted(r["page"] for r in doc.without_footers(lines, ["doc"], "y", "height", page=p).collect()) for p in ("page", None))

@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read back, for plans that use one result many times.
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder that the cluster names; in local mode a temporary one stands in where none is set.
 
-    In local mode a temporary folder stands in where none is set. Files stay until that folder is cleared.
+    Files stay until that folder is cleared.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-cuts-")
-    path = f"{base.rstrip('/')}/sheetwise-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/sheetwise-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back, for plans that use one result many times."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

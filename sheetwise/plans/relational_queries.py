@@ -15,7 +15,9 @@ from sheetwise.operators import geometry
 from sheetwise.operators import narrative as nar
 from sheetwise.operators import ordered as seq
 from sheetwise.plans.text_queries import table
-from sheetwise.sources import items, workbook
+from sheetwise.operators.cuts import scratch
+from sheetwise.operators.paging import PageIndex
+from sheetwise.sources import items, markdown, workbook
 
 QUERIES, ORACLES = {}, {}
 
@@ -265,6 +267,14 @@ def q_page_slice(spark, sf_dir):
     return seq.page(table(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_partkey"], 2)
 
 
+@query("""WITH n AS (SELECT count(*) AS n FROM orders), r AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS k FROM orders)
+SELECT 'third' AS page, o_orderkey, o_custkey FROM r WHERE k BETWEEN 120 AND 179 UNION ALL SELECT 'beyond', o_orderkey, o_custkey FROM r, n WHERE k >= (n + 59) // 60 * 60 - 60 UNION ALL SELECT 'before', o_orderkey, o_custkey FROM r WHERE k < 60""")
+def q_indexed_pages(spark, sf_dir):
+    index = PageIndex.of(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"])
+    pages = [index.page(n).select(F.lit(name).alias("page"), "o_orderkey", "o_custkey") for name, n in (("third", 2), ("beyond", 10**9), ("before", -1))]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 @query("""WITH s AS (SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'changed' WHEN '2-HIGH' THEN 'part' WHEN '3-MEDIUM' THEN 'added' WHEN '4-NOT SPECIFIED' THEN 'removed' ELSE 'same' END AS s FROM orders)
 SELECT o_custkey, count(*) FILTER (WHERE s = 'same') AS same, count(*) FILTER (WHERE s = 'part') AS part, count(*) FILTER (WHERE s = 'changed') AS changed, count(*) FILTER (WHERE s = 'added') AS added, count(*) FILTER (WHERE s = 'removed') AS removed,
   CASE WHEN bool_or(s IN ('changed', 'added', 'removed')) THEN 'changed' WHEN bool_or(s = 'part') THEN 'part' ELSE 'same' END AS status FROM s GROUP BY 1""")
@@ -309,6 +319,23 @@ def q_markdown_export(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.concat(workbook.heading(F.lit(1), title), F.lit("\n\n"), F.array_join(F.transform(paragraphs, lambda p: F.concat(F.lit("- "), p)), "\n\n")).alias("md"))
 
 
+@query(r"""WITH p AS (SELECT page_id % 25 AS doc, page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS ps FROM pages),
+x AS (SELECT doc, page_id, chr(10) || '###' || repeat('#', (page_id % 2)::INT) || ' 1.' || CASE WHEN page_id % 2 = 1 THEN '2.' ELSE '' END || page_id || CASE WHEN title = '' THEN '' ELSE ' ' || title END || chr(10) ||
+  array_to_string(list_transform(ps, lambda t, i: chr(10) || CASE WHEN i % 3 > 0 THEN '<!-- PDF page ' || i || CASE WHEN i % 3 = 2 THEN '–' || (i + 1) ELSE '' END || ' -->' || chr(10) ELSE '' END || CASE WHEN i % 2 = 0 AND NOT regexp_matches(t, '^[-*•●]') THEN '- ' ELSE '' END || t || chr(10)), '') AS md FROM p)
+SELECT doc, '# doc-' || doc || chr(10) || chr(10) || '> Page ranges are places in the source, not differences in meaning.' || chr(10) || string_agg(md, '' ORDER BY page_id) AS content FROM x GROUP BY doc""")
+def q_markdown_documents(spark, sf_dir):
+    """Each document is written as a file of its own and read back."""
+    n = F.col("page_id")
+    own = table(spark, sf_dir, "pages").select((n % 25).alias("doc"), n.alias("section"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1)).alias("ps"))
+    sections = own.select("doc", F.concat(F.lit("doc-"), F.col("doc").cast("string")).alias("name"), "section", F.concat(F.lit("1."), F.when(F.col("section") % 2 == 1, "2.").otherwise(""), F.col("section").cast("string")).alias("number"), "title")
+    i = F.col("paragraph")
+    paragraphs = own.select("doc", "section", F.posexplode("ps").alias("k", "text")).withColumn("paragraph", F.col("k") + 1)
+    paragraphs = paragraphs.select("doc", "section", "paragraph", F.lit(0).alias("sentence"), F.when(i % 2 == 0, "list").otherwise("text").alias("kind"), "text", F.when(i % 3 > 0, i).cast("int").alias("page"), F.when(i % 3 > 0, F.when(i % 3 == 2, i + 1).otherwise(i)).cast("int").alias("end_page"))
+    path = scratch(spark)
+    markdown.write_documents(markdown.document_lines(sections, paragraphs, "doc"), "doc", path)
+    return markdown.read_documents(spark, path, "doc")
+
+
 @query("""SELECT n_nationkey AS page, (c.r * (n_nationkey % 4 + 2) + c.k)::BIGINT AS cell_no, 0::BIGINT AS table_no, c.k * 50.0 AS x0, c.r * 20.0 AS y0, (c.k + 1) * 50.0 AS x1, (c.r + 1) * 20.0 AS y1
 FROM nation, (SELECT a.range AS r, b.range AS k FROM range(3) a, range(5) b) c WHERE c.k < n_nationkey % 4 + 2""")
 def q_grid_cells(spark, sf_dir):

@@ -110,6 +110,14 @@ def status_counts(rows: DataFrame) -> DataFrame:
         *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("changed", "added", "removed", "review", "unchanged")])
 
 
+def report_counts(rows: DataFrame, reviews: DataFrame, by: Sequence[str], product: str = "product") -> DataFrame:
+    """(by, rows that still exist, products, changed, added, removed, items for review): the figures above a comparison."""
+    status = lambda s: F.count_if(F.col("status") == s)
+    counted = rows.groupBy(*by).agg(F.count_if(F.col("status") != "removed").alias("n_rows"), F.count_distinct(F.when(F.col("status") != "removed", F.col(product))).alias("n_products"), *[status(s).alias(f"n_{s}") for s in ("changed", "added", "removed")])
+    items = reviews.groupBy(*by).agg(F.count("*").alias("n_review"))
+    return counted.join(items, list(by), "left").withColumn("n_review", F.coalesce("n_review", F.lit(0)))
+
+
 def fold_pairs(rows: DataFrame, keys: Sequence[str], variant: str, order: str, merged: str = "Aligned/Any") -> DataFrame:
     """Two rows that agree in `keys` and differ in `variant` become one, with variant `merged`, in the first's place.
 

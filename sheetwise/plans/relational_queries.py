@@ -286,6 +286,40 @@ def q_section_counts(spark, sf_dir):
     return rows.groupBy("o_custkey").agg(*counts, F.collect_set("s").alias("all")).withColumn("status", nar.section_status(F.lit(True), F.lit(True), F.col("all"), F.lit(False), F.lit(False))).drop("all")
 
 
+#: Titles of a customer's section pair: without an old one, without a new one, alike, changed, of another part.
+SQL_RESULTS = """s AS (SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'same' WHEN '2-HIGH' THEN 'part' WHEN '3-MEDIUM' THEN CASE WHEN o_custkey % 4 = 0 THEN 'changed' ELSE 'same' END ELSE 'same' END AS s FROM orders),
+n AS (SELECT c_custkey, c_nationkey, c_custkey % 5 AS k, count(*) FILTER (WHERE s = 'same') AS same, count(*) FILTER (WHERE s = 'part') AS part, count(*) FILTER (WHERE s = 'changed') AS changed FROM customer LEFT JOIN s ON c_custkey = o_custkey GROUP BY ALL),
+r AS (SELECT *, CASE WHEN k = 0 THEN 'added' WHEN k = 1 THEN 'removed' WHEN changed > 0 OR k = 3 THEN 'changed' WHEN part > 0 OR k = 4 THEN 'part' ELSE 'same' END AS status FROM n)"""
+
+
+def section_results(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey") % 5
+    pairs = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.when(k == 0, None).when(k == 3, "Read Mode").when(k == 4, "W25Q16JV Guide").otherwise("Same title").alias("old_title"),
+                                                    F.when(k == 1, None).when(k == 3, "Write Mode").when(k == 4, "W25Q32JV Guide").otherwise("Same  title").alias("new_title"))
+    p = F.substr("o_orderpriority", F.lit(1), F.lit(1))
+    status = F.when(p == "2", "part").when((p == "3") & (F.col("o_custkey") % 4 == 0), "changed").otherwise("same")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), status.alias("status")).join(pairs.select("c_nationkey", "c_custkey"), "c_custkey")
+    return nar.section_results(pairs, rows, ["c_nationkey", "c_custkey"])
+
+
+@query(f"WITH {SQL_RESULTS} SELECT c_custkey, same, part, changed, CASE k WHEN 3 THEN 'Read |Write Mode' WHEN 4 THEN 'part' END AS title, status FROM r")
+def q_section_results(spark, sf_dir):
+    title = F.when(F.exists("title_chunks", lambda c: c["t"] == "part"), "part").otherwise(F.array_join(F.transform("title_chunks", lambda c: F.concat(c["v"], F.when(c["t"] == "del", "|").otherwise(""))), ""))
+    return section_results(spark, sf_dir).select("c_custkey", "same", "part", "changed", title.alias("title"), "status")
+
+
+@query(f"WITH {SQL_RESULTS} SELECT c_nationkey, {', '.join(f'''count(*) FILTER (WHERE status = '{s}') AS {s}''' for s in ('same', 'part', 'changed', 'added', 'removed'))} FROM r GROUP BY c_nationkey")
+def q_section_overview(spark, sf_dir):
+    return nar.section_overview(section_results(spark, sf_dir), ["c_nationkey"])
+
+
+@query(f"""WITH {SQL_COMPARE}, b AS (SELECT c.*, part.p_brand FROM c JOIN part ON c.p_partkey = part.p_partkey), v AS (SELECT p_brand, count(*) AS n_review FROM o WHERE EXISTS (SELECT 1 FROM j WHERE j.status = 'review' AND j.k1 = o.k1 AND j.k2 = o.k2 AND j.k3 = o.k3) GROUP BY p_brand)
+SELECT b.p_brand, count(*) FILTER (WHERE status <> 'removed') AS n_rows, count(DISTINCT CASE WHEN status <> 'removed' THEN p_partkey END) AS n_products, {', '.join(f'''count(*) FILTER (WHERE status = '{s}') AS n_{s}''' for s in ('changed', 'added', 'removed'))}, coalesce(max(n_review), 0) AS n_review FROM b LEFT JOIN v ON b.p_brand = v.p_brand GROUP BY b.p_brand""")
+def q_report_counts(spark, sf_dir):
+    found = compared(spark, sf_dir)
+    return cmp.report_counts(found.rows, found.candidates, ["p_brand"], product="p_partkey")
+
+
 def near_copies(spark, sf_dir) -> DataFrame:
     """Each document with the one before that begins with the same words, as a new and an old revision: copies and edited copies."""
     docs = table(spark, sf_dir, "documents").withColumn("begins", F.slice(F.split("text", " "), 1, 4))

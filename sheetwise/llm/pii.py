@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import stored
+from sheetwise.llm.common import join_counted, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words of a context on either side of an entity.
@@ -149,7 +149,10 @@ def disclosures(docs: DataFrame, support: int = SUPPORT, generalise: float = GEN
     seen = stored(docs.select("text").mapInPandas(windows, "entity long, context long, terms array<string>").dropDuplicates(["entity", "context"]))
     of_entity = seen.groupBy("entity").agg(F.count("*").alias("n_e"))
     shared = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    candidates = stored(shared.join(of_entity, "entity").withColumn("number", F.xxhash64("term")))
+    # The entities that stand for all values of a kind, or for any value, meet most terms: their figures are broadcast.
+    shared = stored(shared)
+    figures = shared.groupBy("entity").agg(F.count("*").alias("size")).join(of_entity, "entity")
+    candidates = stored(join_counted(shared, figures, "entity", "size", shared.count(), "inner").withColumn("number", F.xxhash64("term")))
     total, tried = docs.select(digest(F.col("text"))).distinct().count(), candidates.count()
     measured = candidates.join(term_counts(docs, candidates), "number")
     # A term can't share more texts with an entity than it has: repeats within a text are set aside.

@@ -341,7 +341,18 @@ def q_paragraph_align(spark, sf_dir):
     return nar.aligned_paragraphs(side("new", 0).unionByName(side("old", 1)), ["pair"]).select("pair", "position", "status", "old_text", "new_text")
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT page_id % 20 AS doc, page_id % 40 < 20 AS old, row_number() OVER (PARTITION BY page_id % 20, page_id % 40 < 20 ORDER BY page_id) - 1 AS idx, lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS title FROM pages),
+k AS (SELECT *, regexp_replace(title, '[^a-z0-9]+', '', 'g') AS key, list_distinct(regexp_extract_all(title, '[a-z0-9]+')) AS w, row_number() OVER (PARTITION BY doc, old, regexp_replace(title, '[^a-z0-9]+', '', 'g') ORDER BY idx) AS r FROM t),
+s AS (SELECT n.doc, n.idx AS n, o.idx AS o FROM k n JOIN k o ON n.doc = o.doc AND n.key = o.key AND n.r = o.r WHERE o.old AND NOT n.old),
+f AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc = k.doc AND CASE WHEN k.old THEN s.o ELSE s.n END = k.idx)),
+c AS (SELECT a.doc, a.idx AS n, b.idx AS o, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) END AS likeness FROM f a JOIN f b ON a.doc = b.doc WHERE b.old AND NOT a.old),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY likeness DESC, n, o) AS pos FROM c WHERE likeness >= 0.6),
+g AS (SELECT DISTINCT doc, 0::BIGINT AS pos, []::BIGINT[] AS ns, []::BIGINT[] AS os FROM q
+  UNION ALL SELECT g.doc, q.pos, CASE WHEN list_contains(ns, q.n) OR list_contains(os, q.o) THEN ns ELSE list_append(ns, q.n) END, CASE WHEN list_contains(ns, q.n) OR list_contains(os, q.o) THEN os ELSE list_append(os, q.o) END FROM g JOIN q ON g.doc = q.doc AND q.pos = g.pos + 1),
+m AS (SELECT doc, unnest(ns) AS n, unnest(os) AS o FROM (SELECT doc, arg_max(ns, pos) AS ns, arg_max(os, pos) AS os FROM g GROUP BY doc)),
+a AS (SELECT * FROM s UNION ALL SELECT * FROM m)
+SELECT k.doc, k.idx AS new_idx, a.o AS old_idx FROM k LEFT JOIN a ON k.doc = a.doc AND k.idx = a.n WHERE NOT k.old
+UNION ALL SELECT k.doc, NULL, k.idx FROM k WHERE k.old AND NOT EXISTS (SELECT 1 FROM a WHERE a.doc = k.doc AND a.o = k.idx)""")
 def q_section_pair(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("doc"), F.when(F.col("page_id") % 40 < 20, "old").otherwise("new").alias("side"), F.col("page_id").alias("ord"), F.lit("").alias("number"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
     return nar.paired_sections(p, ["doc"])

@@ -48,7 +48,7 @@ MADE = 0.1
 #: Sentences that a text's score rests on.
 TOP = 3
 #: Words that a task remembers the features of, at most twice as many; strings that are compared at once.
-MEMORY, TOGETHER = 60_000, 4096
+MEMORY, TOGETHER = 200_000, 4096
 
 SENTENCE = re.compile(r"(?<=[.!?;:|])\s+|\n+")
 SINGLES = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
@@ -149,20 +149,22 @@ class Marks:
         self.alphabet = np.unique(self.rows[self.rows != PAD])
         self.own = [np.unique(row[row != PAD]) for row in self.rows]
         self.places = [np.searchsorted(self.alphabet, own) for own in self.own]
-        self.possible: list[dict[int, bool]] = [{} for _ in marks]
+        self.possible = [np.zeros(1 << len(own), np.int8) for own in self.own]  # 0: not met yet, 1: no, 2: yes; pages never met take no memory
 
     def may_match(self, j: int, held: np.ndarray) -> np.ndarray:
         """Whether strings that hold these sets of landmark j's characters (one bit each) can reach CUT."""
-        kinds, place = np.unique(held, return_inverse=True)
-        known, row, own = self.possible[j], self.rows[j], self.own[j]
-        if fresh := [k for k in kinds.tolist() if k not in known]:
-            sets, kept = np.array(fresh, np.int64), np.zeros((len(fresh), LONGEST), bool)
-            for bit, c in enumerate(own):
+        known, row = self.possible[j], self.rows[j]
+        state = known[held]
+        if not state.all():
+            sets = np.unique(held[state == 0])
+            kept = np.zeros((len(sets), LONGEST), bool)
+            for bit, c in enumerate(self.own[j]):
                 kept |= ((sets >> bit) & 1 == 1)[:, None] & (row == c)[None, :]
             # Characters outside the set become two different ones on the two sides, so they match nothing.
             share = kernel(np.where(kept | (row == PAD), row, 0x110000).astype(np.uint32), np.where(kept | (row == PAD), row, 0x110001).astype(np.uint32)) / self.norm[j]
-            known.update(zip(fresh, (share >= 0.999 * CUT**2).tolist()))
-        return np.array([known[k] for k in kinds.tolist()], bool)[place]
+            known[sets] = np.where(share >= 0.999 * CUT**2, 2, 1)
+            state = known[held]
+        return state == 2
 
     def similar(self, words: Sequence[str]) -> np.ndarray:
         """Normalised kernel (CUT to 1, or 0) of each word with each landmark."""
@@ -171,14 +173,18 @@ class Marks:
             return out
         turn = np.argsort((rows != PAD).sum(axis=1), kind="stable")  # like lengths together: tables no wider than needed
         rows = rows[turn]
-        # Which characters of the landmarks' alphabet each word holds, a column each; then, for each landmark, its own as bits.
-        column = np.full(0x110000, len(self.alphabet))
-        column[self.alphabet] = np.arange(len(self.alphabet))
-        holds = np.zeros((len(rows), len(self.alphabet) + 1), bool)
-        holds[np.arange(len(rows))[:, None], column[rows]] = True
+        # Which characters of the landmarks' alphabet each word holds, 60 to a number; then, for each landmark, its own.
+        holds = []
+        for k in range(0, len(self.alphabet), 60):
+            bits = np.zeros(0x110000, np.int64)
+            own = self.alphabet[k : k + 60]
+            bits[own] = np.int64(1) << np.arange(len(own))
+            holds.append(np.bitwise_or.reduce(bits[rows], axis=1))
         own = np.zeros(len(rows))
         for j, places in enumerate(self.places):
-            held = holds[:, places] @ (np.int64(1) << np.arange(len(places)))
+            held = np.zeros(len(rows), np.int64)
+            for k, place in enumerate(places.tolist()):
+                held |= ((holds[place // 60] >> (place % 60)) & 1) << k
             at = np.flatnonzero(self.may_match(j, held))
             fresh = at[own[at] == 0]
             own[fresh] = kernel(rows[fresh], rows[fresh])

@@ -11,7 +11,8 @@ Copies share one fingerprint, so a group of any size is one point here; shards e
 Texts whose word shingles have a Jaccard similarity of 0.8 differ in about ten bits, and no tree prunes at that radius.
 `near_texts` therefore gives a text several fingerprints: the SimHash of all its shingles, and those of small samples of
 them (the least by a hash, so that like texts draw like samples, often the very same). All go through the same tree;
-texts that meet by any are then held against each other by the shingles themselves.
+texts that meet by any are then held against each other by the shingles themselves: first against two of those they
+meet, then, where that doesn't make them one group, all against all.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ SAMPLE = 100_000
 SHARD_SIZE, FITTED_SHARDS = 2048, 1 << 14
 #: Samples of a text's shingles, shingles of a sample, and least shingle hashes that similarity is computed from.
 SAMPLES, SAMPLE_SHINGLES, LEAST_HASHES = 8, 4, 128
+#: Texts of a block: texts that meet are compared all with all by two blocks at a time.
+MEETING = 512
+#: Hashes whose owners are counted at once there.
+COLUMNS = 2048
 #: A local shard up to this size is compared directly.
 DIRECT = 4096
 #: Vantage points tried at each node.
@@ -272,13 +277,61 @@ def near_groups(docs: DataFrame, bits: int = 2, shingle: int = 3, key: str = "do
     return join_counted(prints, named, "fp", "copies", total or 0, "inner")
 
 
-def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
+def linked_texts(rows: list[int], labels: list[int], least: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between texts of different labels, as many as connect them: all that `jaccard` tells, none is left out."""
+    size, (kinds, label) = np.array([len(x) for x in least]), np.unique(labels, return_inverse=True)
+    _, code, times = np.unique(np.concatenate([np.zeros(0, np.int64), *least]), return_inverse=True, return_counts=True)
+    owner, again = np.repeat(np.arange(len(least)), size), np.cumsum(times > 1) - 1
+    owner, code = owner[times[code] > 1], again[code[times[code] > 1]]
+    common = np.zeros((len(least), len(least)), np.float32)
+    for k in range(0, int(code.max(initial=-1)) + 1, COLUMNS):  # hashes that several texts have, so many at once
+        here = (code >= k) & (code < k + COLUMNS)
+        held = np.zeros((len(least), COLUMNS), np.float32)
+        held[owner[here], code[here] - k] = 1
+        common += held @ held.T
+    # Whole lists tell by their numbers; cut ones have this share of the longer one in common, or more, if they are linked.
+    longer, whole = np.maximum(size[:, None], size[None, :]), np.maximum(size[:, None] + size[None, :] - common, 1)
+    reach = np.where(longer < LEAST_HASHES, common >= (similarity - 1e-9) * whole, common >= similarity * longer - 1e-6)
+    may = np.tril(reach & (label[:, None] != label[None, :]))
+    parent, own, found = list(range(len(kinds))), label.tolist(), []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(may))):
+        a, b = root(parent, own[i]), root(parent, own[j])
+        if a != b and jaccard(least[i], least[j]) >= similarity:
+            found.append((rows[i], rows[j]))
+            parent[max(a, b)] = min(a, b)
+    return found
+
+
+def left_links(meetings: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, block: int = MEETING) -> DataFrame:
+    """Links (a, b) that are still missing between texts (row, least) that meet (meet, row): every two are held against each other.
+
+    `roots` has the groups found so far. Meetings within one group are done. The texts of a larger meeting are dealt into
+    blocks by a hash, and every two blocks are compared by a task of their own, so no task holds more than two blocks.
+    """
+    named = stored(meetings.join(roots, F.col("row") == F.col("node"), "left").select("meet", "row", F.coalesce("root", "row").alias("label")))
+    unlike = named.groupBy("meet").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    unlike = unlike.select("meet", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = stored(join_counted(named, stored(unlike), "meet", "n", named.count(), "inner"))
+    own, other = F.pmod(F.xxhash64("row", "meet"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.select("meet", "row", "label", own.alias("own"), other.alias("other"))
+    pairs = dealt.select("meet", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), F.col("row").alias("r"), "label")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        found = linked_texts(group["r"].tolist(), group["label"].tolist(), group["least"].tolist(), similarity)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return pairs.join(texts, F.col("r") == F.col("row")).select("meet", "one", "two", "r", "label", "least").groupBy("meet", "one", "two").applyInPandas(compare, "a long, b long")
+
+
+def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2, block: int = MEETING) -> DataFrame:
     """(node, root) of every row (row, text) that has a near copy: equal roots are one group, others are left out.
 
     Near copies are texts whose sets of `words`-word shingles have at least that Jaccard similarity, and what such texts
     connect. They are searched by the fingerprints of their samples: two texts at the similarity 0.8 draw an equal sample
-    of four with a chance of 0.4, so one in eight with 0.98. Texts that meet are each held against two of theirs, chosen
-    by a hash, never all against all. Null and empty texts are near copies of each other; an empty table gives none.
+    of four with a chance of 0.4, so one in eight with 0.98. Texts with the same least hashes are one, with copies. Texts
+    that meet are first each held against two of theirs, chosen by a hash, which connects most; where a meeting isn't one
+    group then, all its texts are held against all (`left_links`), so every link between texts that meet counts. Null and
+    empty texts are near copies of each other; an empty table gives none.
     """
 
     @F.pandas_udf("struct<prints:array<bigint>,least:array<bigint>>")
@@ -291,7 +344,10 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: i
         for left, right in batches:
             yield pd.Series([jaccard(a, b) for a, b in zip(left, right)], dtype="float64")
 
-    table = stored(docs.select("row", sketches("text").alias("s")).select("row", "s.*"))
+    every = stored(docs.select("row", sketches("text").alias("s")).select("row", "s.*", F.concat_ws(":", F.xxhash64("s.least"), F.hash("s.least")).alias("kind")))
+    classes = stored(every.groupBy("kind").agg(F.count("*").alias("copies"), F.min("row").alias("first")))
+    copied = stored(join_counted(every.select("row", "kind"), classes.filter("copies > 1"), "kind", "copies", every.count(), "inner").select("row", "first"))
+    table = stored(every.join(copied.filter("row <> first").select(F.col("row").alias("copy")), F.col("row") == F.col("copy"), "left_anti").select("row", "prints", "least"))
     each = table.select("row", F.explode(F.array_distinct("prints")).alias("fp"))
     turn = F.struct(F.xxhash64("row", "fp"), F.col("row"))
     groups = stored(each.groupBy("fp").agg(F.count("*").alias("copies"), F.min(turn).alias("low"), F.max(turn).alias("high")))
@@ -299,14 +355,20 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: i
     roots = components(links(groups, distinct, bits))
     linked = groups.join(roots, F.col("fp") == F.col("node"), "left").withColumn("meet", F.coalesce("root", "fp"))
     met = linked.groupBy("meet").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("low") != F.col("high")).withColumnRenamed("meet", "m")
-    homes = linked.join(met, F.col("meet") == F.col("m")).select("fp", "copies", F.array(met["low.row"], met["high.row"]).alias("others"))
-    # Each row meets at most two others by each of its fingerprints.
-    offers = join_counted(each, homes, "fp", "copies", total, "inner").select("row", F.explode("others").alias("other")).filter("row <> other").distinct()
+    homes = stored(linked.join(met, F.col("meet") == F.col("m")).select("fp", "copies", "meet", F.array(met["low.row"], met["high.row"]).alias("others")))
+    # Each row meets at most two others by each of its fingerprints here.
+    meetings = stored(join_counted(each, homes, "fp", "copies", total, "inner").select("row", "meet", "others"))
+    offers = meetings.select("row", F.explode("others").alias("other")).filter("row <> other").distinct()
     own = stored(offers.join(table.select("row", "least"), "row"))
     sizes = own.groupBy("other").agg(F.count("*").alias("n"))
     partners = sizes.join(table.select(F.col("row").alias("other"), F.col("least").alias("theirs")), "other")
     pairs = join_counted(own, partners, "other", "n", own.count(), "inner")
-    return components(pairs.filter(likeness("least", "theirs") >= similarity).select(F.col("row").alias("a"), F.col("other").alias("b")))
+    first = components(pairs.filter(likeness("least", "theirs") >= similarity).select(F.col("row").alias("a"), F.col("other").alias("b")))
+    rest = stored(left_links(meetings.select("meet", "row").distinct(), table.select("row", "least"), first, similarity, block))
+    found = first if rest.isEmpty() else components(rest.union(first))
+    # A copy has the group of the first of its class.
+    copies = copied.filter("row <> first").join(found, F.col("first") == F.col("node"), "left").select(F.col("row").alias("node"), F.coalesce("root", "first").alias("root"))
+    return found.union(copies)
 
 
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

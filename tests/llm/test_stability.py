@@ -107,3 +107,45 @@ def test_code_points_of_letters_that_lengthen(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = decontaminate.contaminations(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).first()
     assert text[got["char_start"] : got["char_end"]].lower() == item
+
+
+def test_every_link_of_a_meeting(spark):
+    """Texts that all meet, as all their samples come from a passage they share, but are near copies by twos only."""
+    rng = random.Random(5)
+    name = lambda: f"w{rng.randrange(10**9)}"
+    shared = [name() for _ in range(90)]
+    samples = simhash.sketch(" ".join(shared), 5)[0][1:]
+    texts = []
+    while len(texts) < 60:
+        tail = [name() for _ in range(13)]
+        both = [" ".join(shared + t) for t in (tail, tail[:-2] + [name(), name()])]
+        if simhash.sketch(both[0], 5)[0][1:] == samples == simhash.sketch(both[1], 5)[0][1:]:
+            texts += both
+    least = [simhash.sketch(t, 5)[1] for t in texts]
+    twos = {(a, b) for a in range(len(texts)) for b in range(a) if simhash.jaccard(least[a], least[b]) >= 0.8}
+    assert twos == {(k + 1, k) for k in range(0, len(texts), 2)}
+    texts += [texts[7], texts[7], texts[0] + " and more words at its end than any copy has, so that it is like none of them by far, not even by half of its words " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    wanted = {(a, b) for a, b in twos} | {(60, 6), (61, 6)}
+    for block in (512, 7):
+        found = {(r["node"], r["root"]) for r in simhash.near_texts(docs, block=block).collect()}
+        assert found == wanted
+
+
+def test_links_of_blocks(monkeypatch):
+    """No link is left out, whether lists are whole or cut."""
+    monkeypatch.setattr(simhash, "COLUMNS", 64)
+    rng = np.random.default_rng(3)
+    least, labels = [], list(range(120))
+    for k in range(120):
+        own = np.sort(rng.choice(1 << 40, int(rng.choice([1, 4, 9, 40, 104, 126, 140])), replace=False)) if k % 4 == 0 else np.sort(np.append(own[rng.random(len(own)) > 0.06], rng.choice(1 << 40, 1 + len(own) // 30)))
+        least.append(own[: simhash.LEAST_HASHES].astype(np.int64))
+    wanted = {(a, b) for a in labels for b in labels[:a] if simhash.jaccard(least[a], least[b]) >= 0.8}
+    near = {k: k for k in labels}
+    for links in (wanted, found := simhash.linked_texts(labels, labels, least, 0.8)):
+        near = {k: k for k in labels}
+        for _ in labels:
+            for a, b in links:
+                near[a] = near[b] = min(near[a], near[b])
+        wanted_groups = near if links is wanted else wanted_groups
+    assert near == wanted_groups and set(found) <= wanted and len(wanted) > 20

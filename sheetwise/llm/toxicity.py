@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import stored
+from sheetwise.llm.common import small_batches, stored
 
 #: Length of the common subsequences; weight of each character that a subsequence spans; least value that counts.
 LENGTH, DECAY, CUT = 4, 0.95, 0.36
@@ -326,6 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, land
     labels and ids teach nothing; copies of a text are one example, toxic if any is labelled so; without labels of both
     kinds, or without a toxic string, the model is the base rate.
     """
+    small_batches(docs.sparkSession)
     taught = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
     # At most train_rows rows of two numbers.
     sample = docs.join(F.broadcast(taught), F.col("doc_id") == F.col("_id")).select("doc_id", F.least("toxic", F.lit(1)).cast("long").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
@@ -391,6 +392,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, land
 
 
 def score_column(text: Column, model: Model, spark: SparkSession) -> Column:
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # a few landmarks and weights
 
     @F.pandas_udf("double")

@@ -149,3 +149,15 @@ def test_links_of_blocks(monkeypatch):
                 near[a] = near[b] = min(near[a], near[b])
         wanted_groups = near if links is wanted else wanted_groups
     assert near == wanted_groups and set(found) <= wanted and len(wanted) > 20
+
+
+def test_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, wanted in (("10000", "1000"), ("0", "1000"), ("30", "30")):
+            spark.conf.set(key, given)
+            common.small_batches(spark)
+            assert spark.conf.get(key) == wanted
+    finally:
+        spark.conf.set(key, before)

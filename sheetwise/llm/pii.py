@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import join_counted, stored
+from sheetwise.llm.common import join_counted, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words of a context on either side of an entity.
@@ -254,6 +254,7 @@ def find_private(docs: DataFrame, support: int = SUPPORT, generalise: float = GE
     contexts count once. Of terms that disclose several entities the largest share counts. An existing column of that
     name is replaced; no other column is read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("private_spans")
     terms = disclosures(docs, support, generalise)
     out = docs.withColumn("private_spans", base_column(F.col("text")))

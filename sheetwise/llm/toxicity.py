@@ -35,6 +35,8 @@ LIFT = 3
 SHORT = 32
 #: Kernel from which a landmark says nothing that another doesn't.
 REDUNDANT = 0.6
+#: Landmarks that begin with so many equal characters are compared in one pass.
+SHARED = 4
 #: Longest string; longer words are cut into windows that overlap by half.
 LONGEST = 20
 #: Lengths of the beginnings of words that may be landmarks: stems stand for all their forms.
@@ -68,7 +70,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 def joined_singles(text: str | None, found: set[bytes]) -> set[bytes]:
     """Runs of three or more single characters, as the words that they spell."""
-    single = [t for t in found if len(t) == 1 or (len(t) < 5 and t[0] > 0xC1 and len(t.decode("utf-8", "replace")) == 1)]
+    single = [t for t in found if len(t) < 5 and (len(t) == 1 or (t[0] > 0xC1 and len(t.decode("utf-8", "replace")) == 1))]
     if len(single) < 2:  # no word is one character over and over
         return set()
     return {"".join(m[0].split()).encode("utf-8", "replace") for m in SINGLES.finditer((text or "").lower())}
@@ -134,6 +136,49 @@ def kernel(a: np.ndarray, b: np.ndarray, chunk: int = 1024) -> np.ndarray:
     return out
 
 
+def tree_kernel(a: np.ndarray, letters: np.ndarray, parents: list[int], chunk: int = 256) -> np.ndarray:
+    """Subsequence kernel of the rows of `a` with all strings of a tree: a column for each node, the string from the root to it.
+
+    As `kernel`, but strings with a common beginning share its steps. A node's parent stands before it; roots have -1.
+    """
+    out = np.zeros((len(a), len(letters)))
+    for k in range(0, len(a), chunk):
+        x = a[k : k + chunk].T
+        x = x[: max(1, int((x != PAD).sum(axis=0).max(initial=1)))]
+        ends = same = ((letters[:, None, None] == x[None]) & (x[None] != PAD)).astype(np.float32) * np.float32(DECAY**2)
+        for _ in range(LENGTH - 1):
+            reach = ends.copy()
+            for i in range(1, len(x)):
+                reach[:, i] += np.float32(DECAY) * reach[:, i - 1]
+            for j, parent in enumerate(parents):
+                if parent >= 0:
+                    reach[j] += np.float32(DECAY) * reach[parent]
+            ends = np.zeros_like(same)
+            for j, parent in enumerate(parents):
+                if parent >= 0:
+                    np.multiply(same[j, 1:], reach[parent, :-1], out=ends[j, 1:])
+        total = ends.sum(axis=1, dtype=np.float64)
+        for j, parent in enumerate(parents):
+            if parent >= 0:
+                total[j] += total[parent]
+        out[k : k + chunk] = total.T
+    return out
+
+
+def trees(marks: Sequence[str]) -> list[tuple[list[int], list[int], np.ndarray, list[int]]]:
+    """Strings by their first SHARED characters: (numbers of the strings, their nodes, letters, parents) of each tree."""
+    groups: dict[str, list[int]] = {}
+    for j, w in enumerate(marks):
+        groups.setdefault(w[:SHARED], []).append(j)
+    out = []
+    for own in groups.values():
+        nodes: dict[str, int] = {}
+        for w in (marks[j][:n] for j in own for n in range(1, len(marks[j]) + 1)):
+            nodes.setdefault(w, len(nodes))
+        out.append((own, [nodes[marks[j]] for j in own], np.array([ord(w[-1]) for w in nodes], np.uint32), [nodes.get(w[:-1], -1) for w in nodes]))
+    return out
+
+
 class Marks:
     """Landmark strings and their kernel with other strings.
 
@@ -144,8 +189,10 @@ class Marks:
     """
 
     def __init__(self, marks: Sequence[str]) -> None:
-        self.rows = codes(marks)
+        self.rows, self.trees = codes(marks), trees(marks)
         self.norm = kernel(self.rows, self.rows)
+        unlike = np.tril(np.arange(1, LONGEST + 1, dtype=np.uint32) * np.ones((LONGEST + 1, 1), np.uint32), -1)
+        self.least = kernel(unlike, unlike)  # of strings of each length without a repeated character
         self.alphabet = np.unique(self.rows[self.rows != PAD])
         self.own = [np.unique(row[row != PAD]) for row in self.rows]
         self.places = [np.searchsorted(self.alphabet, own) for own in self.own]
@@ -180,17 +227,25 @@ class Marks:
             own = self.alphabet[k : k + 60]
             bits[own] = np.int64(1) << np.arange(len(own))
             holds.append(np.bitwise_or.reduce(bits[rows], axis=1))
-        own = np.zeros(len(rows))
-        for j, places in enumerate(self.places):
-            held = np.zeros(len(rows), np.int64)
-            for k, place in enumerate(places.tolist()):
-                held |= ((holds[place // 60] >> (place % 60)) & 1) << k
-            at = np.flatnonzero(self.may_match(j, held))
-            fresh = at[own[at] == 0]
-            own[fresh] = kernel(rows[fresh], rows[fresh])
-            scale = np.sqrt(own[at] * self.norm[j])
-            value = np.divide(kernel(rows[at], self.rows[j : j + 1]), scale, out=np.zeros(len(at)), where=scale > 0)
-            out[turn[at], j] = np.where(value >= CUT, value, 0.0)
+        own, least = np.zeros(len(rows)), self.least[(rows != PAD).sum(axis=1)]
+        for js, nodes, letters, parents in self.trees:
+            may = np.zeros((len(js), len(rows)), bool)
+            for n, j in enumerate(js):
+                held = np.zeros(len(rows), np.int64)
+                for k, place in enumerate(self.places[j].tolist()):
+                    held |= ((holds[place // 60] >> (place % 60)) & 1) << k
+                may[n] = self.may_match(j, held)
+            at = np.flatnonzero(may.any(axis=0))
+            value = tree_kernel(rows[at], letters, parents)
+            # A string's own kernel is that of as many different characters, or more: most are told by that alone.
+            near = (value[:, nodes] >= 0.999 * CUT * np.sqrt(least[at, None] * self.norm[js])).any(axis=1)
+            at, value = at[near], value[near]
+            new = at[own[at] == 0]
+            own[new] = kernel(rows[new], rows[new])
+            for n, j in enumerate(js):
+                scale = np.sqrt(own[at] * self.norm[j])
+                like = np.divide(value[:, nodes[n]], scale, out=np.zeros(len(at)), where=scale > 0)
+                out[turn[at], j] = np.where((like >= CUT) & may[n, at], like, 0.0)
         return out
 
 
@@ -228,19 +283,21 @@ class Model:
 
     def sentences(self, texts: Sequence[str | None]) -> list[tuple[list[np.ndarray], int]]:
         """For each text the kernel sums of its different sentences that hold anything like a landmark, and its number of different words."""
-        found = []
+        found, spelt = [], []
         for t in texts:
             own = set(tokens(t))
-            found.append(own | joined_singles(t, own))
+            spelt.append(joined_singles(t, own))
+            found.append(own | spelt[-1])
         known, out = self.features(set().union(*found)), []
-        for text, own in zip(texts, found):
+        for text, own, singles in zip(texts, found, spelt):
             hits = {t for t in own if known[t] is not None}
             kinds = {}
             for sentence in SENTENCE.split(text) if hits else ():
-                inside = set(tokens(sentence))
-                held = frozenset((inside | joined_singles(sentence, inside)) & hits)
-                if held and held not in kinds:
-                    kinds[held] = np.sum([known[t] for t in held], axis=0)
+                held = hits.intersection(inside := tokens(sentence))
+                if singles:  # else no sentence has any
+                    held |= joined_singles(sentence, set(inside)) & hits
+                if held and (held := frozenset(held)) not in kinds:
+                    kinds[held] = np.sum([known[t] for t in held], axis=0) if len(held) > 1 else known[next(iter(held))]
             out.append((list(kinds.values()), len(own)))
         return out
 

@@ -151,6 +151,18 @@ def test_links_of_blocks(monkeypatch):
     assert near == wanted_groups and set(found) <= wanted and len(wanted) > 20
 
 
+def test_trees_of_landmarks():
+    """Strings compared by a tree of their beginnings have the kernel that each has alone; a lower bound of own kernels holds."""
+    marks = ["\x02pathe", "\x02pathetic\x03", "\x02patheti", "\x02loser\x03", "\x02lose", "\x02aaaa\x03"]
+    words = ["\x02pathetik\x03", "\x02p4thetic\x03", "\x02looser\x03", "\x02aaaaaaaa\x03", "\x02zzzz\x03"]
+    a, alone = toxicity.codes(words), toxicity.codes(marks)
+    for own, nodes, letters, parents in toxicity.trees(marks):
+        got = toxicity.tree_kernel(a, letters, parents, chunk=2)[:, nodes]
+        assert got == pytest.approx(np.stack([toxicity.kernel(a, alone[j : j + 1]) for j in own], axis=1), rel=1e-5)
+    least = toxicity.Marks(marks).least[(a != toxicity.PAD).sum(axis=1)]
+    assert (least <= 1.0001 * toxicity.kernel(a, a)).all()
+
+
 def test_small_batches(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)

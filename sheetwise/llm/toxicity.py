@@ -278,7 +278,7 @@ class Model:
             like = self.table.similar([x for _, x in part]).astype(np.float32)
             for at in np.flatnonzero(like.any(axis=1)).tolist():  # most words are unlike all landmarks
                 t = part[at][0]
-                known[t] = like[at] if known[t] is None else np.maximum(known[t], like[at])
+                known[t] = like[at].copy() if known[t] is None else np.maximum(known[t], like[at])  # a view would keep all of `like`
         return known
 
     def sentences(self, texts: Sequence[str | None]) -> list[tuple[list[np.ndarray], int]]:

@@ -173,3 +173,10 @@ def test_small_batches(spark):
             assert spark.conf.get(key) == wanted
     finally:
         spark.conf.set(key, before)
+
+
+def test_remembered_features_hold_their_own_memory():
+    model = toxicity.Model(["\x02idiot\x03", "\x02moron\x03"], np.zeros(2), 0.0, np.zeros(toxicity.TOP + 1), 0.0)
+    known = model.features({b"idiot", b"idiots", b"a/moron", b"moron-idiot", *(b"word%d" % k for k in range(2000))})
+    rows = [v for v in known.values() if v is not None]
+    assert {b"idiot", b"idiots", b"a/moron"} <= {t for t, v in known.items() if v is not None} and all(v.base is None and v.nbytes == 8 for v in rows)  # a view keeps the batch that it is of

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheetwise.operators import commands
+from sheetwise.operators.cuts import dealt
 from sheetwise.plans.text_queries import table
 
 QUERIES, ORACLES = {}, {}
@@ -24,10 +24,13 @@ def query(sql: str | None = None):
     return add
 
 
-def one_a_number(spark, sf_dir):
-    """Line items, one for each number of an order."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
-    return lines.withColumn("place", F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber")))
+def with_lines(spark, sf_dir, orders):
+    """Orders with their line items, one for each number: (n, k, place), k the smallest part. Line items move once, by order."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey").repartition("o_orderkey")
+    numbered = lines.groupBy("o_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("k"))
+    listed = numbered.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("_lines"))
+    placed = F.transform("_lines", lambda line, i: F.struct(line["n"].alias("n"), line["k"].alias("k"), (i + 1).alias("place")))
+    return orders.join(dealt(listed), "o_orderkey", "left").withColumn("lines", F.coalesce(placed, F.array().cast("array<struct<n:int,k:bigint,place:int>>"))).drop("_lines")
 
 
 LINES = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place FROM lineitem GROUP BY l_orderkey, l_linenumber)"
@@ -40,20 +43,20 @@ def made_cells(spark, sf_dir):
     lacks = F.col("o_orderkey") % 3 == 0  # every third table names no instructions
     heads = [cell(a, 0, b, 20, label if role != "command" else F.when(lacks, "Register").otherwise(label)) for role, label, a, b in COLUMNS if role != "mode"]
     heads += [cell(150, 0, 200, 10, "Interface"), cell(150, 10, 175, 20, "SDR"), cell(175, 10, 200, 20, "DDR")]
-    top = orders.select("*", F.explode(F.array(*heads)).alias("c"))
-    n, k, key = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_partkey").cast("string")
-    y0, y1 = 10 + 10 * F.col("place"), 20 + 10 * F.col("place")
-    hexes = F.lower(F.lpad(F.hex(k % 256), 2, "0"))
-    texts = {
-        "command": F.when(n % 2 == 1, "Wrap M7-M0").when(n == 6, "Number of Clock (IO 1-1-4)").otherwise(F.concat(F.lit("Read "), key)),
-        "opcode": F.when(n % 2 == 1, "0 1").when(n == 6, "").otherwise(F.concat(hexes, F.lit("H (3)"))),
-        "Interface SDR": F.when(k % 2 == 0, "1-1-1").otherwise("-"), "Interface DDR": F.when(k % 3 == 0, "4-4-4").otherwise(""),
-        "address": F.concat(F.lit("A"), key), "dummy": F.lit("8 (Def.)"), "data": F.lit(" D0 "), "extra": F.when(n == 6, "MHz").otherwise(key)}
-    row = F.array(*[cell(a, y0, b, y1, texts[label if role == "mode" else role]) for role, label, a, b in COLUMNS])
-    group = F.array(cell(0, y0, 400, y1, F.concat(F.lit("Group "), key)))
-    lines = one_a_number(spark, sf_dir).join(orders, "o_orderkey")
-    body = lines.select(*BY, "section", "page", F.explode(F.when(n == 1, group).otherwise(row)).alias("c"))
-    return top.unionByName(body).select(*BY, "section", "page", "c.*")
+
+    def row(line):
+        n, k, key = line["n"], line["k"], line["k"].cast("string")
+        y0, y1 = 10 + 10 * line["place"], 20 + 10 * line["place"]
+        hexes = F.lower(F.lpad(F.hex(k % 256), 2, "0"))
+        texts = {
+            "command": F.when(n % 2 == 1, "Wrap M7-M0").when(n == 6, "Number of Clock (IO 1-1-4)").otherwise(F.concat(F.lit("Read "), key)),
+            "opcode": F.when(n % 2 == 1, "0 1").when(n == 6, "").otherwise(F.concat(hexes, F.lit("H (3)"))),
+            "Interface SDR": F.when(k % 2 == 0, "1-1-1").otherwise("-"), "Interface DDR": F.when(k % 3 == 0, "4-4-4").otherwise(""),
+            "address": F.concat(F.lit("A"), key), "dummy": F.lit("8 (Def.)"), "data": F.lit(" D0 "), "extra": F.when(n == 6, "MHz").otherwise(key)}
+        return F.when(n == 1, F.array(cell(0, y0, 400, y1, F.concat(F.lit("Group "), key)))).otherwise(F.array(*[cell(a, y0, b, y1, texts[label if role == "mode" else role]) for role, label, a, b in COLUMNS]))
+
+    whole = with_lines(spark, sf_dir, orders).repartition("o_custkey")  # a document's tables lie together before they are cells
+    return whole.select(*BY, "section", "page", F.explode(F.concat(F.array(*heads), F.flatten(F.transform("lines", row)))).alias("c")).select(*BY, "section", "page", "c.*")
 
 
 @query("""SELECT o_custkey, o_orderkey, unnest([CASE WHEN o_orderkey % 3 = 0 THEN 'extra' ELSE 'command' END, 'opcode', 'mode', 'mode', 'address', 'dummy', 'data', 'extra']) AS role,
@@ -78,9 +81,8 @@ SELECT o_custkey, o_orderkey, (10 + 10 * place)::DOUBLE AS top, coalesce(main, '
   'A' || k AS address, '8' AS dummy, 'D0' AS data, 'Max' || CASE WHEN clocked THEN ' (MHz)' ELSE '' END || ': ' || k AS extra, CASE WHEN variant THEN 'Read = ' || k WHEN n % 2 = 1 AND main IS NOT NULL THEN 'Wrap = 01' ELSE '' END AS setting, coalesce(grp, '') AS "group", section, page, CASE WHEN main IS NULL THEN '指令表列未辨識到 opcode，請核對原文。' END AS reason
 FROM s WHERE n IN (2, 3, 4, 5, 7)""")
 def q_command_table(spark, sf_dir):
-    cells = made_cells(spark, sf_dir)
-    chosen = cells.join(commands.command_tables(cells, BY).select(*BY), BY, "left_semi")
-    return commands.parsed_commands(chosen, BY[:1], BY[1:]).drop("words")
+    tables = commands.gathered(made_cells(spark, sf_dir), BY, ("section", "page"))
+    return commands.command_rows(tables.filter(commands.holds_commands(F.col("cells")).isNotNull()), BY[:1], BY[1:]).drop("words")
 
 
 def byte_cells(spark, sf_dir):
@@ -90,12 +92,14 @@ def byte_cells(spark, sf_dir):
     corner = F.when(F.col("o_orderkey") % 2 == 0, "Data Input Output I/O PROTOCOL (1 – 4 – 4)").otherwise("Data Input/Output")
     marks = (("Byte 1", 100, 150), ("Byte 2 ~ 4", 150, 200), ("Byte 5", 200, 250), ("Byte 6", 250, 300))
     heads = [cell(0, 0, 100, 10, corner), *[cell(a, 0, b, 10, label) for label, a, b in marks], cell(0, 10, 100, 20, "Number of Clock (1-1-1)"), *[cell(a, 10, b, 20, str(n)) for n, (_, a, b) in zip((8, 24, 8, 16), marks)]]
-    n, k = F.col("l_linenumber"), F.col("l_partkey")
-    y0, y1 = 10 + 10 * F.col("place"), 20 + 10 * F.col("place")
-    code = F.when(n % 5 == 0, "none").otherwise(F.concat(F.lower(F.lpad(F.hex(k % 256), 2, "0")), F.lit("H")))
-    row = F.array(cell(0, y0, 100, y1, F.concat(F.lit("Fast Read (2) "), k.cast("string"))), cell(100, y0, 150, y1, code), cell(150, y0, 200, y1, "A23–A0"), cell(200, y0, 250, y1, "Dummy (Def)"), cell(250, y0, 300, y1, F.concat(F.lit("D"), k.cast("string"))))
-    lines = one_a_number(spark, sf_dir).join(orders, "o_orderkey")
-    return orders.select("*", F.explode(F.array(*heads)).alias("c")).unionByName(lines.select(*BY, "section", "page", F.explode(row).alias("c"))).select(*BY, "section", "page", "c.*")
+
+    def row(line):
+        n, k, y0, y1 = line["n"], line["k"], 10 + 10 * line["place"], 20 + 10 * line["place"]
+        code = F.when(n % 5 == 0, "none").otherwise(F.concat(F.lower(F.lpad(F.hex(k % 256), 2, "0")), F.lit("H")))
+        return F.array(cell(0, y0, 100, y1, F.concat(F.lit("Fast Read (2) "), k.cast("string"))), cell(100, y0, 150, y1, code), cell(150, y0, 200, y1, "A23–A0"), cell(200, y0, 250, y1, "Dummy (Def)"), cell(250, y0, 300, y1, F.concat(F.lit("D"), k.cast("string"))))
+
+    whole = with_lines(spark, sf_dir, orders)
+    return whole.select(*BY, "section", "page", F.explode(F.concat(F.array(*heads), F.flatten(F.transform("lines", row)))).alias("c")).select(*BY, "section", "page", "c.*")
 
 
 @query(f"""SELECT o_custkey, o_orderkey, (10 + 10 * place)::DOUBLE AS top, 'Fast Read ' || l_partkey AS command, CASE WHEN l_linenumber % 5 = 0 THEN 'none' ELSE lpad(hex(l_partkey % 256), 2, '0') || 'h' END AS opcode,
@@ -103,6 +107,5 @@ def byte_cells(spark, sf_dir):
   'Fast Read (2) ' || l_partkey || '; Byte 2 ~ 4: A23–A0 [24 clocks]; Byte 5: Dummy (Def) [8 clocks]; Byte 6: D' || l_partkey || ' [16 clocks]' AS extra, '' AS setting, '' AS "group", CASE WHEN l_linenumber % 5 = 0 THEN '指令表列未辨識到 opcode，請核對原文。' END AS reason
 FROM {LINES} JOIN orders ON l_orderkey = o_orderkey""")
 def q_byte_command_table(spark, sf_dir):
-    cells = byte_cells(spark, sf_dir)
-    chosen = cells.join(commands.command_tables(cells, BY).filter("bytewise").select(*BY), BY, "left_semi")
-    return commands.parsed_byte_commands(chosen, BY[:1], BY[1:]).drop("words", "section", "page")
+    tables = commands.gathered(byte_cells(spark, sf_dir), BY, ("section", "page"))
+    return commands.byte_command_rows(tables.filter(commands.holds_commands(F.col("cells"))), BY[:1], BY[1:]).drop("words", "section", "page")

@@ -17,7 +17,7 @@ def test_nothing_is_broadcast(spark, name):
     assert "Broadcast" not in plan(spark, name)
 
 
-@pytest.mark.parametrize("name", ["q_byte_command_table", "q_command_table", "q_command_tables"])
+@pytest.mark.parametrize("name", ["q_byte_command_table", "q_command_table", "q_command_tables", "q_header_columns"])
 def test_tables_move_once(spark, name):
     """Orders and line items are dealt, and their documents; cells, which are many times more, never are."""
     assert plan(spark, name).count("Exchange") <= 3 and "Broadcast" not in plan(spark, name)

@@ -51,7 +51,8 @@ def q_frequency_matrix(spark, sf_dir):
             limit = F.when((n + r * k) % 7 == 6, "-").when((n + r + k) % 4 == 0, "200(2)").otherwise((n + r).cast("string"))
             made.append(cell(100 + 50 * k, 40 + 10 * r, 150 + 50 * k, 50 + 10 * r, limit))
     made += [cell(0, 40 + 10 * r, 100, 50 + 10 * r, f"{4 + 2 * r}(1)") for r in range(3)]
-    cells = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*made)).alias("c")).select("c_custkey", "c.*")
+    customers = table(spark, sf_dir, "customer").select("c_custkey").repartition("c_custkey")  # dealt before they are cells
+    cells = customers.select("c_custkey", F.explode(F.array(*made)).alias("c")).select("c_custkey", "c.*")
     return specs.frequency_rows(cells, ["c_custkey"])
 
 

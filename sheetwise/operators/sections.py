@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.text import BLANK, ends_sentence, join_wrapped, title_key
 from sheetwise.operators import ordered as seq
+from sheetwise.operators.cuts import dealt
 from sheetwise.operators.documents import reflow
 
 #: Numbered titles, list entries, captions, chapters that are left out with all below them (fixed patterns).
@@ -38,7 +39,7 @@ def in_reading_order(segments: DataFrame, doc: Sequence[str]) -> DataFrame:
 
     `edge` is how far right any of them on the same half of the page reaches, headings too.
     """
-    sized = segments.join(body_height(segments, doc).withColumnRenamed("h", "body"), list(doc)).filter(F.col("h") >= F.col("body") * MINOR)
+    sized = segments.join(dealt(body_height(segments, doc).withColumnRenamed("h", "body")), list(doc)).filter(F.col("h") >= F.col("body") * MINOR)
     read = seq.reading_order(sized, [*doc, "page"], "x0", "y", F.col("width") / 2)
     read = read.withColumn("edge", F.max("x1").over(Window.partitionBy(*doc, "page", F.col("x0") >= F.col("width") / 2 - 5)))
     return read.withColumn("seq", F.row_number().over(Window.partitionBy(*doc).orderBy("page", "reading"))).drop("reading")
@@ -53,8 +54,8 @@ def headings(segments: DataFrame, entries: DataFrame, doc: Sequence[str]) -> Dat
     number, rest = F.regexp_extract("text", HEADING, 1), F.regexp_extract("text", HEADING, 2)
     lines = segments.withColumns({"_number": number, "_rest": rest, "_key": title_key(rest)})
     listed = entries.select(*doc, F.col("number").alias("_number"), title_key(F.col("title")).alias("_listed")).distinct()
-    known = lines.filter("_number != ''").join(listed, [*doc, "_number"]).filter((F.length("_key") >= 3) & F.startswith("_listed", "_key")).groupBy(*doc, "seq").agg(F.min("_listed").alias("_listed"))
-    lines = lines.join(known, [*doc, "seq"], "left")
+    known = lines.filter("_number != ''").join(dealt(listed), [*doc, "_number"]).filter((F.length("_key") >= 3) & F.startswith("_listed", "_key")).groupBy(*doc, "seq").agg(F.min("_listed").alias("_listed"))
+    lines = lines.join(dealt(known), [*doc, "seq"], "left")
     big = F.col("h") >= F.col("body") + BIGGER
     starts = (F.col("_number") != "") & (big | F.col("_listed").isNotNull()) & (F.col("x0") < F.col("width") * LEFT) & F.col("_rest").rlike("[A-Za-z]")
     w = Window.partitionBy(*doc).orderBy("seq")
@@ -112,9 +113,9 @@ def built_sections(segments: DataFrame, entries: DataFrame, doc: Sequence[str])
     lines = headings(in_reading_order(segments, doc), entries, doc)
     titles = lines.filter("title is not null").select(*doc, "section", "number", "title", "page")
     out = left_out(titles, doc)
-    body = paragraphs(lines.filter("title is null and not absorbed"), doc).join(out, [*doc, "section"], "left_anti")
+    body = paragraphs(lines.filter("title is null and not absorbed"), doc).join(dealt(out), [*doc, "section"], "left_anti")
     front = body.filter("section = 0").groupBy(*doc).agg(F.min("page").alias("page")).select(*doc, F.lit(0).cast("long").alias("section"), F.lit("").alias("number"), F.lit(FRONT).alias("title"), "page")
-    return front.unionByName(titles.join(out, [*doc, "section"], "left_anti")), body
+    return front.unionByName(titles.join(dealt(out), [*doc, "section"], "left_anti")), body
 
 
 def narrative(segments: DataFrame, entries: DataFrame, doc: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -21,3 +21,8 @@ def test_nothing_is_broadcast(spark, name):
 def test_tables_move_once(spark, name):
     """Orders and line items are dealt, and their documents; cells, which are many times more, never are."""
     assert plan(spark, name).count("Exchange") <= 3 and "Broadcast" not in plan(spark, name)
+
+
+def test_orders_are_not_sent_to_their_products(spark):
+    """The products of the one document go to the orders; the other way round one task would hold all."""
+    assert "BuildRight" in plan(spark, "q_command_specs") and "BuildLeft" not in plan(spark, "q_command_specs")

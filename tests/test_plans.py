@@ -15,7 +15,7 @@ def plan(spark, name):
     return queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["q_frequency_matrix", "q_pages_to_sections", "q_pages_to_sentences", "q_read_settings"])
+@pytest.mark.parametrize("name", ["q_frequency_matrix", "q_pages_to_rows", "q_pages_to_sections", "q_pages_to_sentences", "q_read_settings"])
 def test_nothing_is_broadcast(spark, name):
     assert "Broadcast" not in plan(spark, name)
 
